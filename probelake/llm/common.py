@@ -101,3 +101,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train_docs: int, may_learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A bounded sample of labelled rows: text, label, weight.
+
+    About ``train_docs / 2`` rows of each class at most, chosen by a hash of the id;
+    the weight undoes the sampling rate. Several labels of one id count as the
+    largest. Only sampled ids (a bounded number) are broadcast to the texts.
+    """
+    spark = docs.sparkSession
+    known = labels.select(F.col(id_col).alias("id"), F.col(target).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    known = known.where(may_learn).groupBy("id").agg(F.max("label").alias("label"))
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rates = {k: min(1.0, train_docs / 2 / n) for k, n in sizes.items()}
+    rate = F.when(F.col("label") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
+    chosen = known.where(F.xxhash64(F.col("id").cast("string"), F.lit(11)) / F.lit(2.0**64) + 0.5 < rate).withColumn("weight", 1.0 / rate)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "id").select("id", "text", "label", "weight")

@@ -6,13 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from probelake.llm import bpe_count, mixing, packing, quality_rules
+from probelake.llm import bpe_count, language_id, mixing, near_dup, packing, quality_model, quality_rules, toxicity, vector_dup
+from probelake.llm.common import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.train_quality(docs, labels, crc_mod(F.col("id"), 5) != 0)
+    return _folded(quality_model.score_quality(docs, model), 0.3)
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op3_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.vector_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -28,14 +43,37 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.train_filters(docs, crc_mod(F.col("doc_id"), 4) != 2)
+    out = language_id.identify(docs, filters)
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train_toxicity(docs, labels, crc_mod(F.col("id"), 5) != 0)
+    return _folded(toxicity.score_toxicity(docs, model), 0.5)
+
+
+def _folded(scores: DataFrame, least: float) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_quality_attention": op1_quality_attention,
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_vector_duplicates": op3_vector_duplicates,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_mix_sources": op7_mix_sources,
+    "op8_language_id": op8_language_id,
     "op9_pack_best_fit": op9_pack_best_fit,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
