@@ -204,3 +204,10 @@ def mix_sources(
 def cycle_weights(names: list, cycle=(5, 2, 1)) -> dict:
     """Weights 5, 2, 1, repeating, by the sources' order."""
     return {s: float(cycle[i % len(cycle)]) for i, s in enumerate(names)}
+
+
+def mixed_documents(docs: DataFrame, source_col: str = "source", weights=cycle_weights, **options) -> DataFrame:
+    """The mix itself: every document as often as it is taken, columns unchanged."""
+    mix = mix_sources(docs, F.array(F.col(source_col)), weights, carry=tuple(docs.columns), **options)
+    repeated = mix.where("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(f"__{c}").alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from probelake.llm import bpe_count, language_id, mixing, near_dup, packing, quality_model, quality_rules, toxicity, vector_dup
+from probelake.llm import bpe_count, html_extract, language_id, mixing, near_dup, packing, quality_model, quality_rules, toxicity, vector_dup
 from probelake.llm.common import crc_mod
 
 
@@ -28,6 +28,10 @@ def op3_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dup.vector_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return v.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_quality_attention": op1_quality_attention,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_vector_duplicates": op3_vector_duplicates,
+    "op4_html_extract": op4_html_extract,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_mix_sources": op7_mix_sources,
