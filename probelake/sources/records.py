@@ -20,7 +20,7 @@ CORPUS_FILES = ["__init__.py", "setup.py", "conftest.py"]
 POOL_DIRECTORIES = [".venv", ".git", "docs", "examples", "__pycache__", "tests", "test"]
 POOL_FILES = ["__init__.py"]
 # Directories that a search for tests does not enter.
-TEST_PRUNED = ["venv", ".venv", "env", ".git", ".hg", ".svn", "build", "dist", "node_modules", "__pycache__", "site-packages"]
+TEST_PRUNED = [".venv", "venv", ".git", "node_modules", "build", "dist", "__pycache__"]
 
 
 def path_of_row() -> Column:
