@@ -14,6 +14,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from probelake.functions import text as T
 
@@ -29,7 +30,7 @@ def literal_equal(left: str | None, right: str | None) -> bool:
         return left == right
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _any_literal(prediction: pd.Series, truths: pd.Series) -> pd.Series:
     return pd.Series([t is not None and any(literal_equal(p, x) for x in t) for p, t in zip(prediction, truths, strict=True)])
 
@@ -57,7 +58,7 @@ def parse_list(list_literal: str | None) -> list[str]:
     return []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _listed(literals: pd.Series) -> pd.Series:
     return literals.map(parse_list)
 
@@ -97,7 +98,7 @@ def truth_texts(status: str | None, value_json: str | None, type_name: str | Non
     return [repr(value) if kind == "str" else str(value)]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _truths(status: pd.Series, value: pd.Series, kind: pd.Series, original: pd.Series) -> pd.Series:
     return pd.Series([truth_texts(*x) for x in zip(status, value, kind, original, strict=True)])
 
@@ -125,7 +126,7 @@ class SpaceTokenizer:
 def token_count(text: Column, tokenizer_of: Callable[[], object] = SpaceTokenizer) -> Column:
     """Tokens of each text; ``tokenizer_of`` is called once in a batch."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(IntegerType())
     def count(texts: pd.Series) -> pd.Series:
         tokenizer = tokenizer_of()
         return texts.map(lambda t: len(tokenizer.encode(t or "")))
@@ -146,7 +147,7 @@ def truncate_text(text: str, limit: int, tokenizer) -> str:
 
 
 def token_truncate(text: Column, limit: int, tokenizer_of: Callable[[], object] = SpaceTokenizer) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(texts: pd.Series) -> pd.Series:
         tokenizer = tokenizer_of()
         return texts.map(lambda t: None if t is None else truncate_text(t, limit, tokenizer))

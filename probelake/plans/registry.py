@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from probelake.plans import stand_ins
 
 FLAGSHIP = "set_metrics_by_customer"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = stand_ins.QUERIES
+ORACLE_SQL = stand_ins.ORACLE_SQL
