@@ -86,7 +86,7 @@ def align_totals(original: DataFrame, rewrite: DataFrame, kept: DataFrame) -> Da
     """Rows before and after alignment, per repository and overall (null)."""
     tagged = [df.select("reponame", F.lit(name).alias("stage")) for name, df in (("original", original), ("rewrite", rewrite), ("aligned", kept))]
     both = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    return both.rollup("reponame").pivot("stage", ["original", "rewrite", "aligned"]).count().na.fill(0, ["original", "rewrite", "aligned"])
+    return both.rollup("reponame").agg(*[F.count_if(F.col("stage") == s).alias(s) for s in ("original", "rewrite", "aligned")])
 
 
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -112,7 +112,7 @@ def common_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def missing_names(requested: DataFrame, found: DataFrame, key: str = "reponame") -> DataFrame:
-    return requested.select(key).exceptAll(found.select(key).distinct()).distinct()
+    return requested.select(key).subtract(found.select(key))
 
 
 def with_samples(tasks: DataFrame, n: int = 5) -> DataFrame:

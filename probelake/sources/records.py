@@ -93,7 +93,11 @@ def read_json_arrays(spark: SparkSession, paths: str | list[str], schema: str) -
 
 
 def read_sources(spark: SparkSession, root: str, name_glob: str = "*.py") -> DataFrame:
-    """Whole source files below a folder: relative ``path`` and ``content``."""
+    """Whole source files below a folder: relative ``path`` and ``content``.
+
+    Spark's listings leave out names that start with an underscore or a dot; trees in
+    which those matter come as a table of ``path`` and ``content`` instead.
+    """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob).text(root, wholetext=True)
     full = F.regexp_replace(path_of_row(), r"^file:/+", "/")
     return files.select(F.regexp_replace(full, "^.*?" + _regex_quote(root.rstrip("/")) + "/", "").alias("path"), F.col("value").alias("content"))
@@ -153,7 +157,7 @@ def append_missing(spark: SparkSession, new: DataFrame, path: str, keys: tuple[s
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """One indented JSON object, written by the driver; for a few aggregated values only."""
     text = json.dumps(report, ensure_ascii=False, indent=2)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "").text(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def console_table(df: DataFrame, digits: int = 4, rows: int = 200) -> str:
