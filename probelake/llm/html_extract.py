@@ -155,6 +155,9 @@ def parse(source: str) -> Page:
                     break
                 if stack[depth][1] >= 0 and tag not in _BLOCK and tag not in _SILENT:
                     break
+            else:
+                if tag == "p":  # browsers put an empty paragraph here
+                    flush()
             continue
         if tag == "html":
             continue
