@@ -38,7 +38,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 @query(
     """
     WITH li AS (
-      SELECT c_custkey, c_mktsegment, CAST(l_partkey % 20 AS VARCHAR) AS part, o_orderkey % 2 AS half
+      SELECT c_custkey, c_mktsegment, CAST(l_partkey % 20 AS VARCHAR) AS part, CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS half
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
     sets AS (
       SELECT c_custkey, c_mktsegment, coalesce(list(DISTINCT part) FILTER (half = 0), []) AS t, coalesce(list(DISTINCT part) FILTER (half = 1), []) AS p
@@ -58,7 +58,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 )
 def set_metrics_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    part, half = (F.col("l_partkey") % 20).cast("string"), F.col("o_orderkey") % 2
+    part, half = (F.col("l_partkey") % 20).cast("string"), (F.col("o_orderstatus") == "O").cast("int")
     sets = li.groupBy("c_custkey", "c_mktsegment").agg(F.collect_set(F.when(half == 0, part)).alias("t"), F.collect_set(F.when(half == 1, part)).alias("p"))
     scored = sets.select(F.col("c_mktsegment").alias("ratio"), scores.set_metrics(F.col("p"), F.col("t")).alias("m")).select("ratio", "m.*")
     out = scored.groupingSets([["ratio"], []], "ratio").agg(*[F.avg(m).alias(m) for m in evaluation.METRICS], F.count(F.lit(1)).alias("num_tasks"))
@@ -136,13 +136,13 @@ def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.remaining(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
 
 
-_HALVES = "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 2 = {h}"
+_HALVES = "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag {h}"
 
 
-@query(f"{_HALVES.format(h=0)} INTERSECT {_HALVES.format(h=1)}")
+@query(f"{_HALVES.format(h="= 'R'")} INTERSECT {_HALVES.format(h="<> 'R'")}")
 def common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return keys.common_keys(li.where("l_orderkey % 2 = 0"), li.where("l_orderkey % 2 = 1"), ["l_partkey", "l_suppkey"])
+    return keys.common_keys(li.where("l_returnflag = 'R'"), li.where("l_returnflag <> 'R'"), ["l_partkey", "l_suppkey"])
 
 
 @query(
@@ -520,3 +520,110 @@ def packed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.packed_contexts(files, ["task_id"])
 
 
+
+
+@query(
+    """
+    SELECT CAST(c_nationkey AS VARCHAR) AS reponame, count(*) FILTER (c_mktsegment = 'BUILDING') AS original, count(*) FILTER (c_mktsegment = 'MACHINERY') AS rewrite, count(*) FILTER (c_acctbal < 0) AS aligned
+    FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_acctbal < 0 GROUP BY ROLLUP (c_nationkey)
+    """
+)
+def align_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("reponame", F.col("c_nationkey").cast("string"))
+    return keys.align_totals(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment = 'MACHINERY'"), c.where("c_acctbal < 0"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS reponame FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders")
+def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requested = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("reponame"))
+    return keys.missing_names(requested, table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("reponame")))
+
+
+@query(
+    """
+    SELECT p_partkey, 'a' || p_size || '.py' AS first_name, p_type AS first_content, 2 AS n_files, p_brand || ',ls -l' AS commands FROM part
+    """
+)
+def message_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(
+        F.lit("do\n```file: a"), F.col("p_size").cast("string"), F.lit(".py \n"), F.col("p_type"), F.lit("\n```\n```bash\n# note\n  "), F.col("p_brand"), F.lit("\n\nls -l\n```\n```file:b.py\nx\n```")
+    )
+    first = T.first_file_block(text)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", first["filename"].alias("first_name"), first["content"].alias("first_content"), F.size(T.file_blocks(text)).alias("n_files"), F.array_join(T.shell_commands(text), ",").alias("commands")
+    )
+
+
+@query(
+    """
+    SELECT CAST(s_nationkey AS VARCHAR) AS reponame, CAST(s_suppkey AS VARCHAR) AS test_file, count(*) AS negative FROM supplier JOIN part ON p_partkey % 25 = s_nationkey
+    WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_partkey = p_partkey) GROUP BY ALL
+    """
+)
+def negative_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from probelake.operators import prompts
+
+    # a nation stands for a repository; every part belongs to one
+    tests = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("reponame"), F.col("s_suppkey").cast("string").alias("test_file"))
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    deps = li.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("file"), F.lit(1).alias("hops"))).alias("dependencies"))
+    chains = deps.withColumn("test_file", F.col("l_suppkey").cast("string")).join(tests, "test_file").select("reponame", "test_file", "dependencies")
+    pool = table(spark, sf_dir, "part").select((F.col("p_partkey") % 25).cast("string").alias("reponame"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
+    _, negative = prompts.candidate_files(tests, chains, pool)
+    return negative.groupBy("reponame", "test_file").agg(F.count(F.lit(1)).alias("negative"))
+
+
+@query(
+    """
+    SELECT p_partkey, CASE WHEN p_size > 25 THEN p_brand || ' ' || p_size || chr(10) || '... (1 lines omitted)' ELSE p_brand || ' ' || p_size END AS text,
+      CASE WHEN p_size > 25 THEN 5 ELSE 3 END AS tokens, CAST(trunc((p_size * 100) * 0.25) AS INTEGER) AS positive, p_size * 100 - CAST(trunc((p_size * 100) * 0.25) AS INTEGER) AS negative,
+      p_size * 100 - 40 - 100 - 5 - 6 - 50 - 7 AS budget
+    FROM part
+    """
+)
+def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") > 25, F.concat(F.col("p_brand"), F.lit(" "), size, F.lit("\n"), F.col("p_brand"))).otherwise(F.concat(F.col("p_brand"), F.lit(" "), size))
+    total = F.col("p_size") * 100
+    parts = scores.split_budget(total, F.lit(0.25))
+    budget = scores.context_budget(total, F.lit(40), F.lit(5), F.lit(6), F.lit(7))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", python_values.token_truncate(text, 3).alias("text"), python_values.token_count(text).alias("tokens"), parts["positive"].alias("positive"), parts["negative"].alias("negative"), budget.alias("budget")
+    )
+
+
+@query(
+    """
+    SELECT p_partkey, 'x = ' || p_size || chr(10) || chr(10) || 'def test_a():' || chr(10) || '    return ' || (p_size + 1) AS replaced,
+      'def pytest_sessionfinish(s):' || chr(10) || '    # Call chain tracking disabled during rewrite phase' || chr(10) || '    return' || chr(10) || 'y = ' || p_size AS neutral
+    FROM part
+    """
+)
+def source_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    source = F.concat(F.lit("x = "), size, F.lit("\ndef test_a():\n    pass\n"))
+    new = F.concat(F.lit("def test_a():\n    return "), (F.col("p_size") + 1).cast("string"))
+    hooks = F.concat(F.lit("def pytest_sessionfinish(s):\n    a()\n\n    b()\ny = "), size)
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "part").select("p_partkey", python_source.function_replaced(source, none, F.lit("test_a"), new).alias("replaced"), python_source.hooks_neutralized(hooks).alias("neutral"))
+
+
+@query(
+    """
+    SELECT page_id, regexp_extract(url, '[^/]*$') AS name, replace(url, '/', chr(92)) AS back, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\\.[^.]*$', '\\1') || '_agent_rewrite.py' AS rewritten FROM pages
+    """.replace("\\\\", "\\")
+)
+def path_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    back = F.replace(url, F.lit("/"), F.lit("\\"))
+    return table(spark, sf_dir, "pages").select("page_id", T.base_name(T.posix(back)).alias("name"), back.alias("back"), T.rewritten_name(url).alias("rewritten"))
+
+
+@query(
+    """
+    SELECT o_custkey AS reponame, o_orderstatus AS difficulty, count(*) AS functions FROM (SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority, o_orderkey % 3 AS f FROM orders) GROUP BY ALL
+    """
+)
+def difficulty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return reports.difficulty_counts(o.select(F.col("o_custkey").alias("reponame"), F.col("o_orderstatus").alias("difficulty"), F.col("o_orderpriority").alias("testpath"), (F.col("o_orderkey") % 3).alias("funcname")))
