@@ -81,4 +81,42 @@ QUERIES = {
     "op9_pack_best_fit": op9_pack_best_fit,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _rule_sql(rules) -> str:
+    """The threshold table as one SQL condition that is true where a rule fails."""
+    return " OR ".join(f"100 * {r.numerator} {r.op} {r.bound} * {r.denominator}" for r in rules)
+
+
+_STOP_FORMS = ", ".join(f"'{w}'" for w in sorted({x for s in quality_rules.STOP_WORDS for x in (s, s.capitalize())}))
+
+#: Models, hashes and library tokenizers have no SQL form; their tests use brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_quality_rules": f"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(translate(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) > 0) AS lines
+      FROM documents),
+    words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+    tri AS (SELECT doc_id, i, x || ' ' || lead(x) OVER s || ' ' || lead(x, 2) OVER s AS t FROM words WINDOW s AS (PARTITION BY doc_id ORDER BY i)),
+    rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM tri WHERE t IS NOT NULL) WHERE c > 1),
+    cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 3) r(k) GROUP BY doc_id),
+    m AS (
+      SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(translate(text, '{quality_rules.SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
+        CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, len(list_filter(w, lambda x: list_contains([{_STOP_FORMS}], x))) AS n_stop_words, 1 AS one
+      FROM d LEFT JOIN cov USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_rule_sql(quality_rules.BASE)}) AS base_failed,
+      NOT ({_rule_sql((*quality_rules.BASE, *quality_rules.RULES))}) AS kept
+    FROM m
+    """,
+    "op3_vector_duplicates": """
+    WITH RECURSIVE ok AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+    e AS (SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+    reach AS (SELECT vec_id AS n, vec_id AS m FROM embeddings UNION SELECT reach.n, e.v FROM reach JOIN e ON reach.m = e.u),
+    c AS (SELECT n, min(m) AS component_id FROM reach GROUP BY n), k AS (SELECT u, count(*) AS n_links FROM e GROUP BY u)
+    SELECT n AS vec_id, coalesce(n_links, 0) AS n_links, component_id, n = component_id AS kept FROM c LEFT JOIN k ON n = u
+    """,
+}
