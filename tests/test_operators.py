@@ -224,3 +224,21 @@ def test_sinks(spark, tmp_path):
 def test_trees(spark):
     df = spark.createDataFrame([("r", p) for p in ["a/b.py", "a/c/d.py", "z.py", ".git/x"]], "reponame string, path string")
     assert context.project_trees(df).first().tree.split("\n") == ["r/", "├── a/", "│   ├── c/", "│   │   └── d.py", "│   └── b.py", "└── z.py"]
+
+
+def test_tags_and_display_order(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2,)], "k int")
+    assert {tuple(r) for r in keys.tagged_union({"original": a, "rewrite": b}).collect()} == {(1, "x", "original"), (2, None, "rewrite")}
+    df = spark.createDataFrame([("t", "Z", "f"), ("t", None, "g"), ("t", "A", "h")], "testname string, classname string, funcname string")
+    assert [r.funcname for r in df.orderBy(*keys.align_order()).collect()] == ["h", "g", "f"]
+
+
+def test_reports_with_sources(spark):
+    df = lambda *names: spark.createDataFrame([(n,) for n in names], "reponame string")
+    assert [r.reponame for r in records.repos_with_reports(df("a", "a", "b"), df("a", "c")).collect()] == ["a"]
+
+
+def test_phases(spark):
+    rows = [(1, "pytest", "ERROR collecting", ""), (2, "pytest", "collected 2 items", ""), (3, "ls", "", ""), (4, "pytest", "=== 1 passed", "ImportError")]
+    df = spark.createDataFrame(rows, "n int, command string, stdout string, stderr string").withColumn("r", F.lit("r"))
+    assert [r.phase for r in trace.phases(df, ["r"], "n").orderBy("n").collect()] == ["SETUP", "SETUP", "TRACING", "TRACING"]
