@@ -14,19 +14,22 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from probelake.llm.common import once_in_worker
+
 #: White space of the pre-tokenizer's pattern, as a character class.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary file's library).
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Remembered units and pieces of each worker: two generations of this many.
-MEMO = 200_000
+MEMO = 120_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -122,7 +125,7 @@ class ArrayBpe:
 
     def _learn(self, units: set[str]) -> None:
         split = {u: self.piece.findall(u) for u in units}
-        new = sorted({p for ps in split.values() for p in ps if not self.pieces.known(p)})
+        new = list({p for ps in split.values() for p in ps}.difference(self.pieces, self.pieces.old))
         if new:
             self.pieces.update(zip(new, self.merge([p.encode() for p in new]).tolist(), strict=True))
         for u, ps in split.items():
@@ -141,7 +144,7 @@ class ArrayBpe:
                 extra.append(0)
                 found.append(_UNIT.findall(t))
         self.units.age()
-        unknown = {u for us in found for u in us if not self.units.known(u)}
+        unknown = set().union(*found).difference(self.units, self.units.old)
         if unknown:
             self._learn(unknown)
         get = self.units.__getitem__
@@ -168,16 +171,16 @@ def small_batches(texts: list, chars: int = 1_000_000) -> Iterator[tuple[int, in
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_bytes, n_tokens and ``over_limit`` (n_tokens > limit) of each row."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    made: list[ArrayBpe] = []
+    raw = read_vocabulary(vocabulary)
+    spec, name = docs.sparkSession.sparkContext.broadcast(raw), f"bpe {zlib.crc32(raw)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made.append(ArrayBpe(spec.value))
+        counter = once_in_worker(name, lambda: ArrayBpe(spec.value))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n: list[int] = []
             for a, b in small_batches(texts):
-                n += made[-1].count(texts[a:b])
+                n += counter.count(texts[a:b])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],

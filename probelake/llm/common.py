@@ -45,6 +45,17 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_IN_WORKER: dict[str, object] = {}
+
+
+def once_in_worker(name: str, make: Callable[[], object]):
+    """An object that a Python worker keeps from task to task; only the latest one stays."""
+    if name not in _IN_WORKER:
+        _IN_WORKER.clear()
+        _IN_WORKER[name] = make()
+    return _IN_WORKER[name]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once: a lambda variable stands for it."""
     return F.transform(F.array(value), body)[0]
@@ -116,6 +127,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train_docs:
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rates = {k: min(1.0, train_docs / 2 / n) for k, n in sizes.items()}
     rate = F.when(F.col("label") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
-    chosen = known.where(F.xxhash64(F.col("id").cast("string"), F.lit(11)) / F.lit(2.0**64) + 0.5 < rate).withColumn("weight", 1.0 / rate)
+    chosen = known.where(F.xxhash64(F.col("id").cast("string"), F.lit(11)) / F.lit(2.0**64) + 0.5 < rate).withColumn("weight", F.try_divide(F.lit(1.0), rate))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "label", "weight")

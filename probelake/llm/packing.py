@@ -15,6 +15,8 @@ packed separately; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,34 +26,78 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake.llm.bpe_count import Memo, read_vocabulary, small_batches
-from probelake.llm.common import store
+from probelake.llm.common import once_in_worker, store
 
 CAPACITY = 2048
 
 
+#: In texts without any of these, every match of the second is one word of the pre-tokenizer.
+_ODD = re.compile(r"""[^a-zA-Zß-öø-ÿÀ-ÖØ-Þ0-9 \t\n\r!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]|<\|""")
+_PIECE = re.compile(r"""[a-zß-öø-ÿ]+|[0-9]|[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+""")
+
+
+class ChunkTokenizer:
+    """Ids of texts by the library, as little-endian bytes, each distinct part once.
+
+    The vocabulary lower-cases, drops white space and never looks across it or beyond one
+    word of its pre-tokenizer. Texts of plain characters are cut into these words, which
+    are encoded many to a call and parted by their ends (a word's last token carries the
+    end mark); the library gets the white-space-free chunks of other texts as they are.
+    """
+
+    def __init__(self, spec: str, memo: int = 150_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(spec)
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.pieces, self.chunks = Memo(memo), Memo(memo // 4)
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 2000):
+            part = pieces[at : at + 2000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            bounds, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            if len(bounds) == len(part):
+                self.pieces.update(zip(part, [raw[x:y] for x, y in zip([0, *bounds[:-1]], bounds, strict=True)], strict=True))
+            else:  # not parted as foreseen
+                self._learn_whole(part, self.pieces)
+
+    def _learn_whole(self, parts: list[str], memo: Memo) -> None:
+        for p, e in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            memo[p] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        cut, odd = [], []
+        for t in texts:
+            t = t or ""
+            odd.append(_ODD.search(t) is not None)
+            cut.append(t.replace("\n", " ").replace("\t", " ").split(" ") if odd[-1] else _PIECE.findall(t.lower()))
+        for memo, learn, wanted in ((self.pieces, self._learn_pieces, False), (self.chunks, lambda x: self._learn_whole(x, self.chunks), True)):
+            memo.age()
+            new = set().union(*[c for c, o in zip(cut, odd, strict=True) if o is wanted]).difference(memo, memo.old)
+            if new:
+                learn(list(new))
+        get = (self.pieces.__getitem__, self.chunks.__getitem__)
+        return [b"".join(map(get[o], c)) for c, o in zip(cut, odd, strict=True)]
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's ids plus the end id, cut into pieces of ``capacity``: id, piece, start, length, ids_crc32, ids."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary).decode())
+    """Every row's ids plus the end id, cut into pieces of ``capacity``: id, piece, start, length, ids_crc32."""
+    raw = read_vocabulary(vocabulary)
+    spec, name = docs.sparkSession.sparkContext.broadcast(raw.decode()), f"chunks {zlib.crc32(raw)}"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_str(spec.value)
-        memo = Memo(300_000)
+        tokenizer = once_in_worker(name, lambda: ChunkTokenizer(spec.value))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in small_batches(texts):
-                # the vocabulary drops white space and never looks across it
-                split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts[a:b]]
-                memo.age()
-                new = sorted({w for ws in split for w in ws if not memo.known(w)})
-                if new:
-                    for w, e in zip(new, library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        memo[w] = np.array(e.ids, "<u4").tobytes()
                 rows: list[list] = [[], [], [], [], []]
-                for i, ws in zip(range(a, b), split, strict=True):
-                    ids = b"".join(map(memo.__getitem__, ws)) + end
+                for i, ids in enumerate(tokenizer.ids(texts[a:b]), a):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         for column, x in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
