@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from probelake.llm import set_sketch
 from probelake.llm.bpe_count import Memo, small_batches
-from probelake.llm.common import OTHER_SPACE, connected_components, store
+from probelake.llm.common import OTHER_SPACE, connected_components, once_in_worker, store
 
 BANDS = 32
 BLOCK = 256
@@ -46,13 +46,13 @@ class Shingler:
     def __init__(self, size: int):
         import xxhash
 
-        self.size, self.hash, self.memo = size, xxhash.xxh3_64_intdigest, Memo(300_000)
+        self.size, self.hash, self.memo = size, xxhash.xxh3_64_intdigest, Memo(120_000)
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [[w for w in (t or "").translate(_LOWER).split(" ") if w] for t in texts]
         memo = self.memo
         memo.age()
-        for w in {w for ws in split for w in ws if not memo.known(w)}:
+        for w in set().union(*split).difference(memo, memo.old):
             memo[w] = self.hash(w.encode("utf-8"))
         get = memo.__getitem__
         return [self._set(np.fromiter(map(get, ws), np.uint64, len(ws))) for ws in split]
@@ -76,7 +76,7 @@ def _sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        shingler = Shingler(size)
+        shingler = once_in_worker(f"shingles {size}", lambda: Shingler(size))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in small_batches(texts):
@@ -99,7 +99,7 @@ def _sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
+        shingler = once_in_worker(f"shingles {size}", lambda: Shingler(size))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in small_batches(texts):

@@ -18,6 +18,7 @@ ids stay null; further columns are ignored; empty tables give no rows.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelake.llm.bpe_count import Memo, small_batches
-from probelake.llm.common import labelled_sample
+from probelake.llm.common import labelled_sample, once_in_worker
 
 #: Symbols of the character model: boundary, a-z, ß, à-ÿ, other letters, digits, the rest.
 SYMBOLS = 62
@@ -168,7 +169,7 @@ class FeatureReader:
     """Feature indices of texts, each distinct token being read once."""
 
     def __init__(self, log_p: np.ndarray, index: dict[str, int] | None):
-        self.restorer, self.index, self.memo = Restorer(log_p), index, Memo(300_000)
+        self.restorer, self.index, self.memo = Restorer(log_p), index, Memo(120_000)
 
     def _of(self, word: str):
         found = _features(word)
@@ -179,7 +180,7 @@ class FeatureReader:
         split = [t.split() for t in low]
         memo = self.memo
         memo.age()
-        for t in {t for ts in split for t in ts if not memo.known(t)}:
+        for t in set().union(*split).difference(memo, memo.old):
             memo[t] = self._of(self.restorer.restore(t))
         get, out = memo.__getitem__, []
         for t, ts in zip(low, split, strict=True):
@@ -269,10 +270,10 @@ def _scorer(model: ToxicityModel):
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, name = docs.sparkSession.sparkContext.broadcast(model), f"toxicity {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(held.value)
+        score = once_in_worker(name, lambda: _scorer(held.value))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in small_batches(texts):
@@ -284,11 +285,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below ``least``, columns unchanged."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, name = docs.sparkSession.sparkContext.broadcast(model), f"toxicity {uuid.uuid4().hex}"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(held.value)
+        score = once_in_worker(name, lambda: _scorer(held.value))
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in small_batches(texts):
