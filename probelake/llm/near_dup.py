@@ -69,7 +69,7 @@ class Shingler:
 
 def rows_per_band(threshold: float) -> int:
     """Rows at which a pair at the threshold agrees in about a third of the bands."""
-    return max(2, int(np.floor(np.log(0.33) / np.log(threshold))))
+    return max(2, int(np.floor(np.log(0.325) / np.log(threshold))))
 
 
 def _sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _block_links(percent: int, m: int):
     return run
 
 
-def _residual_links(members: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
+def _residual_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
     """Links between members of a bucket that its centres have left in several components."""
     labelled = members.join(comps, members["id"] == comps["node"], "left").select("bucket", "id", "centre", F.coalesce("component", "id").alias("comp"))
     labelled = store(labelled, "labelled")
@@ -194,7 +194,7 @@ def _residual_links(members: DataFrame, comps: DataFrame, reps: DataFrame, sets:
     # bands often repeat a bucket: one of each membership is enough
     per = per.groupBy("c", "x").agg(F.min_by(F.struct("bucket", "main", "most"), "bucket").alias("b")).select("b.*", "c")
     per = per.withColumn("q_blocks", F.ceil((F.col("c") - F.col("most")) / BLOCK).cast("int")).withColumn("t_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    rows = open_.join(per, "bucket").join(reps.select("id", "n", "regs"), "id").join(sets, "id")
+    rows = open_.join(per, "bucket").join(sets, "id")
     place = F.xxhash64("id", F.lit(3))
     base = ["bucket", "id", "comp", "n", "regs", "set"]
     targets = rows.select(*base, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"), F.pmod(place, F.col("t_blocks")).cast("int").alias("j"))
@@ -222,11 +222,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands:
     of = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
     in_range = "100 * least(n_u, n_v) >= " + str(percent) + " * greatest(n_u, n_v)"
     likely = store(_likely_pairs(pairs.join(of("u"), "u").join(of("v"), "v").where(in_range), percent, m), "likely")
-    sets = store(_full_sets(docs.join(members.select("id").distinct(), "id", "left_semi"), shingle), "sets")
+    sets = _full_sets(docs.join(members.select("id").distinct(), "id", "left_semi"), shingle)
+    sets = store(sets.join(reps.select("id", "n", "regs"), "id"), "sets")
     links = store(_verified_pairs(likely, sets, percent), "links")
 
     first = connected_components(links)
-    more = store(_residual_links(members, first, reps, sets, percent, m), "more_links")
+    more = store(_residual_links(members, first, sets, percent, m), "more_links")
     comps = connected_components(links.unionByName(more)) if more.limit(1).count() else first
     by_class = classes.join(comps, classes["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("comp"))
     out = sketches.join(by_class, "digest", "left")
