@@ -4,14 +4,20 @@ Pre-tokens are held as one ragged numpy array (symbol ids plus sequence ids).
 Each round finds the lowest-ranked adjacent pair of every sequence and applies
 it in all sequences at once, every occurrence from left to right; surviving
 symbols are the tokens. A pair made by a merge never ranks below that merge, so
-this gives the same symbols as merging one pair at a time.
-
-Defined results: a null or empty text has 0 bytes and 0 tokens. Repeated rows
-give repeated results; null ids stay null; further columns are ignored.
+this gives the same symbols as merging one pair at a time. Long pre-tokens are merged
+by an index from ranks to places, so a round costs what it merges and not the
+sequence's length.
+
+Defined results: a null or empty text has 0 bytes and 0 tokens. Very long texts and
+pre-tokens are counted whole, in time and memory about in proportion. Repeated rows
+give repeated results; null ids stay null; further columns, whatever their names, are
+ignored; an empty table gives no rows. Ties cannot occur: ranks are distinct, and of
+overlapping places the leftmost is merged.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
@@ -19,17 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from probelake.llm.common import once_in_worker
+from probelake.llm.common import Memo, once_in_worker, text_runs
 
 #: White space of the pre-tokenizer's pattern, as a character class.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: The byte-level pre-tokenizer's pattern (a fixed value of the vocabulary file's library).
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Remembered units and pieces of each worker: two generations of this many.
-MEMO = 120_000
+#: Pieces of more bytes than this are merged through the index of ranks.
+LONG = 400
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,28 +46,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Memo(dict):
-    """A bounded memo: when the young generation is full it becomes the old one."""
-
-    def __init__(self, limit: int = MEMO):
-        super().__init__()
-        self.old: dict = {}
-        self.limit = limit
-
-    def __missing__(self, key):
-        value = self.old[key]  # KeyError: unknown
-        self[key] = value
-        return value
-
-    def known(self, key) -> bool:
-        return key in self or key in self.old
-
-    def age(self) -> None:
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-
 class ArrayBpe:
     """Counts the tokens of byte strings with a byte-level BPE vocabulary."""
 
@@ -77,6 +62,7 @@ class ArrayBpe:
         self.size = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.parts = np.array([[vocab[a], vocab[b]] for a, b in merges], np.int64).reshape(-1, 2)
         self.order = np.argsort(keys, kind="stable")
         self.keys, self.made = keys[self.order], made
         self.special = [t["content"] for t in j.get("added_tokens", [])]
@@ -92,7 +78,64 @@ class ArrayBpe:
 
     def merge(self, pieces: list[bytes]) -> np.ndarray:
         """Number of symbols left of each piece."""
+        long = np.array([len(p) > LONG for p in pieces], bool)
+        out = np.empty(len(pieces), np.int64)
+        out[~long] = self._merge_together([p for p, x in zip(pieces, long, strict=True) if not x])
+        out[long] = [self._merge_one(p) for p, x in zip(pieces, long, strict=True) if x]
+        return out
+
+    def _merge_one(self, piece: bytes) -> int:
+        """Symbols left of one long piece; each round takes the lowest rank in all its places."""
+        ids = self.first[np.frombuffer(piece, np.uint8)]
+        n, none, left = len(ids), len(self.keys), len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            rank = self._ranks(ids[at], ids[after[at]])
+            at, rank = at[rank < none], rank[rank < none]
+            if not len(at):
+                return
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cut = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, group in zip(rank[np.r_[0, cut]].tolist(), np.split(at, cut), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(group)
+
+        note(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            found = places.pop(r)
+            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            a, b = self.parts[r]
+            at = at[(ids[at] == a) & (after[at] < n)]
+            at = at[ids[after[at]] == b]
+            if not len(at):
+                continue
+            if a == b:  # of overlapping occurrences every second one stands, from the left
+                begins = np.r_[True, after[at[:-1]] != at[1:]]
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+            gone = after[at]
+            ids[at], ids[gone] = self.made[r], -1
+            beyond = after[gone]
+            after[at] = beyond
+            inside = beyond < n
+            before[beyond[inside]] = at[inside]
+            left -= len(at)
+            prior = before[at]
+            note(np.unique(np.concatenate([prior[prior >= 0], at[inside]])))
+        return left
+
+    def _merge_together(self, pieces: list[bytes]) -> np.ndarray:
+        """Symbols left of many short pieces, merged round by round in one array."""
         n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if not n:
+            return lengths
         ids = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
         seq = np.repeat(np.arange(n), lengths)
         out = lengths.copy()
@@ -123,14 +166,10 @@ class ArrayBpe:
             out[left] = size
         return out
 
-    def _learn(self, units: set[str]) -> None:
-        split = {u: self.piece.findall(u) for u in units}
-        new = list({p for ps in split.values() for p in ps}.difference(self.pieces, self.pieces.old))
-        if new:
-            self.pieces.update(zip(new, self.merge([p.encode() for p in new]).tolist(), strict=True))
-        for u, ps in split.items():
-            self.units[u] = sum(map(self.pieces.__getitem__, ps))
-        self.pieces.age()
+    def _count_units(self, units: list[str]) -> list[int]:
+        split = [self.piece.findall(u) for u in units]
+        get = self.pieces.reader(set().union(*split), lambda new: self.merge([p.encode() for p in new]).tolist())
+        return [sum(map(get, ps)) for ps in split]
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; special strings count one each."""
@@ -143,11 +182,7 @@ class ArrayBpe:
             else:
                 extra.append(0)
                 found.append(_UNIT.findall(t))
-        self.units.age()
-        unknown = set().union(*found).difference(self.units, self.units.old)
-        if unknown:
-            self._learn(unknown)
-        get = self.units.__getitem__
+        get = self.units.reader(set().union(*found), self._count_units)
         return [e + sum(map(get, us)) for e, us in zip(extra, found, strict=True)]
 
 
@@ -157,18 +192,6 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def small_batches(texts: list, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts of about so many characters."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= chars:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """n_bytes, n_tokens and ``over_limit`` (n_tokens > limit) of each row."""
     raw = read_vocabulary(vocabulary)
@@ -177,12 +200,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = once_in_worker(name, lambda: ArrayBpe(spec.value))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n: list[int] = []
-            for a, b in small_batches(texts):
-                n += counter.count(texts[a:b])
+            n = [x for _, texts in text_runs(batch, 1) for x in counter.count([t or "" for t in texts])]
+            n_bytes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [batch.column(0), n_bytes, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 

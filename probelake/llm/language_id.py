@@ -11,21 +11,22 @@ chosen by a hash of the id; prediction reads whole texts.
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and
 for all texts if nothing can be learned; ties go to the language with more training
-rows, then by name; repeated rows give repeated results; further columns are ignored.
+rows, then by name; very long texts are read whole, in memory in proportion; repeated
+rows give repeated results; null ids stay null (and may be learned from); further
+columns, whatever their names, are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.bpe_count import small_batches
-from probelake.llm.common import store
+from probelake.llm.common import once_in_worker, store, text_runs
 from probelake.llm.set_sketch import finish
 
 SIZES = (2, 3, 4)
@@ -49,7 +50,7 @@ def _letter_table() -> np.ndarray:
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size: 64-bit hashes and the index of the text of each."""
-    joined = " \x00 ".join(texts)
+    joined = " " + " \x00 ".join(texts) + " "
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     ends = codes == 0
     owner = np.cumsum(ends)
@@ -131,16 +132,19 @@ def train_filters(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id
     rates = docs.sparkSession.createDataFrame([(x, min(1.0, train_docs / n)) for x, n in sizes.items()], "lang string, rate double")
     sample = rows.join(F.broadcast(rates), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("rate")).select("lang", "text")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                texts = _clean(part["text"].tolist())
-                hs = [h for a, b in small_batches(texts) for h, _ in grams(texts[a:b])]
-                if hs:
-                    h, n = np.unique(np.concatenate(hs), return_counts=True)
-                    yield pd.DataFrame({"gram": h.view(np.int64), "lang": np.int32(index[lang]), "n": n.astype(np.int64)})
-
-    seen = sample.mapInPandas(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for a, texts in text_runs(batch, 1):
+                clean = _clean(texts)
+                for lang in set(langs[a : a + len(texts)]):
+                    hs = [h for h, _ in grams([t for t, x in zip(clean, langs[a:], strict=False) if x == lang])]
+                    if hs:
+                        h, n = np.unique(np.concatenate(hs), return_counts=True)
+                        code = np.full(len(h), index[lang], np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code), pa.array(n.astype(np.int64))], names=["gram", "lang", "n"])
+
+    seen = sample.mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     seen = store(seen, "language_grams")
     # masks only depend on n-grams seen often enough to tell languages apart
     total = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -159,14 +163,14 @@ def train_filters(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id
 def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score of each row."""
     held = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.masks))
+    name = f"languages {filters.languages} {zlib.crc32(filters.masks.tobytes())}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LanguageFilters(*held.value)
+        model = once_in_worker(name, lambda: LanguageFilters(*held.value))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in small_batches(texts):
-                lang, score = model.predict(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+            for a, texts in text_runs(batch, 1):
+                lang, score = model.predict(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")

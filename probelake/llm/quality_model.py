@@ -6,13 +6,15 @@ came earlier in the document) and encoded by a small learned layer; gated attent
 weighs the encodings, and the weighted sum is scored. Encoder, attention and scorer
 are learned together from document labels only.
 
-Learning uses at most ``train_docs`` labelled documents and of each at most
-``TRAIN_PASSAGES`` passages, evenly spaced (documented bounds); scoring reads every
-passage of every text.
+Learning uses at most ``train_docs`` labelled documents (a documented bound) and all
+their passages, measured in tasks; the driver holds 16 numbers of each passage. Scoring
+reads every passage of every text.
 
 Defined results: a null or empty text is a bag of one empty passage; with no labels
-of both kinds all scores are 0.5; repeated rows give repeated results; null ids stay
-null; further columns are ignored; empty tables give no rows.
+of both kinds all scores are 0.5; very long texts are read whole, in memory in
+proportion; texts of equal features tie, whatever their order; repeated rows give
+repeated results; null ids stay null; further columns, whatever their names, are
+ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.bpe_count import small_batches
-from probelake.llm.common import labelled_sample
+from probelake.llm.common import drop_stored, labelled_sample, text_runs
 
 PASSAGE = 64
-TRAIN_PASSAGES = 64
 # kinds of characters
 _SPACE, _LINE, _LOWER, _UPPER, _DIGIT, _SYMBOL, _STOP, _REST = range(8)
 KINDS = 8
@@ -202,21 +201,17 @@ def train_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col:
     """Learn from a bounded sample; ``may_learn`` is a condition on the columns ``id`` and ``label``."""
     sample = labelled_sample(docs, labels, target, train_docs, may_learn, id_col, text_col)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, b in small_batches(texts):
-                x, of = passage_features(texts[a:b])
-                rows = []
-                for i in range(b - a):
-                    own = x[np.searchsorted(of, i) : np.searchsorted(of, i + 1)]
-                    if len(own) > TRAIN_PASSAGES:
-                        own = own[np.linspace(0, len(own) - 1, TRAIN_PASSAGES).astype(int)]
-                    rows.append(own.astype(np.float32).tobytes())
-                part = pdf.iloc[a:b]
-                yield pd.DataFrame({"id": part["id"].astype(str), "label": part["label"], "weight": part["weight"], "x": rows})
-
-    rows = sample.mapInPandas(encode, "id string, label int, weight double, x binary").toArrow()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, texts in text_runs(batch, 0):
+                x, of = passage_features(texts)
+                bounds = np.searchsorted(of, np.arange(len(texts) + 1))
+                bags = [x[i:j].astype(np.float32).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), *[c.slice(a, len(texts)) for c in batch.columns[1:]]], names=["x", "id", "label", "weight"])
+
+    wanted = sample.select("text", F.col("id").cast("string").alias("id"), "label", "weight")
+    rows = wanted.mapInArrow(encode, "x binary, id string, label int, weight double").toArrow()
+    drop_stored(sample)
     y = rows["label"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return _untrained()
@@ -233,9 +228,8 @@ def score_quality(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in small_batches(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(held.value.score(texts[a:b]))], names=[id_col, "score"])
+            for a, texts in text_runs(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(held.value.score(texts))], names=[id_col, "score"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
