@@ -7,17 +7,22 @@ distinct word shingles (the whole sequence as one where words are fewer). Steps:
    set and its registers; documents with equal digests are one class;
 2. the registers' bands deal classes into buckets; members are compared with two
    centres of their bucket, first by likelihood, then on full sets;
-3. where a bucket still holds several components, the members outside its largest
-   component are compared with all members, block by block, and what passes the
-   likelihood is verified on full sets inside the task;
+3. where a bucket's other members still belong to several components, those outside
+   the largest one are compared with all: registers alone find, block by block, the
+   members that have a likely partner in another component (a pair counts in the first
+   band in which it meets), and only these meet again with their full sets;
 4. components of the verified links.
 
 No link is taken unverified. Buckets of any size are handled: centres cost a row
-a member, and blocks bound what one task holds.
+a member, and blocks are bounded in rows and in bytes of sets.
 
 Defined results: a null or empty text has an empty set and links with nothing;
-rows with equal id and text get equal results; a null id links with nothing and
-has a null component; further columns are ignored; empty tables give no rows.
+repeated rows get equal results; different texts of one id are documents of their own,
+whose component is the smallest id among the texts that they reach; a null id links with
+nothing and has a null component; ties of equal estimates go by node number; very long
+texts are read whole, in memory in proportion; further columns, whatever their names,
+are ignored (or kept as they are by :func:`drop_near_duplicates`); empty tables give no
+rows.
 """
 
 from __future__ import annotations
@@ -27,15 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelake.llm import set_sketch
-from probelake.llm.bpe_count import Memo, small_batches
-from probelake.llm.common import OTHER_SPACE, connected_components, once_in_worker, store
+from probelake.llm.common import OTHER_SPACE, Memo, connected_components, drop_stored, once_in_worker, store, text_runs
 
 BANDS = 32
-BLOCK = 256
+#: Rows, and bytes of full sets, aimed at in one block of a bucket.
+BLOCK = 1024
+BLOCK_BYTES = 8_000_000
 _LOWER = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {ord(c): " " for c in OTHER_SPACE}
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -46,15 +52,11 @@ class Shingler:
     def __init__(self, size: int):
         import xxhash
 
-        self.size, self.hash, self.memo = size, xxhash.xxh3_64_intdigest, Memo(120_000)
+        self.size, self.hash, self.memo = size, xxhash.xxh3_64_intdigest, Memo()
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [[w for w in (t or "").translate(_LOWER).split(" ") if w] for t in texts]
-        memo = self.memo
-        memo.age()
-        for w in set().union(*split).difference(memo, memo.old):
-            memo[w] = self.hash(w.encode("utf-8"))
-        get = memo.__getitem__
+        get = self.memo.reader(set().union(*split), lambda new: [self.hash(w.encode("utf-8")) for w in new])
         return [self._set(np.fromiter(map(get, ws), np.uint64, len(ws))) for ws in split]
 
     def _set(self, w: np.ndarray) -> np.ndarray:
@@ -73,14 +75,15 @@ def rows_per_band(threshold: float) -> int:
 
 
 def _sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
+    """id, mark, set size, digest and registers of each row of (id, mark, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingler = once_in_worker(f"shingles {size}", lambda: Shingler(size))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in small_batches(texts):
-                sets = shingler.sets(texts[a:b])
+            for a, texts in text_runs(batch, 2):
+                sets = shingler.sets(texts)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = [s for s in sets if len(s)]
                 regs: list = [None] * len(sets)
@@ -90,23 +93,23 @@ def _sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
                     for i, r in zip(np.flatnonzero(n), made, strict=True):
                         regs[i] = r.tobytes()
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["id", "n", "digest", "regs"]
-                )
+                of = [c.slice(a, len(texts)) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(n), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["id", "mark", "n", "digest", "regs"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, regs binary")
+    return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n long, digest binary, regs binary")
 
 
 def _full_sets(docs: DataFrame, size: int) -> DataFrame:
+    """node and set of each row of (node, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = once_in_worker(f"shingles {size}", lambda: Shingler(size))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in small_batches(texts):
-                sets = [s.tobytes() for s in shingler.sets(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "set"])
+            for a, texts in text_runs(batch, 1):
+                sets = [s.tobytes() for s in shingler.sets(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.select("node", "text").mapInArrow(run, "node long, set binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -143,27 +146,57 @@ def _verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
             ok = [_alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(pdf["set_u"], pdf["set_v"], strict=True)]
             yield pdf.loc[np.array(ok, bool), ["u", "v"]]
 
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("set_u")), "u")
-    both = both.join(sets.select(F.col("id").alias("v"), F.col("set").alias("set_v")), "v")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
     return both.select("u", "v", "set_u", "set_v").mapInPandas(run, "u long, v long")
 
 
-def _block_links(percent: int, m: int):
-    """Links between the queries and the members of one block of a bucket."""
-    least = _margin(percent / 100, m)
+class _Block:
+    """Queries and targets of one block of a bucket, and their likely pairs across components."""
+
+    def __init__(self, pdf: pd.DataFrame, least: float, m: int, bands: int):
+        self.pdf, self.least, self.m, self.bands = pdf, least, m, bands
+        self.comps, self.n = pdf["comp"].to_numpy(), pdf["n"].to_numpy(float)
+        self.regs = np.frombuffer(b"".join(pdf["regs"]), np.uint8).reshape(-1, m)
+        is_query = pdf["query"].to_numpy(bool)
+        self.queries, self.targets = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        self.band = int(pdf["band"].iloc[0])
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, likely targets, their estimates) for pairs that meet in no earlier band."""
+        t = self.targets
+        for i in self.queries:
+            above, below = (self.regs[i] > self.regs[t]).sum(1), (self.regs[i] < self.regs[t]).sum(1)
+            near = (self.comps[t] != self.comps[i]) & (above + below <= (1.05 - self.least) * self.m)
+            ok = np.flatnonzero(near)
+            if not len(ok):
+                continue
+            same = (self.regs[t[ok]] == self.regs[i]).reshape(len(ok), self.bands, -1).all(2)
+            ok = ok[~same[:, : self.band].any(1)]
+            j = set_sketch.estimate(above[ok], below[ok], np.full(len(ok), self.n[i]), self.n[t[ok]], self.m)
+            if (j >= self.least).any():
+                yield i, t[ok[j >= self.least]], j[j >= self.least]
+
+
+def _block_candidates(least: float, m: int, bands: int):
+    """The rows of a block that have a likely partner in another component, by registers alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros(len(pdf), bool)
+        for i, partners, _ in _Block(pdf, least, m, bands).pairs():
+            found[i] = True
+            found[partners] = True
+        return pdf.loc[found, ["band", "bucket", "i", "j", "node", "comp", "query"]]
+
+    return run
+
+
+def _block_links(percent: int, least: float, m: int, bands: int):
+    """Verified links that join the components of a block's candidates."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, is_query = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["query"].to_numpy(bool)
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint8).reshape(-1, m)
-        n, raw = pdf["n"].to_numpy(float), pdf["set"].tolist()
-        q, t = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        found = []
-        for i in q:
-            above, below = (regs[i] > regs[t]).sum(1), (regs[i] < regs[t]).sum(1)
-            ok = np.flatnonzero((comps[t] != comps[i]) & (above + below <= (1.05 - least) * m))
-            if len(ok):
-                j = set_sketch.estimate(above[ok], below[ok], np.full(len(ok), n[i]), n[t[ok]], m)
-                found += [(x, i, t[k]) for x, k in zip(j, ok, strict=True) if x >= least]
+        block, nodes, raw = _Block(pdf, least, m, bands), pdf["node"].to_numpy(), pdf["set"].tolist()
+        found = [(x, int(i), int(k)) for i, partners, j in block.pairs() for x, k in zip(j.tolist(), partners, strict=True)]
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -172,72 +205,112 @@ def _block_links(percent: int, m: int):
             return x
 
         links = []
-        for _, i, k in sorted(found, key=lambda x: -x[0]):
-            a, b = top(int(comps[i])), top(int(comps[k]))
+        for _, i, k in sorted(found, key=lambda x: (-x[0], nodes[x[1]], nodes[x[2]])):
+            a, b = top(int(block.comps[i])), top(int(block.comps[k]))
             if a != b and _alike(np.frombuffer(raw[i], np.uint64), np.frombuffer(raw[k], np.uint64), percent):
                 root[max(a, b)] = min(a, b)
-                links.append((int(ids[i]), int(ids[k])))
+                links.append((int(nodes[i]), int(nodes[k])))
         return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
     return run
 
 
-def _residual_links(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
+def _blocks(size: Column, of_bytes: Column) -> Column:
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(of_bytes / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _residual_links(members: DataFrame, comps: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, m: int, bands: int) -> DataFrame | None:
     """Links between members of a bucket that its centres have left in several components."""
-    labelled = members.join(comps, members["id"] == comps["node"], "left").select("bucket", "id", "centre", F.coalesce("component", "id").alias("comp"))
-    labelled = store(labelled, "labelled")
-    # only links between members that are not centres are still unknown
-    others = labelled.where("id <> centre").groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z")
-    open_ = labelled.join(others.select("bucket"), "bucket", "left_semi")
-    sizes = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"))
-    per = sizes.groupBy("bucket").agg(F.sum("c").alias("c"), F.bit_xor("x").alias("x"), F.max_by("comp", "c").alias("main"), F.max("c").alias("most"))
-    # bands often repeat a bucket: one of each membership is enough
-    per = per.groupBy("c", "x").agg(F.min_by(F.struct("bucket", "main", "most"), "bucket").alias("b")).select("b.*", "c")
-    per = per.withColumn("q_blocks", F.ceil((F.col("c") - F.col("most")) / BLOCK).cast("int")).withColumn("t_blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    rows = open_.join(per, "bucket").join(sets, "id")
-    place = F.xxhash64("id", F.lit(3))
-    base = ["bucket", "id", "comp", "n", "regs", "set"]
+    least = _margin(percent / 100, m)
+    # what touches a centre has been compared
+    rest = members.where("node <> centre AND node <> second").select("band", "bucket", "node")
+    rest = rest.join(comps, "node", "left").select("band", "bucket", "node", F.coalesce("component", "node").alias("comp"))
+    rest = store(rest.join(sketches.select("node", "n"), "node"), "labelled")
+    key = ["band", "bucket"]
+    several = rest.groupBy(*key).agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select(*key)
+    open_ = rest.join(several, key, "left_semi")
+    sizes = open_.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    main = F.max_by(F.struct("comp", "c", "s"), F.struct("c", "comp")).alias("m")
+    per = sizes.groupBy(*key).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), main)
+    # bands often repeat a bucket: the first of each membership is enough
+    per = per.groupBy("c", "x").agg(F.min_by(F.struct(*key, "m", "s"), "band").alias("b")).select("b.band", "b.bucket", "b.m", "c", "b.s")
+    per = store(
+        per.select(*key, F.col("m.comp").alias("main"), _blocks(F.col("c") - F.col("m.c"), 8 * (F.col("s") - F.col("m.s"))).alias("q_blocks"), _blocks(F.col("c"), 8 * F.col("s")).alias("t_blocks")),
+        "open_buckets",
+    )
+    if not per.limit(1).count():
+        return None
+    rows = open_.join(per, key).join(sketches.select("node", "regs"), "node")
+    place = F.xxhash64("node", F.lit(3))
+    base = [*key, "node", "comp", "n", "regs"]
     targets = rows.select(*base, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"), F.pmod(place, F.col("t_blocks")).cast("int").alias("j"))
     asks = rows.where("comp <> main").select(*base, F.lit(True).alias("query"), F.pmod(place, F.col("q_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("j"))
-    return targets.unionByName(asks).groupBy("bucket", "i", "j").applyInPandas(_block_links(percent, m), "u long, v long")
+    at = [*key, "i", "j"]
+    likely = targets.unionByName(asks).groupBy(*at).applyInPandas(_block_candidates(least, m, bands), "band int, bucket long, i int, j int, node long, comp long, query boolean")
+    likely = store(likely, "candidates")
+    full = likely.join(sets, "node").join(sketches.select("node", "n", "regs"), "node")
+    return store(full.groupBy(*at).applyInPandas(_block_links(percent, least, m, bands), "u long, v long"), "more_links")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable) and ``kept`` of each row."""
+def _components(docs: DataFrame, shingle: int, percent: int, bands: int, id_col: str, text_col: str) -> DataFrame:
+    """id, mark (a hash of the text), n, group (of linked texts, null without words) and component of each row."""
     r = rows_per_band(percent / 100)
     m = bands * r
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = store(_sketches(docs, shingle, m), "sketches")
-    full = sketches.where("id IS NOT NULL AND n > 0")
-    classes = store(full.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = store(full.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"]), "reps")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    rows = store(_sketches(docs, shingle, m), "sketches")
+    full = rows.where("id IS NOT NULL AND n > 0")
+    # equal digests mean equal sets, hence equal sizes and registers
+    classes = full.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = store(classes.select("digest", "rep.id", "rep.mark", "n", "regs", F.monotonically_increasing_id().alias("node")), "classes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * r + 1, F.lit(r))))
-    banded = reps.select("id", F.explode(keys).alias("bucket"))
-    met = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("centre"), F.min(F.struct(F.xxhash64("id", F.lit(7)), "id"))["id"].alias("second")).where("c > 1")
-    members = store(banded.join(met, "bucket").select("bucket", "id", "centre", "second"), "members")
-
-    pairs = members.select("id", F.explode(F.array("centre", "second")).alias("c")).where("id <> c")
-    pairs = pairs.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct()
-    of = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
+    banded = classes.select("node", F.posexplode(keys).alias("band", "bucket"))
+    second = F.min(F.struct(F.xxhash64("node", F.lit(7)), "node"))["node"].alias("second")
+    met = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("centre"), second).where("c > 1")
+    members = store(banded.join(met, ["band", "bucket"]).select("band", "bucket", "node", "centre", "second"), "members")
+
+    pairs = members.select("node", F.explode(F.array("centre", "second")).alias("c")).where("node <> c")
+    pairs = pairs.select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
+    of = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
     in_range = "100 * least(n_u, n_v) >= " + str(percent) + " * greatest(n_u, n_v)"
     likely = store(_likely_pairs(pairs.join(of("u"), "u").join(of("v"), "v").where(in_range), percent, m), "likely")
-    sets = _full_sets(docs.join(members.select("id").distinct(), "id", "left_semi"), shingle)
-    sets = store(sets.join(reps.select("id", "n", "regs"), "id"), "sets")
+    wanted = classes.select("id", "mark", "node").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.where("id IS NOT NULL").join(wanted, ["id", "mark"]).groupBy("id", "mark").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    sets = store(_full_sets(texts, shingle), "sets")
     links = store(_verified_pairs(likely, sets, percent), "links")
+    drop_stored(likely)
+
+    comps = connected_components(links)
+    more = _residual_links(members, comps, classes, sets, percent, m, bands)
+    if more is not None:
+        comps = connected_components(links.unionByName(more))
+    linked = classes.select("digest", "id", "node").join(comps, "node")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    linked = linked.join(least, "component").select("digest", "component", "least")
+    of_class = classes.select("digest", "id", "node").join(linked, "digest", "left")
+    of_class = of_class.select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("least", "id").alias("component"))
+    found = full.join(of_class, "digest").select("id", "mark", "n", "group", "component")
+    # rows without a set are kept out of the join: they would all meet in one task
+    rest = rows.where("id IS NULL OR n = 0").select("id", "mark", "n", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"))
+    return found.unionByName(rest)
+
 
-    first = connected_components(links)
-    more = store(_residual_links(members, first, sets, percent, m), "more_links")
-    comps = connected_components(links.unionByName(more)) if more.limit(1).count() else first
-    by_class = classes.join(comps, classes["rep"] == comps["node"], "left").select("digest", F.coalesce("component", "rep").alias("comp"))
-    out = sketches.join(by_class, "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates; rows without an id all stay."""
-    verdicts = near_duplicates(docs, shingle, percent, id_col=id_col, text_col=text_col)
-    kept = verdicts.where(F.col("kept")).select(id_col).distinct()
-    known = docs.join(kept, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col])
-    return known.unionByName(docs.where(F.col(id_col).isNull()))
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable) and ``kept`` of each row."""
+    found = _components(docs, shingle, percent, bands, id_col, text_col)
+    kept = F.coalesce(F.col("component") == F.col("id"), F.lit(True))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: the least id's, and of its texts the one of least hash.
+
+    Unlike texts that share an id all stay, as do rows without an id; of rows that repeat
+    id and text one stays.
+    """
+    found = _components(docs, shingle, percent, bands, id_col, text_col).where("id IS NOT NULL")
+    # texts without words are alike by id alone
+    kept = store(found.groupBy("component", "group").agg(F.min(F.struct("id", "mark")).alias("k")).select("k.id", "k.mark"), "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"))
+    known = rows.join(kept, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return known.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))
