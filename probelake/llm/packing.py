@@ -1,16 +1,21 @@
 """Best-fit packing under several capacities.
 
-Pieces are counted by length: at most ``capacity`` distinct lengths, whatever the
-corpus size. The driver packs these counts, longest first: bins in the same state
-(residual tokens, documents and attention cost) form a group, and a length's items
-go to the feasible group that scores best, by the weighted dot product of item and
-residual or by the least residual norm, as many at once as the group has bins.
-Constraints that can never bind are left out of the state. The resulting plan says
-which ranks of which length go to which bins; pieces get their rank inside their
-length from bucket counts, so no length, however frequent, is sorted in one task.
-
-Defined results: a null text counts as empty (only its end id); repeated rows are
-packed separately; an empty table gives no rows; further columns are ignored.
+A piece takes tokens, a place among a sequence's documents and attention cost (its length
+squared); a sequence has a capacity of each. Pieces are counted by length: at most
+``capacity`` distinct lengths, whatever the corpus size. The driver packs these counts,
+longest first: bins in the same state (used tokens, documents and attention cost) form a
+group, and a length's items go to the group that scores best among those with room in
+every capacity, by the weighted dot product of item and residual or by the least residual
+norm, as many at once as the group has bins. Unless narrower limits are given, documents
+and attention have the capacities that a sequence of ``capacity`` tokens can reach, so
+they steer the choice without forbidding what the tokens allow. The resulting plan says
+which ranks of which length go to which bins; pieces get their rank inside their length
+from two levels of bucket counts, so no length, however frequent, is sorted in one task.
+
+Defined results: a null text counts as empty (only its end id); very long texts are read
+whole and cut; equal scores go to the group that was opened first; repeated rows are
+packed separately; null ids stay null; an empty table gives no rows; further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelake.llm.bpe_count import Memo, read_vocabulary, small_batches
-from probelake.llm.common import once_in_worker, store
+from probelake.llm.bpe_count import read_vocabulary
+from probelake.llm.common import Memo, once_in_worker, store, text_runs
 
 CAPACITY = 2048
 
@@ -45,7 +50,7 @@ class ChunkTokenizer:
     end mark); the library gets the white-space-free chunks of other texts as they are.
     """
 
-    def __init__(self, spec: str, memo: int = 150_000):
+    def __init__(self, spec: str, memo: int = 12_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,19 +60,20 @@ class ChunkTokenizer:
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.pieces, self.chunks = Memo(memo), Memo(memo // 4)
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         for at in range(0, len(pieces), 2000):
             part = pieces[at : at + 2000]
             ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             bounds, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
             if len(bounds) == len(part):
-                self.pieces.update(zip(part, [raw[x:y] for x, y in zip([0, *bounds[:-1]], bounds, strict=True)], strict=True))
+                out += [raw[x:y] for x, y in zip([0, *bounds[:-1]], bounds, strict=True)]
             else:  # not parted as foreseen
-                self._learn_whole(part, self.pieces)
+                out += self._of_chunks(part)
+        return out
 
-    def _learn_whole(self, parts: list[str], memo: Memo) -> None:
-        for p, e in zip(parts, self.library.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, "<u4").tobytes()
+    def _of_chunks(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         cut, odd = [], []
@@ -75,12 +81,9 @@ class ChunkTokenizer:
             t = t or ""
             odd.append(_ODD.search(t) is not None)
             cut.append(t.replace("\n", " ").replace("\t", " ").split(" ") if odd[-1] else _PIECE.findall(t.lower()))
-        for memo, learn, wanted in ((self.pieces, self._learn_pieces, False), (self.chunks, lambda x: self._learn_whole(x, self.chunks), True)):
-            memo.age()
-            new = set().union(*[c for c, o in zip(cut, odd, strict=True) if o is wanted]).difference(memo, memo.old)
-            if new:
-                learn(list(new))
-        get = (self.pieces.__getitem__, self.chunks.__getitem__)
+        get = []
+        for memo, make, wanted in ((self.pieces, self._of_pieces, False), (self.chunks, self._of_chunks, True)):
+            get.append(memo.reader(set().union(*[c for c, o in zip(cut, odd, strict=True) if o is wanted]), make))
         return [b"".join(map(get[o], c)) for c, o in zip(cut, odd, strict=True)]
 
 
@@ -93,10 +96,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = once_in_worker(name, lambda: ChunkTokenizer(spec.value))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in small_batches(texts):
+            for a, texts in text_runs(batch, 1):
                 rows: list[list] = [[], [], [], [], []]
-                for i, ids in enumerate(tokenizer.ids(texts[a:b]), a):
+                for i, ids in enumerate(tokenizer.ids(texts), a):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
@@ -114,16 +116,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
 class VectorPacker:
     """Packs counts of lengths; states of bins are (used tokens, documents, attention)."""
 
-    def __init__(self, capacity: int, max_docs: int | None, max_attention: float | None, rule: str = "norm", weights=(1.0, 0.05, 0.05)):
-        self.capacity = capacity
-        self.max_docs = max_docs if max_docs is not None and max_docs < capacity else None
-        # the attention cost of a bin never exceeds capacity squared
-        self.max_attention = max_attention if max_attention is not None and max_attention < capacity**2 else None
-        self.rule, self.weights = rule, np.array(weights)
-        self.limits = np.array([capacity, self.max_docs or capacity, self.max_attention or capacity**2], float)
+    def __init__(self, capacity: int, max_docs: int | None = None, max_attention: float | None = None, rule: str = "norm", weights=(1.0, 0.05, 0.05)):
+        self.capacity, self.rule, self.weights = capacity, rule, np.array(weights)
+        # a sequence of so many tokens has no more documents and attention cost than this
+        self.limits = np.array([capacity, max_docs or capacity, max_attention or capacity**2], float)
 
     def _item(self, length: int) -> tuple[float, float, float]:
-        return float(length), 1.0 if self.max_docs else 0.0, float(length) ** 2 if self.max_attention else 0.0
+        return float(length), 1.0, float(length) ** 2
 
     def pack(self, counts: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int]], int]:
         """Plan rows (length, first rank, items, first bin, offset) and the number of bins."""
@@ -186,44 +185,52 @@ class VectorPacker:
         return plan, bins
 
 
-def pack_pieces(
-    pieces: DataFrame,
-    capacity: int = CAPACITY,
-    max_docs: int | None = None,
-    max_attention: float | None = None,
-    rule: str = "norm",
-    id_col: str = "doc_id",
-) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces; all capacities hold in every sequence."""
-    spark = pieces.sparkSession
-    keyed = pieces.withColumn("__b", F.pmod(F.xxhash64(F.col(id_col).cast("string"), "piece", "ids_crc32"), F.lit(_buckets(pieces))).cast("int"))
-    sums = store(keyed.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("n")), "pack_counts")
+#: Pieces of one bucket, and buckets of one coarse bucket, aimed at.
+_ROWS = 2000
+
+
+def _ranked(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """``pieces`` with ``p_rank``, their number from 0 among those of their length (in no particular order), and the lengths' counts."""
+    # a number of its own for each row deals even equal rows to different buckets
+    spread = F.xxhash64("length", F.monotonically_increasing_id())
+    keyed = store(pieces.withColumn("p_hash", spread), "pieces")
+    buckets = max(64, keyed.count() // _ROWS)
+    keyed = keyed.withColumn("p_b", F.pmod("p_hash", F.lit(buckets))).withColumn("p_a", F.floor(F.col("p_b") / _ROWS))
+    sums = store(keyed.groupBy("length", "p_a", "p_b").agg(F.count(F.lit(1)).alias("n")), "pack_counts")
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     counts = {int(r["length"]): int(r["n"]) for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    coarse = sums.groupBy("length", "p_a").agg(F.sum("n").alias("n"))
+    coarse = coarse.select("length", "p_a", F.coalesce(F.sum("n").over(upto("length").orderBy("p_a")), F.lit(0)).alias("p_far"))
+    before = sums.select("length", "p_a", "p_b", F.coalesce(F.sum("n").over(upto("length", "p_a").orderBy("p_b")), F.lit(0)).alias("p_near"))
+    before = before.join(coarse, ["length", "p_a"]).select("length", "p_b", (F.col("p_far") + F.col("p_near")).alias("p_before"))
+    within = F.row_number().over(Window.partitionBy("length", "p_b").orderBy("p_hash")) - 1
+    ranked = keyed.withColumn("p_in", within).join(before, ["length", "p_b"])
+    return ranked.withColumn("p_rank", F.col("p_in") + F.col("p_before")), counts
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_attention: float | None = None, rule: str = "norm") -> DataFrame:
+    """Adds ``sequence_id`` and ``offset`` to pieces; all capacities hold in every sequence."""
+    ranked, counts = _ranked(pieces)
     plan, _ = VectorPacker(capacity, max_docs, max_attention, rule).pack(counts)
-    upto = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("length", "__b", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "__b").orderBy(F.col(id_col), "piece", "start", "ids_crc32")
-    ranked = keyed.withColumn("__r", F.row_number().over(within) - 1)
-    ranked = ranked.join(before, ["length", "__b"]).withColumn("__rank", F.col("__r") + F.col("before"))
-    steps = _steps(plan)
-    found = spark.sparkContext.broadcast(steps)
-
-    def place(batches):
+    # its rows follow the distinct lengths and the groups of bins, not the pieces
+    found = pieces.sparkSession.sparkContext.broadcast(_steps(plan))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_length = found.value
-        for pdf in batches:
-            seq, off = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            length, rank = pdf["length"].to_numpy(), pdf["__rank"].to_numpy()
+        for batch in batches:
+            length, rank = (batch.column(i).to_numpy() for i in (0, 1))
+            seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
                 start, first, offset = by_length[int(x)]
                 k = np.searchsorted(start, rank[at], side="right") - 1
                 seq[at], off[at] = first[k] + rank[at] - start[k], offset[k]
-            yield pdf.drop(columns=["__rank"]).assign(sequence_id=seq, offset=off)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(seq), pa.array(off)], names=[*kept, "length", "sequence_id", "offset"])
 
     kept = [c for c in pieces.columns if c != "length"]
     kind = dict(pieces.dtypes)
     schema = ", ".join(f"`{c}` {kind[c]}" for c in kept) + ", length long, sequence_id long, offset long"
-    return ranked.select(*kept, "length", "__rank").mapInPandas(place, schema)
+    return ranked.select("length", "p_rank", *kept).mapInArrow(place, schema)
 
 
 def _steps(plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,13 +240,7 @@ def _steps(plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for k, v in out.items()}
 
 
-def _buckets(pieces: DataFrame, rows: int = 2000) -> int:
-    """Buckets of about so many pieces each, so that ranks inside one are cheap."""
-    return max(64, pieces.count() // rows)
-
-
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """Tokenize, cut and pack; see :func:`token_pieces` and :func:`pack_pieces`."""
-    pieces = store(token_pieces(docs, vocabulary, capacity, id_col=id_col, text_col=text_col), "pieces")
-    packed = pack_pieces(pieces, capacity, id_col=id_col, **limits)
+    packed = pack_pieces(token_pieces(docs, vocabulary, capacity, id_col=id_col, text_col=text_col), capacity, **limits)
     return packed.select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
