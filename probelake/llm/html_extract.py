@@ -10,18 +10,24 @@ lays out in many ways.
 
 Pages are parsed leniently: unclosed and stray tags, raw-text elements, comments and
 doctypes as browsers treat them. Character references are decoded; white space inside
-a block becomes one space; blocks are trimmed and joined by one line feed.
-
-Defined results: null or empty html gives the empty text; repeated rows give repeated
-results; null ids and urls stay null; further columns are ignored; an empty table
-gives no rows.
+a block becomes one space; blocks are trimmed and joined by one line feed. Parsing looks
+at each character a bounded number of times: open elements are found by tag, never by
+going through the stack, and a search that fails once is not repeated.
+
+Defined results: null or empty html gives the empty text; a marginal of exactly one half
+is not content; very long and malformed pages are read whole, in time in proportion;
+after the first tag whose quotes do not close, quotes no longer hide a ``>`` in that page;
+repeated rows give repeated results; null ids and urls stay null; further columns,
+whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,15 +35,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from probelake.llm.bpe_count import small_batches
+from probelake.llm.common import once_in_worker, text_runs
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
+_ATTR = re.compile(r"(?<![^\s/\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never page text.
 _SILENT = set("script style head title noscript template svg math iframe object button select option textarea canvas audio video datalist".split())
@@ -51,6 +53,7 @@ _SAME_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 _TAG_GROUPS = [set(g.split()) for g in ("article main", "section", "div center", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "table thead tbody tfoot tr td th caption", "blockquote pre figure figcaption", "nav", "header", "footer address", "aside", "form fieldset dialog details summary", "html body")]
+_GROUP_OF = {tag: i for i, group in enumerate(_TAG_GROUPS) for tag in group}
 _WORDS = [
     re.compile(p)
     for p in (
@@ -85,14 +88,137 @@ class Page:
     linked: list[int] = field(default_factory=list)
 
 
-def parse(source: str) -> Page:
-    """Block tree and text segments of a page."""
-    page = Page()
+class _Scanner:
+    """Tags of a source in order, as (text before, name, attributes, whether it closes)."""
+
+    def __init__(self, source: str):
+        self.source, self.at = source, 0
+        self.no_more: set[str] = set()
+        self.quotes = True
+        self.ends: dict[str, re.Pattern] = {}
+
+    def _find(self, what: str, start: int) -> int:
+        """Like ``str.find``, but what was not found once is not looked for again."""
+        if what in self.no_more:
+            return -1
+        i = self.source.find(what, start)
+        if i < 0:
+            self.no_more.add(what)
+        return i
+
+    def _end_of_tag(self, start: int) -> int:
+        """The place of the ``>`` that ends a tag, or -1."""
+        at = start
+        while self.quotes:
+            m = _QUOTE_OR_END.search(self.source, at)
+            if m is not None and m.group() == ">":
+                return m.start()
+            close = self._find(m.group(), m.end()) if m is not None else -1
+            if close < 0:
+                self.quotes = False
+            at = close + 1
+        return self._find(">", start)
+
+    def skip_raw(self, tag: str) -> None:
+        """Go past the end tag of a raw-text element, or to the end of the page."""
+        end = self.ends.setdefault(tag, re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I))
+        m = end.search(self.source, self.at)
+        self.at = m.end() if m else len(self.source)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, bool]]:
+        source, n, text = self.source, len(self.source), []
+        while True:
+            i = source.find("<", self.at)
+            if i < 0 or ">" in self.no_more:
+                yield "".join([*text, source[self.at :]]), "", "", False
+                return
+            text.append(source[self.at : i])
+            self.at = i
+            if source.startswith("<!--", i):
+                end = self._find("-->", i + 4)
+                self.at = end + 3 if end >= 0 else n
+                continue
+            if source.startswith("<![CDATA[", i) and (end := self._find("]]>", i + 9)) >= 0:
+                text.append(source[i + 9 : end].replace("&", "&amp;"))
+                self.at = end + 3
+                continue
+            if source[i + 1 : i + 2] in ("!", "?") and source[i + 1 : i + 2]:
+                end = self._find(">", i)
+                if end >= 0:
+                    self.at = end + 1
+                    continue
+            closing = source[i + 1 : i + 2] == "/"
+            name = _NAME.match(source, i + 1 + closing)
+            end = self._end_of_tag(name.end()) if name else -1
+            if end < 0:
+                text.append("<")
+                self.at = i + 1
+                continue
+            self.at = end + 1
+            yield "".join(text), name.group().lower(), source[name.end() : end], closing
+            text = []
+
+
+class _Tree:
+    """Open elements of a page, found by tag."""
+
+    def __init__(self, page: Page):
+        self.page = page
+        self.stack: list[tuple[str, int]] = []  # tag and its block, -1 for others
+        self.open: dict[str, list[int]] = {}  # depths of the open elements of a tag
+        self.blocks: list[int] = []  # depths of the open blocks
+        self.held: list[str] = []
+        self.silent = self.links = 0
+
+    def block(self) -> int:
+        return self.stack[self.blocks[-1]][1]
+
+    def last(self, tags) -> int:
+        """The depth of the innermost open element of some tags, or -1."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
 
-    def open_block(tag: str, attrs: str) -> int:
-        found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTR.findall(attrs)} if attrs else {}
+    def flush(self) -> None:
+        text = " ".join("".join(self.held).split())
+        self.held.clear()
+        if text:
+            self.page.segments.append((self.block(), text))
+            self.page.own[self.block()] += len(text)
+
+    def add(self, text: str) -> None:
+        if text and not self.silent:
+            text = html.unescape(text) if "&" in text else text
+            self.held.append(text)
+            if self.links:
+                self.page.linked[self.block()] += len(text.strip())
+
+    def push(self, tag: str, attrs: str) -> None:
+        block = -1
+        if tag in _BLOCK:
+            self.flush()
+            block = self._open_block(tag, attrs)
+            self.blocks.append(len(self.stack))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, block))
+        self.silent += tag in _SILENT
+        self.links += tag == "a"
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag, block = self.stack[-1]
+            if block >= 0:
+                self.flush()
+                self.blocks.pop()
+            self.stack.pop()
+            self.open[tag].pop()
+            self.silent -= tag in _SILENT
+            self.links -= tag == "a"
+
+    def _open_block(self, tag: str, attrs: str) -> int:
+        page, found = self.page, {}
+        if attrs:
+            found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _ATTR.findall(attrs)}
         page.tags.append(tag)
-        page.parents.append(next((b for t, b in reversed(stack) if b >= 0), -1))
+        page.parents.append(self.block() if self.blocks else -1)
         page.names.append(" ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label")).lower())
         page.marks.append(found.get("data-y"))
         page.hidden.append(bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) or "display:none" in found.get("style", "").replace(" ", "").lower())
@@ -100,130 +226,84 @@ def parse(source: str) -> Page:
         page.linked.append(0)
         return len(page.tags) - 1
 
-    stack: list[tuple[str, int]] = []  # tag and its block, -1 for others
-    stack.append(("html", open_block("html", "")))
-    held: list[str] = []
-    silent = links = 0
+    def close(self, tag: str) -> None:
+        depth = self.last((tag,))
+        # an inline element ends inside its block only
+        inside = tag in _BLOCK or tag in _SILENT or depth > self.blocks[-1]
+        if depth > 0 and inside:
+            self.pop_to(depth)
+        elif depth <= 0 and tag == "p":  # browsers put an empty paragraph here
+            self.flush()
+
+    def make_room(self, tag: str) -> None:
+        """Close what a new element of this tag ends."""
+        if tag in _ENDS_P:
+            if self.open.get("head"):
+                self.pop_to(self.open["head"][0])
+            if self.stack[self.blocks[-1]][0] == "p":
+                self.pop_to(self.blocks[-1])
+        if tag in _SAME_END:
+            while (depth := self.last(_SAME_END[tag])) > self.last(_SCOPE[tag]):
+                self.pop_to(depth)
+                if tag != "tr":
+                    break
 
-    def flush() -> None:
-        text = " ".join("".join(held).split())
-        held.clear()
-        if text:
-            block = next(b for _, b in reversed(stack) if b >= 0)
-            page.segments.append((block, text))
-            page.own[block] += len(text)
-
-    def pop_to(depth: int) -> None:
-        nonlocal silent, links
-        while len(stack) > depth:
-            tag, block = stack[-1]
-            if block >= 0:
-                flush()
-            stack.pop()
-            silent -= tag in _SILENT
-            links -= tag == "a"
 
-    def add(text: str) -> None:
-        if text and not silent:
-            text = html.unescape(text) if "&" in text else text
-            held.append(text)
-            if links:
-                block = next(b for _, b in reversed(stack) if b >= 0)
-                page.linked[block] += len(text.strip())
-
-    at, n = 0, len(source)
-    while at < n:
-        m = _TAG.search(source, at)
-        if not m:
-            add(source[at:])
-            break
-        add(source[at : m.start()])
-        at = m.end()
-        if m.group(0).startswith("<![CDATA["):
-            add(m.group(0)[9:-3])
-            continue
-        tag = m.group(2) or m.group(5)
-        if not tag:
+def parse(source: str) -> Page:
+    """Block tree and text segments of a page."""
+    page, scanner = Page(), _Scanner(source)
+    tree = _Tree(page)
+    tree.push("html", "")
+    for text, tag, attrs, closing in scanner:
+        tree.add(text)
+        if tag in ("", "html"):
             continue
-        tag, attrs, closing = tag.lower(), m.group(3) or m.group(6) or "", bool(m.group(1) or m.group(4))
         if closing:
-            if tag in ("html", "body"):
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    pop_to(depth)
-                    break
-                if stack[depth][1] >= 0 and tag not in _BLOCK and tag not in _SILENT:
-                    break
-            else:
-                if tag == "p":  # browsers put an empty paragraph here
-                    flush()
-            continue
-        if tag == "html":
+            if tag != "body":
+                tree.close(tag)
             continue
         if tag == "body":  # the head ends here, closed or not
-            pop_to(1)
+            tree.pop_to(1)
         if tag in _VOID:
             if tag == "br":
-                held.append(" ")
+                tree.held.append(" ")
             elif tag == "hr":
-                flush()
-            continue
-        if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
-            continue
-        if tag in _ENDS_P:
-            if any(t == "head" for t, _ in stack):
-                pop_to(next(i for i, (t, _) in enumerate(stack) if t == "head"))
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == "p":
-                    pop_to(depth)
-                    break
-                if stack[depth][1] >= 0:
-                    break
-        if tag in _SAME_END:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in _SAME_END[tag]:
-                    pop_to(depth)
-                    if tag != "tr" or stack[-1][0] != "tr":
-                        break
-                elif depth < len(stack) and stack[depth][0] in _SCOPE[tag]:
-                    break
-        block = -1
-        if tag in _BLOCK:
-            flush()
-            block = open_block(tag, attrs)
-        stack.append((tag, block))
-        silent += tag in _SILENT
-        links += tag == "a"
-    pop_to(1)
-    flush()
+                tree.flush()
+        elif tag in _RAW:
+            scanner.skip_raw(tag)
+        else:
+            tree.make_room(tag)
+            tree.push(tag, attrs)
+    tree.pop_to(1)
+    tree.flush()
     return page
 
 
 def features(page: Page) -> tuple[np.ndarray, np.ndarray]:
     """Features of each block, and the kind of the edge to its parent."""
     n = len(page.tags)
-    x, kind = np.zeros((n, N_FEATURES)), np.full(n, 2, np.int64)
-    below, linked_below, ends = np.array(page.own, float), np.array(page.linked, float), np.zeros(n)
+    x = np.zeros((n, N_FEATURES))
+    below, linked_below, ends = list(map(float, page.own)), list(map(float, page.linked)), np.zeros(n)
     for b, text in page.segments:
         ends[b] = text[-1] in ".!?…\"'”»"
     for i in range(n - 1, 0, -1):
         below[page.parents[i]] += below[i]
         linked_below[page.parents[i]] += linked_below[i]
+    below, linked_below = np.array(below), np.array(linked_below)
     base, words = len(_TAG_GROUPS), len(_TAG_GROUPS) + len(_WORDS)
-    for i, (tag, names) in enumerate(zip(page.tags, page.names, strict=True)):
-        for g, group in enumerate(_TAG_GROUPS):
-            if tag in group:
-                x[i, g] = 1.0
-        telling = tag in _TELLING
-        if names:
-            for k, word in enumerate(_WORDS):
-                if word.search(names):
-                    x[i, base + k] = 1.0
-                    telling |= k > 0
-        kind[i] = 0 if telling else 1 if x[i, base] or tag in ("article", "main") else 2
+    group = np.array([_GROUP_OF.get(t, -1) for t in page.tags])
+    x[np.flatnonzero(group >= 0), group[group >= 0]] = 1.0
+    kinds = [0 if t in _TELLING else 1 if t in ("article", "main") else 2 for t in page.tags]
+    for i, names in enumerate(page.names):
+        if not names.strip():
+            continue
+        found = [k for k, word in enumerate(_WORDS) if word.search(names)]
+        x[i, [base + k for k in found]] = 1.0
+        if any(found):  # any other than the first, which names content
+            kinds[i] = 0
+        elif found and kinds[i]:
+            kinds[i] = 1
+    kind = np.array(kinds, np.int64)
     own = np.array(page.own, float)
     x[:, words] = 1.0
     x[:, words + 1] = np.log1p(own) / 5.0
@@ -250,14 +330,14 @@ class Forest:
         xs, kinds, parents, depths, at = [], [], [], [], 0
         for p in pages:
             x, kind = features(p)
-            depth = np.zeros(len(p.tags), np.int64)
+            depth = [0] * len(p.tags)
             for i in range(1, len(depth)):
                 depth[i] = depth[p.parents[i]] + 1
             parents.append(np.array(p.parents) + at)
             parents[-1][0] = -1
             xs.append(x)
             kinds.append(kind)
-            depths.append(depth)
+            depths.append(np.array(depth, np.int64))
             at += len(depth)
         return cls(np.concatenate(xs), np.concatenate(kinds), np.concatenate(parents), np.concatenate(depths))
 
@@ -267,6 +347,10 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
+def _log_add(x: float, y: float) -> float:
+    return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+
+
 @dataclass
 class TreeModel:
     """Node weights and edge potentials [kind, parent's state, child's state]."""
@@ -279,23 +363,46 @@ class TreeModel:
         n = len(f.x)
         belief = np.zeros((n, 2))
         belief[:, 1] = f.x @ self.w
-        psi = self.edge[f.kind]
         up = np.zeros((n, 2))
-        levels = [np.flatnonzero(f.depth == d) for d in range(f.depth.max() + 1)]
+        # one sort gives the levels of all trees
+        order = np.argsort(f.depth, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(f.depth[order])) + 1)
         for at in reversed(levels[1:]):  # upward
-            up[at] = _log_sum(psi[at] + belief[at][:, None, :], 2)
-            for state in (0, 1):
-                belief[:, state] += np.bincount(f.parent[at], up[at, state], n)
+            if len(at) == 1:
+                self._up_one(int(at[0]), f, belief, up)
+                continue
+            up[at] = _log_sum(self.edge[f.kind[at]] + belief[at][:, None, :], 2)
+            np.add.at(belief, f.parent[at], up[at])
         total, pair = belief.copy(), np.zeros((n, 2, 2))
         for at in levels[1:]:  # downward
-            above = total[f.parent[at]] - up[at]
-            joint = above[:, :, None] + psi[at]
+            if len(at) == 1:
+                self._down_one(int(at[0]), f, belief, up, total, pair)
+                continue
+            joint = (total[f.parent[at]] - up[at])[:, :, None] + self.edge[f.kind[at]]
             total[at] = belief[at] + _log_sum(joint, 1)
             joint = joint + belief[at][:, None, :]
             joint -= joint.max(axis=(1, 2), keepdims=True)
             e = np.exp(joint)
             pair[at] = e / e.sum(axis=(1, 2), keepdims=True)
-        return 1.0 / (1.0 + np.exp(total[:, 0] - total[:, 1])), pair
+        return 1.0 / (1.0 + np.exp(np.clip(total[:, 0] - total[:, 1], -700, 700))), pair
+
+    def _up_one(self, i: int, f: Forest, belief: np.ndarray, up: np.ndarray) -> None:
+        """The message of a block that is alone on its level, as chains of nested blocks are."""
+        (a, b), (c, d) = self.edge[f.kind[i]].tolist()
+        no, yes = belief[i].tolist()
+        up[i] = message = (_log_add(a + no, b + yes), _log_add(c + no, d + yes))
+        belief[f.parent[i]] += message
+
+    def _down_one(self, i: int, f: Forest, belief: np.ndarray, up: np.ndarray, total: np.ndarray, pair: np.ndarray) -> None:
+        (a, b), (c, d) = self.edge[f.kind[i]].tolist()
+        no, yes = (total[f.parent[i]] - up[i]).tolist()
+        a, b, c, d = a + no, b + no, c + yes, d + yes
+        own_no, own_yes = belief[i].tolist()
+        total[i] = (own_no + _log_add(a, c), own_yes + _log_add(b, d))
+        a, b, c, d = a + own_no, b + own_yes, c + own_no, d + own_yes
+        top = max(a, b, c, d)
+        e = [math.exp(x - top) for x in (a, b, c, d)]
+        pair[i] = np.array(e).reshape(2, 2) / sum(e)
 
 
 def fit(f: Forest, y: np.ndarray, steps: int = 120, shrink: float = 5e-4) -> TreeModel:
@@ -421,14 +528,15 @@ def extract_pages(pages: DataFrame, model: TreeModel | None = None, id_col: str
     """id, url, text and n_chars (code points) of each page."""
     model = model or train()
 
+    held, name = pages.sparkSession.sparkContext.broadcast(model), f"tree {zlib.crc32(model.edge.tobytes(), zlib.crc32(model.w.tobytes()))}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = once_in_worker(name, lambda: held.value)
         for batch in batches:
-            sources = batch.column(2).to_pylist()
-            for a, b in small_batches(sources):
-                texts = extract(model, sources[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"]
-                )
+            for a, sources in text_runs(batch, 2):
+                texts = extract(model, sources)
+                of = [c.slice(a, len(sources)) for c in batch.columns[:2]]
+                yield pa.RecordBatch.from_arrays([*of, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
     kind = dict(pages.dtypes)
     return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kind[id_col]}, `{url_col}` {kind[url_col]}, text string, n_chars long")
