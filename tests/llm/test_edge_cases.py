@@ -99,7 +99,28 @@ def test_mixing(docs, rows):
         assert abs(sum(r.taken for r in rs) - rs[0].target) <= biggest
     assert mixing.mix_sources(empty(docs), F.array("source"), mixing.cycle_weights).count() == 0
     out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    assert out.columns == docs.columns
+    copies = collections.Counter()
+    for r in got:
+        copies[r.doc_id] += r.copies
+    # every value of every row that is taken, as often as it is taken
+    times = collections.Counter(map(tuple, out.collect()))
+    source = {tuple(r) for r in docs.collect()}
+    assert set(times) <= source and sum(times.values()) == sum(r.copies for r in got)
+    for i in copies:
+        assert sum(n for row, n in times.items() if row[0] == i) == copies[i]
+
+
+def test_mixing_equal_rows_and_one_hot_source(spark):
+    """Rows that repeat are counted, not told apart, and still fill the target."""
+    rows = [(1, "a b c d", "s")] * 300 + [(i, "w " * (i % 7), "s" if i % 3 else "t") for i in range(2, 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df, F.array("source"), mixing.cycle_weights).collect()
+    assert len(got) == len(rows)
+    for x in ("s", "t"):
+        of = [r for r in got if r.pattern == [x]]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 6 and all(0 <= r.taken <= 2 * r.size for r in of)
+    assert mixing.mixed_documents(df).count() == sum(r.copies for r in got)
 
 
 def test_mixing_shared_documents(spark):
@@ -188,6 +209,50 @@ def test_drop_near_duplicates(docs, rows):
     assert out.where("doc_id IS NULL").count() == 2
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a, 1), (1, b, 2), (2, a, 3), (2, b + " more", 4), (3, b, 5), (1, a, 6)], "doc_id long, text string, n int")
+    out = near_dup.drop_near_duplicates(df)
+    assert out.columns == ["doc_id", "text", "n"]
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (1, b)]
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(df, 3, 85).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_near_duplicates_in_open_buckets(spark):
+    """Buckets whose centres leave several components, in small blocks, as the whole search finds them."""
+    rng = random.Random(31)
+    core, texts = [f"w{i}" for i in range(200)], []
+    for group in range(6):
+        mid = list(core)
+        for at in rng.sample(range(200), 12):
+            mid[at] = f"g{group}"
+        for _ in range(25):
+            t = list(mid)
+            for at in rng.sample(range(200), rng.randint(0, 4)):
+                t[at] = f"x{rng.randint(0, 9)}"
+            texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(near_dup, "BLOCK", 20)
+        patch.setattr(near_dup, "BLOCK_BYTES", 30_000)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, 3, 85).collect()}
+    assert got == brute_near(list(enumerate(texts)), 3, 85)
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    import os
+
+    from probelake.llm import common
+
+    kept = common.store(spark.range(5).toDF("x"), "kept")
+    root = common.scratch_root(spark)
+    gone = common.store(spark.range(5).toDF("x"), "gone")
+    path = gone.inputFiles()[0].removeprefix("file://")
+    common.drop_stored(gone)
+    assert not os.path.exists(path) and kept.count() == 5
+    assert root.split("/probelake-")[0]
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(400 + i, 401 + i) for i in range(40)] + [(7, 7)]
@@ -199,9 +264,9 @@ def test_components(spark):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_vectors(spark, monkeypatch, small):
-    if small:  # several pivots, cells and blocks
-        monkeypatch.setattr(vector_dup, "CELL", 40)
-        monkeypatch.setattr(vector_dup, "BLOCK", 25)
+    if small:  # many pivots, cells and blocks
+        for name, value in {"CELL": 20, "BLOCK": 25, "GROUP": 4, "MOST_PIVOTS": 16, "COPIES": 99.0}.items():
+            monkeypatch.setattr(vector_dup, name, value)
     rng = np.random.RandomState(3)
     centre = rng.randn(12, 16)
     vecs = [(centre[i % 12] + rng.randn(16) * rng.choice([0.02, 0.05, 0.3])).tolist() for i in range(300)]
@@ -213,6 +278,10 @@ def test_vectors(spark, monkeypatch, small):
     n = collections.Counter(x for e in links for x in e)
     comp = components([r[0] for r in rows], links)
     assert got == {i: (n[i], comp[i], comp[i] == i) for i, *_ in rows}
+    # different vectors that share an id link by their values only
+    shared = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [0.02, 1.0], 0), (5, [1.0, 0.0], 0), (5, [1.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    out = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dup.vector_duplicates(shared).collect())
+    assert out == [(1, 2, 1), (1, 3, 1), (2, 3, 1), (3, 2, 1), (4, 2, 1), (5, 3, 1), (5, 3, 1)]
     assert vector_dup.vector_duplicates(df.where("false")).count() == 0
 
 
@@ -270,16 +339,29 @@ def test_toxicity(spark, docs):
     assert toxicity.score_toxicity(empty(docs), model).count() == 0
 
 
-def test_pipeline(spark, tmp_path, docs, labels):
+def test_pipeline(spark, tmp_path, docs, labels, rows):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     at = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    columns = at.columns
+    columns, source = at.columns, {tuple(r) for r in at.collect()}
+    ids = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, str(tmp_path))
+        at = stage(spark, at, str(tmp_path)).cache()
         assert at.columns == columns, name
+        found = at.collect()
+        assert {tuple(r) for r in found} <= source, name  # every value of every column as it was
+        ids[name] = collections.Counter(r.doc_id for r in found)
+    verdicts = {r.doc_id: r.kept for r in quality_rules.quality_verdicts(docs).collect()}
+    assert set(ids["quality_rules"]) == {i for i, kept in verdicts.items() if kept}
+    assert set(ids["toxicity"]) <= set(ids["quality_rules"]) and max(ids["near_duplicates"].values()) == 1
+    clean = [r for r in rows if r[0] in ids["toxicity"]]
+    near = brute_near(clean, 5, 80)
+    assert set(ids["near_duplicates"]) - {None} == {i for i, (_, c) in near.items() if i == c}
+    assert max(ids["mixing"].values()) <= 2
     last = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert last and max(r.offset + r.length for r in last) <= 2048
+    whole = collections.Counter(r.doc_id for r in last if r.piece == 0)
+    assert whole == ids["mixing"]
     nothing = empty(docs)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0
