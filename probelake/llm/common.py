@@ -184,7 +184,8 @@ def _with_least(edges: DataFrame) -> DataFrame:
     the neighbour, so that no task gets all edges of one node.
     """
     part = F.pmod(F.xxhash64("v"), F.lit(_SPLIT)).cast("int").alias("s")
-    dealt = edges.select("u", "v", part)
+    # one exchange serves the minimum and the join
+    dealt = edges.select("u", "v", part).repartition("u", "s")
     least = dealt.groupBy("u", "s").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_set("s").alias("parts"))
     return dealt.join(least.select("u", "m", F.explode("parts").alias("s")), ["u", "s"])
 
