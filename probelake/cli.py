@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from probelake.functions import python_source
 from probelake.functions import text as T
-from probelake.operators import evaluation, keys, reports, retrieval
+from probelake.operators import evaluation, keys, prompts, reports, retrieval
 from probelake.sources import records, schemas
 
 
@@ -66,6 +66,45 @@ def rank(spark: SparkSession, a: argparse.Namespace) -> None:
     _write(out.select("task_id", "reponame", "testpath", "testname", "funcname", "related_files_rank"), a.output_dir, ("reponame",))
 
 
+def _template(spark: SparkSession, path: str | None, default: str) -> str:
+    """A prompt's text from a file."""
+    return spark.read.text(path, wholetext=True).first()["value"] if path else default
+
+
+def _repo_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources at <folder>/<reponame>/<path>."""
+    parts = F.split("path", "/", 2)
+    return records.read_sources(spark, folder).select(parts[0].alias("reponame"), parts[1].alias("path"), "content")
+
+
+def output_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Prompts of masked tasks, for each selection mode and sample."""
+    tasks = records.read_ordered_records(spark, f"{a.tasks_dir}/*.jsonl", schemas.MASKED_TASK)
+    tasks = keys.capped(tasks, ["reponame"], ["path", "line_no"], a.tasks)
+    ranked = records.read_ordered_records(spark, f"{a.ranks_dir}/*.jsonl", schemas.RANKING)
+    lists = keys.last_per_key(ranked.select("task_id", "related_files_rank", "path", "line_no"), ["task_id"], ["path", "line_no"])
+    ranks = lists.select("task_id", F.posexplode("related_files_rank").alias("rank", "path")).withColumn("rank", F.col("rank") + 1)
+    chains = records.read_ordered_records(spark, f"{a.reports_dir}/*/report_functions.jsonl", schemas.FUNCTION_REPORT).withColumn("reponame", F.element_at(F.split("path", "/"), -2))
+    named = chains.select("reponame", T.bare_name(F.col("test_function")).alias("funcname"), "dependencies", "path", "line_no")
+    known = keys.last_per_key(named, ["reponame", "funcname"], ["path", "line_no"])
+    chosen = retrieval.selection(tasks, ranks, known, tuple(a.modes.split(",")))
+    done = spark.read.json(a.done_dir).select("task_id", "mode", "sample_id") if a.done_dir else None
+    template = _template(spark, a.template, "{related_files}\n{masked_code}\n")
+    out = prompts.output_prompts(tasks, chosen, _repo_files(spark, a.repos_dir), _template(spark, a.system, ""), template, a.window, a.completion, a.samples, done)
+    _write(out, a.output_dir, ("mode", "reponame"))
+
+
+def chain_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Prompts that ask for a test's files, for each ratio and sample."""
+    tasks = records.read_ordered_records(spark, f"{a.tasks_dir}/*.jsonl", schemas.MASKED_TASK)
+    tests = keys.base_tasks(tasks.select("reponame", "testpath", "path", "line_no"), ["path", "line_no"], a.tasks)
+    files, known = _repo_files(spark, a.repos_dir), _reports(spark, a.reports_dir, "report_files.jsonl", schemas.FILE_REPORT)
+    template = _template(spark, a.template, "{files}\n{test_file}\n{test_code}\n")
+    ratios = tuple(float(r) for r in a.ratios.split(","))
+    out = prompts.chain_prompts(tests.withColumnRenamed("testpath", "test_file"), known, records.pool_sources(files).select("reponame", "path"), files, template, a.window, ratios, a.samples)
+    _write(out, a.output_dir, ("ratio", "reponame"))
+
+
 def evaluate_chains(spark: SparkSession, a: argparse.Namespace) -> None:
     """Set metrics of predicted call-chain files."""
     predictions = records.with_path_columns(records.read_records(spark, f"{a.predictions_dir}/*/*.jsonl", schemas.CHAIN_PREDICTION).drop("ratio"), "ratio")
@@ -125,6 +164,20 @@ COMMANDS = {
     "collect-tasks": (collect_tasks, [("repos_dir", {}), ("output_dir", {}), ("--reports_dir", {}), ("--rewrites", {"action": "store_true"}), ("--all_equalities", {"action": "store_true"})]),
     "align": (align, [("original_dir", {}), ("rewrite_dir", {}), ("output_dir", {})]),
     "rank": (rank, [("tasks_dir", {}), ("repos_dir", {}), ("output_dir", {})]),
+    "output-prompts": (
+        output_prompts,
+        [
+            ("tasks_dir", {}), ("ranks_dir", {}), ("reports_dir", {}), ("repos_dir", {}), ("output_dir", {}), ("--modes", {"default": "oracle"}), ("--template", {}), ("--system", {}), ("--done_dir", {}),
+            ("--window", {"type": int, "default": 10240}), ("--completion", {"type": int, "default": 2048}), ("--samples", {"type": int, "default": 5}), ("--tasks", {"type": int, "default": 200}),
+        ],
+    ),
+    "chain-prompts": (
+        chain_prompts,
+        [
+            ("tasks_dir", {}), ("reports_dir", {}), ("repos_dir", {}), ("output_dir", {}), ("--ratios", {"default": "0.25,0.5"}), ("--template", {}),
+            ("--window", {"type": int, "default": 20480}), ("--samples", {"type": int, "default": 5}), ("--tasks", {"type": int, "default": 200}),
+        ],
+    ),
     "evaluate-chains": (evaluate_chains, [("predictions_dir", {}), ("reports_dir", {}), ("output_dir", {})]),
     "evaluate-outputs": (evaluate_outputs, [("predictions_dir", {}), ("tasks_dir", {}), ("reports_dir", {}), ("output_dir", {}), ("--samples", {"type": int, "default": 5}), ("--actual_samples", {"action": "store_true"})]),
     "evaluate-executions": (evaluate_executions, [("results", {}), ("output_dir", {})]),

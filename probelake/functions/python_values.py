@@ -134,13 +134,13 @@ def token_count(text: Column, tokenizer_of: Callable[[], object] = SpaceTokenize
     return count(text)
 
 
-def truncate_text(text: str, limit: int, tokenizer) -> str:
-    """The first ``limit`` tokens and a note of what is missing."""
-    tokens = tokenizer.encode(text)
+def truncate_text(text: str, limit: int, tokenizer, lines: int | None = None) -> str:
+    """The first ``limit`` tokens and a note of what is missing; ``lines`` where the text is itself the head of one of so many."""
+    tokens, lines = tokenizer.encode(text), lines or len(text.splitlines())
     if len(tokens) <= limit:
         return text
     short = tokenizer.decode(tokens[:limit])
-    missing = len(text.splitlines()) - len(short.splitlines())
+    missing = lines - len(short.splitlines())
     if missing > 0:
         return f"{short}\n... ({missing} lines omitted)"
     return f"{short}\n... (truncated)" if len(short) < len(text) else short

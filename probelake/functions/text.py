@@ -1,6 +1,7 @@
 r"""Text expressions: answers in fences, names, logs and paths, as plain Columns.
 
-Everything here stays inside whole-stage code generation; no Python runs per row.
+Everything here stays in the JVM; no Python runs per row. Regular expressions and
+higher-order functions are evaluated row by row inside the generated code or beside it.
 """
 
 from __future__ import annotations
@@ -8,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the fence that holds a predicted value.
+# The fences and blocks that hold values, lists, files and commands.
 ANSWER_FENCE = r"(?s)```output\s*\n(.*?)\s*```"
 _LIST_IN_FENCE = r"(?s)```(?:output|json|python)?\s*(\[.*\])\s*```"
 _LIST_ANYWHERE = r"(?s)\[.*\]"
 _FILE_BLOCK = r"(?s)```file:([^\n]+)\n(.*?)```"
 _SHELL_BLOCK = r"(?s)```bash\s*\n(.*?)\n```"
+#: White space as Python's ``str.strip`` and ``str.split`` know it.
+_SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
     """Python's ``str.strip``: Unicode white space at both ends goes."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
 def answer(response: Column) -> Column:
@@ -57,7 +60,7 @@ def node_id_parts(node_id: Column) -> Column:
 
 def space_tokens(text: Column) -> Column:
     """Tokens between Unicode white space, case kept."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"(?U){_SPACE}+"), "")
 
 
 def fill_placeholder(masked: Column, value: Column) -> Column:
@@ -88,12 +91,17 @@ def status_marker(text: Column) -> Column:
     return F.when(has("failed"), "failed").when(has("success"), "success")
 
 
+# What a finished, and what a crashed, collection of tests prints.
+_COLLECTED = r"collected \d+ items|=\s*(?:\d+ (?:passed|failed|skipped)|no tests ran)"
+_CRASHED = "INTERNALERROR|ImportError|ModuleNotFoundError"
+
+
 def setup_complete(command: Column, stdout: Column, stderr: Column) -> Column:
     """Whether a logged command shows that tests were collected without a crash."""
     out, err = F.coalesce(stdout, F.lit("")), F.coalesce(stderr, F.lit(""))
     both = F.concat(out, err)
-    good = F.regexp_like(both, F.lit(r"collected \d+ items|=\s*(?:\d+ (?:passed|failed|skipped)|no tests ran)"))
-    bad = F.regexp_like(err, F.lit("INTERNALERROR|ImportError|ModuleNotFoundError")) | both.contains("ERROR collecting")
+    good = F.regexp_like(both, F.lit(_COLLECTED))
+    bad = F.regexp_like(err, F.lit(_CRASHED)) | both.contains("ERROR collecting")
     return command.contains("pytest") & good & ~bad
 
 
@@ -137,6 +145,11 @@ def original_path(path: Column) -> Column:
     return F.regexp_replace(path, r"_agent_rewrite\.py$", ".py")
 
 
+def renamed_folder(path: Column, prefix: str = "callchain_prediction_", to: str = "evaluation_results_") -> Column:
+    """The last folder's name with a part replaced; unchanged where it is not there."""
+    return F.replace(F.regexp_extract(path, r"([^/]*)/*$", 1), F.lit(prefix), F.lit(to))
+
+
 def slug(model: Column) -> Column:
     return F.regexp_replace(model, r"[^A-Za-z0-9_\-]", "_")
 
@@ -151,7 +164,7 @@ def percent(part: Column, total: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), total)
 
 
-def template(text: str, **values: Column) -> Column:
+def template(text: str, /, **values: Column) -> Column:
     """Named substitution of ``{name}`` in a prompt text."""
     out = F.lit(text)
     for name, value in values.items():

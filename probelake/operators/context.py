@@ -7,13 +7,14 @@ texts are not sums; it folds a task's files in one Arrow batch. Where costs do a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelake.functions.python_values import SpaceTokenizer
+from probelake.functions.python_values import SpaceTokenizer, truncate_text
 
 NO_BUDGET = "# No token budget is left for related files.\n"
 NOTHING_FITS = "# No related file fits into the token limit.\n"
@@ -97,49 +98,77 @@ def two_sided_context(positive: DataFrame, negative: DataFrame, by: list[str], s
     neg = packed_contexts(negative, by, True, tokenizer_of).select(*by, F.col("context").alias("n"), F.col("files").alias("negative_files"))
     both = pos.join(neg, by, "full")
     p, n = F.coalesce("p", F.lit("")), F.coalesce("n", F.lit(""))
-    first = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(2)) == 0
+    first = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by])) < F.lit("8")
     none = F.array().cast("array<string>")
     files = F.concat(F.coalesce("positive_files", none), F.coalesce("negative_files", none))
     return both.select(*by, F.when(first, F.concat(p, n)).otherwise(F.concat(n, p)).alias("context"), files.alias("files_in_prompt"))
 
 
 def chat_window(messages: DataFrame, by: list[str], order: str, last: int = 2) -> DataFrame:
-    """The first and the last messages of each conversation."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*by)
-    ranked = messages.withColumns({"__r": F.row_number().over(w.orderBy(order)), "__n": F.count(F.lit(1)).over(w)})
-    return ranked.where((F.col("__r") == 1) | (F.col("__r") > F.col("__n") - last)).drop("__r", "__n")
-
-
-def project_trees(paths: DataFrame, max_depth: int = 3, max_files: int = 5, excluded: tuple[str, ...] = (".git", ".svn", ".hg", "__pycache__", ".pytest_cache", "node_modules", "target", "build", "dist", "out", "obj", ".vscode", ".idea")) -> DataFrame:
-    """A drawing of each repository's folders and files: reponame, path -> reponame, tree."""
+    """The first and the last messages of each conversation; each part is a bounded rank, so a long one is cut before it is sorted."""
+    ranked = lambda column, n: messages.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(column))).where(F.col("__r") <= n).drop("__r")
+    ends = ranked(F.desc(order), last)
+    first = ranked(F.asc(order), 1).join(ends.select(*by, order), [*by, order], "left_anti")
+    return first.select(*messages.columns).unionByName(ends)
+
+
+# Names and patterns that a project drawing leaves out.
+TREE_EXCLUDED = (
+    ".git", ".svn", ".hg", ".DS_Store", "Thumbs.db", ".*~", "*.tmp", "*.temp",
+    "__pycache__", ".pytest_cache", "*.egg-info",
+    "node_modules", ".npm", ".yarn",
+    "*.class", "target",
+    "*.o", "*.obj", "*.exe", "*.dll", "*.so", "*.dylib",
+    "obj", "*.pdb",
+    "build", "dist", "out",
+    ".vscode", ".idea", "*.swp", "*.swo",
+)
+
+
+def project_trees(paths: DataFrame, max_depth: int = 3, max_files: int = 5, excluded: tuple[str, ...] = TREE_EXCLUDED, limit: int = 4000, tokenizer_of: Callable[[], object] = SpaceTokenizer) -> DataFrame:
+    """A drawing of each repository's folders and files, cut to ``limit`` tokens: reponame, path -> reponame, tree.
+
+    Folders come before files, by name without regard to case (ties by name); files beyond
+    ``max_files`` are noted, not left out. Siblings are ranked folder by folder, and only as
+    many lines of a repository as the limit has tokens are put together.
+    """
+    pattern = "|".join("(?:" + re.escape(p).replace(r"\*", ".*") + ")" for p in excluded)
+    parts = F.split("path", "/")
+    clean = paths.select("reponame", parts.alias("parts")).where(~F.exists("parts", lambda p: F.regexp_like(p, F.lit(f"^(?:{pattern})$"))))
+    upto = F.sequence(F.lit(1), F.least(F.size("parts"), F.lit(max_depth + 1)))
+    nodes = clean.select("reponame", "parts", F.explode(upto).alias("depth"))
+    nodes = nodes.select("reponame", "depth", F.slice("parts", 1, F.col("depth") - 1).alias("folder"), F.get("parts", F.col("depth") - 1).alias("name"), (F.col("depth") == F.size("parts")).alias("is_file")).distinct()
+    siblings = Window.partitionBy("reponame", "folder")
+    order = siblings.orderBy("is_file", F.lower("name"), "name")
+    nodes = nodes.withColumns({"rank": F.row_number().over(order), "n": F.count(F.lit(1)).over(siblings), "files": F.count_if("is_file").over(siblings)})
+    drawn, above = None, None
+    for depth in range(1, max_depth + 2):
+        here = nodes.where(F.col("depth") == depth)
+        if above is None:
+            here = here.withColumns({"before": F.lit(""), "place": F.array().cast("array<int>")})
+        else:
+            here = here.join(above, ["reponame", "folder"])
+        last = F.col("rank") == F.col("n")
+        place = F.concat("place", F.array("rank"))
+        line = F.concat("before", F.when(last, "└── ").otherwise("├── "), "name", F.when(F.col("is_file"), "").otherwise("/"))
+        more = here.where((F.col("files") > max_files) & last)
+        note = F.concat("before", F.lit("    └── ... ("), (F.col("files") - max_files).cast("string"), F.lit(" more files)"))
+        part = here.select("reponame", place.alias("place"), line.alias("line")).unionByName(more.select("reponame", F.concat("place", F.array(F.col("n") + 1).cast("array<int>")).alias("place"), note.alias("line")))
+        drawn = part if drawn is None else drawn.unionByName(part)
+        within = F.concat("folder", F.array("name"))
+        above = here.where(~F.col("is_file")).select("reponame", within.alias("folder"), F.concat("before", F.when(last, "    ").otherwise("│   ")).alias("before"), place.alias("place"))
+    # every line has a token at least, so later ones cannot show
+    rank = F.row_number().over(Window.partitionBy("reponame").orderBy("place"))
+    shown = drawn.withColumn("__r", rank).where(F.col("__r") <= limit).groupBy("reponame").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
+    counted = drawn.groupBy("reponame").agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat("reponame", F.lit("/"), F.array_join(F.transform("lines", lambda x: F.concat(F.lit("\n"), x["line"])), ""))
+    return shown.join(counted, "reponame").select("reponame", _cut_lines(limit, tokenizer_of)(text, (F.col("n") + 1).cast("int")).alias("tree"))
+
+
+def _cut_lines(limit: int, tokenizer_of: Callable[[], object]):
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, lines: pd.Series) -> pd.Series:
+        tokenizer = tokenizer_of()
+        return pd.Series([truncate_text(t, limit, tokenizer, int(n)) for t, n in zip(texts, lines, strict=True)])
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        root: dict = {}
-        for path in pdf["path"]:
-            parts = path.split("/")
-            if any(p in excluded or p.endswith((".egg-info", ".tmp", ".swp", ".swo", ".class", ".o", ".so")) for p in parts):
-                continue
-            at = root
-            for p in parts[:-1]:
-                at = at.setdefault(p + "/", {})
-            at[parts[-1]] = None
-        lines: list[str] = []
-
-        def walk(node: dict, prefix: str, depth: int) -> None:
-            names = sorted(node, key=lambda n: (node[n] is None, n.rstrip("/").lower()))
-            for k, name in enumerate(names):
-                end = k == len(names) - 1
-                lines.append(f"{prefix}{'└── ' if end else '├── '}{name}")
-                if node[name] is not None and depth < max_depth:
-                    walk(node[name], prefix + ("    " if end else "│   "), depth + 1)
-            files = sum(v is None for v in node.values())
-            if files > max_files:
-                lines.append(f"{prefix}    └── ... ({files - max_files} more files)")
-
-        name = pdf["reponame"].iloc[0]
-        walk(root, "", 0)
-        return pd.DataFrame({"reponame": [name], "tree": ["\n".join([f"{name}/", *lines])]})
-
-    return paths.select("reponame", "path").groupBy("reponame").applyInPandas(draw, "reponame string, tree string")
+    return cut

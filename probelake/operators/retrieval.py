@@ -23,17 +23,35 @@ def bm25_ranks(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     df = tf.groupBy("reponame", "term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(per_repo, "reponame").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("reponame").agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.join(mean, "reponame").select("reponame", "term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"), "avgdl")
+    idf = raw.join(mean, "reponame").select("reponame", "term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("reponame", "query", F.explode("tokens").alias("term")).groupBy("reponame", "query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # only terms that some query asks for take part in the large join
-    hits = tf.join(asked, ["reponame", "term"]).join(idf, ["reponame", "term"]).join(lengths, ["reponame", "path"])
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("reponame", "query", "path").agg(F.sum(part).alias("score"))
-    grid = queries.select("reponame", "query").distinct().join(lengths.select("reponame", "path"), "reponame")
-    full = grid.join(scored, ["reponame", "query", "path"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("reponame", "query").orderBy(F.desc(F.round("score", 9)), "path"))
-    out = full.withColumn("rank", rank)
-    return out if limit is None else out.where(F.col("rank") <= limit)
+    # the queries' terms are few: they get their weights, documents their lengths, before the two meet
+    weighted = asked.join(idf, ["reponame", "term"]).select("reponame", "query", "term", (F.col("qtf") * F.col("idf") * (k1 + 1)).alias("weight"))
+    wanted = tf.join(asked.select("reponame", "term").distinct(), ["reponame", "term"], "left_semi")
+    norm = lengths.join(per_repo, "reponame").select("reponame", "path", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))
+    sized = wanted.join(norm, ["reponame", "path"]).select("reponame", "path", "term", (F.col("tf") / (F.col("tf") + F.col("norm"))).alias("share"))
+    hits = sized.join(weighted, ["reponame", "term"])
+    scored = hits.groupBy("reponame", "query", "path").agg(F.sum(F.col("weight") * F.col("share")).alias("score"))
+    asks = queries.select("reponame", "query").distinct()
+    best = Window.partitionBy("reponame", "query").orderBy(F.desc(F.round("score", 9)), "path")
+    if limit is None:
+        full = asks.join(lengths.select("reponame", "path"), "reponame").join(scored, ["reponame", "query", "path"], "left")
+        return full.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("rank", F.row_number().over(best))
+    return _limited(asks, scored, lengths, best, limit)
+
+
+def _limited(asks: DataFrame, scored: DataFrame, lengths: DataFrame, best, limit: int) -> DataFrame:
+    """The first ``limit`` ranks: scored documents, and by path so many others as can come among them."""
+    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("rank")
+    # a path among the first `limit` + (scored documents) of a repository is the most that can be needed
+    counted = asks.join(scored.groupBy("reponame", "query").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.round("score", 9) > 0).alias("above")), ["reponame", "query"], "left")
+    needy = counted.where(F.coalesce("above", F.lit(0)) < limit).select("reponame", "query", F.coalesce("hits", F.lit(0)).alias("hits"))
+    by_path = Window.partitionBy("reponame").orderBy("path")
+    placed = lengths.select("reponame", "path", F.row_number().over(by_path).alias("place"))
+    near = needy.join(placed, "reponame").where(F.col("place") <= F.col("hits") + limit).select("reponame", "query", "path")
+    zero = near.join(scored, ["reponame", "query", "path"], "left_anti").withColumn("score", F.lit(0.0))
+    both = top.unionByName(zero.select(*top.columns))
+    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
 def rank_lists(ranks: DataFrame) -> DataFrame:
@@ -43,8 +61,8 @@ def rank_lists(ranks: DataFrame) -> DataFrame:
 
 
 def seeded_order(seed: int, *keys: str):
-    """A shuffle as a column: a hash of seed and keys, the same in every run."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    """A shuffle as a column: a digest of seed and keys, the same in every run and in any SQL."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def seeded_sample(df: DataFrame, by: list[str], keys: list[str], n: int, seed: int = 42) -> DataFrame:

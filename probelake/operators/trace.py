@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,15 +50,31 @@ class TraceFold:
 
 
 def fold_traces(events: DataFrame, prefixes: tuple[str, ...] = ("",), balanced: bool = False, strict_prefix: bool = False) -> DataFrame:
-    """test_nodeid, file, hops from test_nodeid, seq, kind, filename. One test is one group."""
+    """test_nodeid, file, hops from test_nodeid, seq, kind, filename.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        fold = TraceFold(prefixes, balanced, strict_prefix).add_all(zip(pdf["kind"], pdf["filename"], strict=True))
-        return pd.DataFrame([(pdf["test_nodeid"].iloc[0], f, h) for f, h in fold.hops.items()], columns=["test_nodeid", "file", "hops"])
+    Tests are sorted in their partitions and folded as they stream by: a task holds one
+    stack and its files' hops, however long a trace is.
+    """
 
-    used = events.where("kind IN ('call', 'return') AND filename IS NOT NULL AND filename <> ''")
-    return used.select("test_nodeid", "seq", "kind", "filename").groupBy("test_nodeid").applyInPandas(run, "test_nodeid string, file string, hops int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        test, fold = None, None
+
+        def found() -> pd.DataFrame:
+            return pd.DataFrame([(test, f, h) for f, h in fold.hops.items()], columns=["test_nodeid", "file", "hops"])
+
+        for pdf in batches:
+            for name, kind, filename in zip(pdf["test_nodeid"], pdf["kind"], pdf["filename"], strict=True):
+                if fold is None or name != test:
+                    if fold is not None:
+                        yield found()
+                    test, fold = name, TraceFold(prefixes, balanced, strict_prefix)
+                fold.add(kind, filename)
+        if fold is not None:
+            yield found()
+
+    used = events.where("kind IN ('call', 'return') AND filename IS NOT NULL AND filename <> ''").select("test_nodeid", "seq", "kind", "filename")
+    ordered = used.repartition("test_nodeid").sortWithinPartitions("test_nodeid", "seq")
+    return ordered.mapInPandas(run, "test_nodeid string, file string, hops int")
 
 
 def function_report(folded: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from probelake.plans import stand_ins
+from probelake.plans import evaluations, scans, stand_ins
 
 FLAGSHIP = "set_metrics_by_customer"
+#: ``evaluations`` and ``scans`` add their own queries to these tables.
 QUERIES = stand_ins.QUERIES
 ORACLE_SQL = stand_ins.ORACLE_SQL
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "evaluations", "scans"]

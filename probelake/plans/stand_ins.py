@@ -84,25 +84,9 @@ def pass_at_k_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH c AS (SELECT r_name, n_name, c_custkey, avg(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey
-      JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)
-    SELECT r_name, n_name, round(avg(v), 4) AS mean_price, count(*) AS customers FROM c GROUP BY GROUPING SETS ((r_name), (r_name, n_name))
-    """
-)
-def macro_average_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda n: table(spark, sf_dir, n)
-    # few customers and nations: aggregate orders before they meet
-    per = t("orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("v"))
-    named = per.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    out = named.groupingSets([["r_name"], ["r_name", "n_name"]], "r_name", "n_name").agg(F.avg("v").alias("mean_price"), F.count(F.lit(1)).alias("customers"))
-    return rounded(out, 4)
-
-
-@query(
-    """
-    WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate, o_orderkey) AS i FROM orders WHERE o_orderstatus IN ('O', 'F'))
+    WITH n AS (SELECT *, o_orderstatus = 'O' AS own, row_number() OVER (PARTITION BY o_custkey, o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey) AS i FROM orders)
     SELECT CAST(a.o_orderkey AS VARCHAR) AS task_id, CAST(a.o_orderkey AS VARCHAR) AS testpath, CAST(b.o_custkey AS VARCHAR) AS testname, b.o_orderkey AS own_key, round(b.o_totalprice, 2) AS price
-    FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND a.i = b.i AND a.o_orderstatus = 'O' AND b.o_orderstatus = 'F'
+    FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND a.i = b.i AND a.own AND NOT b.own
     """
 )
 def align_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +94,8 @@ def align_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("task_id"), F.col("o_orderkey").cast("string").alias("testpath"), F.lit("r").alias("reponame"), F.col("o_custkey").cast("string").alias("testname"),
         F.lit(None).cast("string").alias("classname"), F.lit("f").alias("funcname"), "o_orderstatus", "o_orderdate", "o_orderkey", "o_totalprice",
     )
-    side = lambda s: o.where(F.col("o_orderstatus") == s).drop("o_orderstatus")
-    _, rewrite = keys.aligned(side("O"), side("F"), ["o_orderdate", "o_orderkey"])
+    open_ = F.col("o_orderstatus") == "O"
+    _, rewrite = keys.aligned(o.where(open_), o.where(~open_), ["o_orderdate", "o_orderkey"])
     return rewrite.select("task_id", "testpath", "testname", F.col("o_orderkey").alias("own_key"), F.round("o_totalprice", 2).alias("price"))
 
 
@@ -172,36 +156,47 @@ def min_hop_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = r"list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')"
-
-
-@query(
-    f"""
-    WITH d AS (SELECT lang, doc_id, {_TOKENS} AS tokens FROM documents), q AS (SELECT item_id, {_TOKENS} AS tokens FROM benchmark),
+#: Benchmark items ask languages: all of them, or one each.
+_BM25 = f"""
+    WITH d AS (SELECT lang, doc_id, {_TOKENS} AS tokens FROM documents), q AS (SELECT item_id, lang, tokens FROM (SELECT item_id, {_TOKENS} AS tokens FROM benchmark) CROSS JOIN (SELECT DISTINCT lang FROM d) WHERE {{asks}}),
     l AS (SELECT lang, doc_id, len(tokens) AS dl FROM d), r AS (SELECT lang, count(*) AS n, avg(dl) AS avgdl FROM l GROUP BY lang),
     tf AS (SELECT lang, doc_id, term, count(*) AS tf FROM (SELECT lang, doc_id, unnest(tokens) AS term FROM d) GROUP BY ALL),
     df AS (SELECT lang, term, count(*) AS df FROM tf GROUP BY ALL),
     raw AS (SELECT lang, term, avgdl, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df JOIN r USING (lang)),
     m AS (SELECT lang, avg(idf) AS mean_idf FROM raw GROUP BY lang),
     idf AS (SELECT lang, term, avgdl, CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END AS idf FROM raw JOIN m USING (lang)),
-    qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(tokens) AS term FROM q) GROUP BY ALL),
+    qt AS (SELECT item_id, lang, term, count(*) AS qtf FROM (SELECT item_id, lang, unnest(tokens) AS term FROM q) GROUP BY ALL),
     s AS (SELECT lang, item_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-      FROM tf JOIN qt USING (term) JOIN idf USING (lang, term) JOIN l USING (lang, doc_id) GROUP BY ALL),
-    g AS (SELECT l.lang, item_id, l.doc_id, coalesce(score, 0) AS score FROM l CROSS JOIN (SELECT item_id FROM q) LEFT JOIN s USING (lang, item_id, doc_id)),
+      FROM tf JOIN qt USING (lang, term) JOIN idf USING (lang, term) JOIN l USING (lang, doc_id) GROUP BY ALL),
+    g AS (SELECT lang, item_id, l.doc_id, coalesce(score, 0) AS score FROM l JOIN q USING (lang) LEFT JOIN s USING (lang, item_id, doc_id)),
     k AS (SELECT *, row_number() OVER (PARTITION BY lang, item_id ORDER BY round(score, 9) DESC, CAST(doc_id AS VARCHAR)) AS rank FROM g)
-    SELECT lang AS reponame, item_id AS query, CAST(doc_id AS VARCHAR) AS path, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM k WHERE rank <= 20
-    """
-)
-def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    SELECT lang AS reponame, item_id AS query, CAST(doc_id AS VARCHAR) AS path, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM k WHERE {{ranks}}
+"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("reponame"), F.col("doc_id").cast("string").alias("path"), T.space_tokens(F.col("text")).alias("tokens"))
-    repos = docs.select("reponame").distinct()
+    # languages are a handful of repositories
+    repos = sorted(r["reponame"] for r in docs.select("reponame").distinct().collect() if r["reponame"] is not None)
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), T.space_tokens(F.col("text")).alias("tokens"))
-    # every benchmark item asks every language: a handful of repositories
-    per_repo = repos.agg(F.collect_set("reponame").alias("repos"))
-    asks = asked.join(F.broadcast(per_repo)).select("query", "tokens", F.explode("repos").alias("reponame"))
-    ranks = retrieval.bm25_ranks(docs, asks, limit=20)
+    return docs, asked.withColumn("reponame", F.explode(F.array(*[F.lit(r) for r in repos])))
+
+
+@query(_BM25.format(asks="true", ranks="rank <= 20"))
+def bm25_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top ranks: what the retrieval mode selects from."""
+    ranks = retrieval.bm25_ranks(*_bm25(spark, sf_dir), limit=20)
     return ranks.select("reponame", "query", "path", "rank", F.round("score", 6).alias("score"))
 
 
+@query(_BM25.format(asks="(item_id + length(lang) + ascii(lang)) % 4 = 0", ranks="true"))
+def bm25_all_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of the repository that an item asks."""
+    docs, asks = _bm25(spark, sf_dir)
+    chosen = asks.where((F.col("query") + F.length("reponame") + F.ascii("reponame")) % 4 == 0)
+    return retrieval.bm25_ranks(docs, chosen).select("reponame", "query", "path", "rank", F.round("score", 6).alias("score"))
+
+
 def _supplier_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     from pyspark.sql import Window
 
@@ -215,27 +210,30 @@ def _supplier_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return tasks, ranks, report
 
 
+_SELECTED = """
+    WITH q AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q, min(l_linenumber) AS h, md5('42|' || l_suppkey || '|' || l_partkey) AS m FROM lineitem GROUP BY ALL),
+    r AS (SELECT CAST(l_suppkey AS VARCHAR) AS task_id, CAST(l_partkey AS VARCHAR) AS path, m, row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, CAST(l_partkey AS VARCHAR)) AS i,
+      row_number() OVER (PARTITION BY l_suppkey ORDER BY h, CAST(l_partkey AS VARCHAR)) AS j FROM q JOIN supplier ON l_suppkey = s_suppkey),
+    p AS (SELECT *, row_number() OVER (PARTITION BY task_id, i <= 20 ORDER BY m) AS k FROM r)
+"""
+
+
 @query(
-    """
-    WITH q AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q, min(l_linenumber) AS h FROM lineitem GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, CAST(l_partkey AS VARCHAR)) AS i,
-      row_number() OVER (PARTITION BY l_suppkey ORDER BY h, CAST(l_partkey AS VARCHAR)) AS j FROM q JOIN supplier ON l_suppkey = s_suppkey)
-    SELECT 'retrieval' AS mode, CAST(l_suppkey AS VARCHAR) AS task_id, CAST(l_partkey AS VARCHAR) AS path, 0 AS position FROM r WHERE i <= 20
-    UNION ALL SELECT 'oracle', CAST(l_suppkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(j AS INTEGER) FROM r WHERE j <= 20
+    f"""
+    {_SELECTED} SELECT 'retrieval' AS mode, task_id, path, CAST(k AS INTEGER) AS position FROM p WHERE i <= 20
+    UNION ALL SELECT 'oracle', task_id, path, CAST(j AS INTEGER) FROM p WHERE j <= 20
     """
 )
 def selection_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = retrieval.selection(*_supplier_ranks(spark, sf_dir), modes=("retrieval", "oracle"))
-    # a shuffled position has no SQL form
-    return chosen.select("mode", "task_id", "path", F.when(F.col("mode") == "oracle", F.col("position")).otherwise(0).alias("position"))
+    return retrieval.selection(*_supplier_ranks(spark, sf_dir), modes=("retrieval", "oracle")).select("mode", "task_id", "path", "position")
 
 
-@query(None)
+@query(f"{_SELECTED} SELECT task_id, path, CAST(k AS INTEGER) AS position FROM p WHERE i > 20 AND k <= 20")
 def confusion_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.selection(*_supplier_ranks(spark, sf_dir), modes=("confusion",)).select("task_id", "path", "position")
 
 
-@query(None)
+@query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 20")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.seeded_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 20)
 
@@ -253,12 +251,13 @@ def task_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT user_id || '' AS testpath, min(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY user_id ORDER BY 2 LIMIT 50
+    WITH f AS (SELECT event_type, user_id, min(event_id) AS event_id FROM events GROUP BY ALL)
+    SELECT event_type AS reponame, user_id || '' AS testpath, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM f) WHERE r <= 50
     """
 )
 def base_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'view'").select(F.lit("r").alias("reponame"), F.col("user_id").cast("string").alias("testpath"), "event_id")
-    return keys.base_tasks(e, ["event_id"], 50).select("testpath", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("reponame"), F.col("user_id").cast("string").alias("testpath"), "event_id")
+    return keys.base_tasks(e, ["event_id"], 50)
 
 
 @query(
@@ -276,25 +275,6 @@ def fence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", T.answer(made).alias("answer"))
 
 
-@query(
-    """
-    SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand || ',' || p_type WHEN 1 THEN p_brand || ',b' WHEN 2 THEN p_brand WHEN 3 THEN '' ELSE p_size || ',' || p_brand END AS files FROM part
-    """
-)
-def list_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
-    fifth = F.col("p_partkey") % 5
-    response = (
-        F.when(fifth == 0, F.concat(F.lit("```json\n["), q("p_brand"), F.lit(", "), q("p_type"), F.lit("]\n```")))
-        .when(fifth == 1, F.concat(F.lit("files: ["), q("p_brand"), F.lit(", ' b ']")))
-        .when(fifth == 2, F.concat(F.lit("['"), F.col("p_brand"), F.lit("']")))
-        .when(fifth == 3, F.lit("I do not know"))
-        .otherwise(F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(", "), q("p_brand"), F.lit("]")))
-    )
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.array_join(python_values.file_list(response), ",").alias("files"))
-
-
 @query(
     r"""
     WITH n AS (SELECT p_partkey, p_brand || '::' || p_type || '::test_' || p_size || '[' || p_brand || '::x]' AS a, 'test_' || p_size || '[q]y' AS b FROM part)
@@ -315,22 +295,6 @@ def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """
-    SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'success' END AS status,
-      CASE WHEN event_type = 'view' THEN 'passed' WHEN event_type = 'click' THEN 'failed' WHEN event_type = 'error' THEN 'error' WHEN event_type = 'signup' THEN 'timeout' ELSE 'unknown' END AS outcome,
-      event_type IN ('view', 'click') AS setup_done FROM events
-    """
-)
-def status_and_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, kind = table(spark, sf_dir, "events"), F.col("event_type")
-    text = F.when(kind == "error", "a\n```status\n FAILED \n```\n```status\nsuccess\n```").when(kind == "purchase", "```status\nsuccess\n```").otherwise("none")
-    out = F.when(kind == "click", "collected 3 items\nFAILED t.py ERROR").when(kind == "error", "ERROR collecting t.py").when(kind == "view", "== 3 passed in 1s").otherwise("")
-    err = F.when(kind == "signup", "Timeout >60s").otherwise("")
-    code = F.when(kind == "view", 0).otherwise(1)
-    return e.select("event_id", T.status_marker(text).alias("status"), T.failure_class(code, out, err).alias("outcome"), T.setup_complete(F.lit("pytest -q"), out, err).alias("setup_done"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("log\n---GT_START---\n"), F.col("props"), F.lit("\n---GT_END---\nrest"))
@@ -419,43 +383,6 @@ def corpus_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(~T.excluded_path(F.col("path"), ["en", "test", "docs"]))
 
 
-@query(None)
-def trace_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type").isin("click", "view"), "call").when(F.col("event_type") == "error", "other").otherwise("return")
-    events = e.select(F.concat_ws("::", (F.col("user_id") % 20).cast("string"), F.col("user_id").cast("string")).alias("test_nodeid"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("value") % 7).cast("int").cast("string").alias("filename"))
-    return trace.fold_traces(events)
-
-
-@query(
-    """
-    SELECT p_partkey, p_partkey % 4 <> 1 AS correct FROM part
-    """
-)
-def literal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size, fourth = F.col("p_size").cast("string"), F.col("p_partkey") % 4
-    said = F.when(fourth == 0, F.concat(size, F.lit(".0"))).when(fourth == 1, (F.col("p_size") + 1).cast("string")).when(fourth == 2, F.concat(F.lit('{"'), F.col("p_brand"), F.lit('", 1}'))).otherwise(F.concat(F.lit(" x + "), size))
-    true = F.when(fourth == 2, F.concat(F.lit("{1, '"), F.col("p_brand"), F.lit("'}"))).when(fourth == 3, F.concat(F.lit("x + "), size)).otherwise(size)
-    return table(spark, sf_dir, "part").select("p_partkey", python_values.matches_any(said, F.array(F.lit("'other'"), true)).alias("correct"))
-
-
-@query(
-    """
-    SELECT CAST(p_partkey AS VARCHAR) AS testpath, 'TestPart' AS classname, 'test_' || p_partkey AS funcname, CAST(p_size + 10 AS VARCHAR) AS ground_truth,
-      'def test_' || p_partkey || '(self):' || chr(10) || '    assert size(' || p_size || ') == ''???''' || chr(10) || '    assert x == 1' || chr(10) || '    assert y.z > 3' AS masked_code, 5 AS complexity_score
-    FROM part
-    """
-)
-def extract_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size").cast("string")
-    source = F.concat(
-        F.lit("import os\nclass TestPart:\n  def test_"), F.col("p_partkey").cast("string"), F.lit("(self):\n    assert size("), size, F.lit(") == "), (F.col("p_size") + 10).cast("string"), F.lit("\n    assert x == 1\n    assert y.z > 3\n")
-    )
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("testpath"), source.alias("content"))
-    tasks = python_source.extract_tasks(files)
-    return tasks.select("testpath", "classname", "funcname", "ground_truth", "masked_code", F.col("quality_analysis.complexity_score").alias("complexity_score"))
-
-
 @query(
     """
     WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
@@ -488,40 +415,6 @@ def phase_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.phases(logs, ["user_id"], "event_id").select("event_id", "phase")
 
 
-@query(
-    """
-    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN p_size || ',' || p_size || '.0' WHEN 2 THEN '''' || p_brand || '''' ELSE '' END AS truths FROM part
-    """
-)
-def runtime_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fourth, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    kind = F.when(fourth == 0, "<class 'numpy.int64'>").when(fourth == 1, "<class '_pytest.python_api.ApproxScalar'>").when(fourth == 2, "<class 'str'>").otherwise("<class 'NoneType'>")
-    value = F.when(fourth == 2, F.concat(F.lit('"'), F.col("p_brand"), F.lit('"'))).otherwise(size)
-    original = F.concat(F.lit("pytest.approx("), size, F.lit(", rel=1)"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(python_values.truths_of_runtime(F.lit("success"), value, kind, original), ",").alias("truths"))
-
-
-@query("SELECT regexp_extract(url, '://([^/]*)', 1) AS reponame, count(*) AS n FROM pages GROUP BY 1")
-def repo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]*)", 1).alias("reponame"))
-    return p.groupBy("reponame").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(None)
-def project_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("reponame"), F.concat(F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), F.col("p_size").cast("string"), F.lit(".py")).alias("path"))
-    return context.project_trees(part.distinct())
-
-
-@query(None)
-def packed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "benchmark")
-    files = d.select((F.col("item_id") % 10).alias("task_id"), F.col("item_id").alias("position"), F.concat(F.lit("f"), F.col("item_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"), F.lit(300).alias("budget"))
-    return context.packed_contexts(files, ["task_id"])
-
-
-
-
 @query(
     """
     SELECT CAST(c_nationkey AS VARCHAR) AS reponame, count(*) FILTER (c_mktsegment = 'BUILDING') AS original, count(*) FILTER (c_mktsegment = 'MACHINERY') AS rewrite, count(*) FILTER (c_acctbal < 0) AS aligned
@@ -533,27 +426,6 @@ def align_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.align_totals(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment = 'MACHINERY'"), c.where("c_acctbal < 0"))
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS reponame FROM customer EXCEPT SELECT CAST(o_custkey AS VARCHAR) FROM orders")
-def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requested = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("reponame"))
-    return keys.missing_names(requested, table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("reponame")))
-
-
-@query(
-    """
-    SELECT p_partkey, 'a' || p_size || '.py' AS first_name, p_type AS first_content, 2 AS n_files, p_brand || ',ls -l' AS commands FROM part
-    """
-)
-def message_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(
-        F.lit("do\n```file: a"), F.col("p_size").cast("string"), F.lit(".py \n"), F.col("p_type"), F.lit("\n```\n```bash\n# note\n  "), F.col("p_brand"), F.lit("\n\nls -l\n```\n```file:b.py\nx\n```")
-    )
-    first = T.first_file_block(text)
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", first["filename"].alias("first_name"), first["content"].alias("first_content"), F.size(T.file_blocks(text)).alias("n_files"), F.array_join(T.shell_commands(text), ",").alias("commands")
-    )
-
-
 @query(
     """
     SELECT CAST(s_nationkey AS VARCHAR) AS reponame, CAST(s_suppkey AS VARCHAR) AS test_file, count(*) AS negative FROM supplier JOIN part ON p_partkey % 25 = s_nationkey
@@ -592,22 +464,6 @@ def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """
-    SELECT p_partkey, 'x = ' || p_size || chr(10) || chr(10) || 'def test_a():' || chr(10) || '    return ' || (p_size + 1) AS replaced,
-      'def pytest_sessionfinish(s):' || chr(10) || '    # Call chain tracking disabled during rewrite phase' || chr(10) || '    return' || chr(10) || 'y = ' || p_size AS neutral
-    FROM part
-    """
-)
-def source_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size").cast("string")
-    source = F.concat(F.lit("x = "), size, F.lit("\ndef test_a():\n    pass\n"))
-    new = F.concat(F.lit("def test_a():\n    return "), (F.col("p_size") + 1).cast("string"))
-    hooks = F.concat(F.lit("def pytest_sessionfinish(s):\n    a()\n\n    b()\ny = "), size)
-    none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "part").select("p_partkey", python_source.function_replaced(source, none, F.lit("test_a"), new).alias("replaced"), python_source.hooks_neutralized(hooks).alias("neutral"))
-
-
 @query(
     """
     SELECT page_id, regexp_extract(url, '[^/]*$') AS name, replace(url, '/', chr(92)) AS back, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\\.[^.]*$', '\\1') || '_agent_rewrite.py' AS rewritten FROM pages

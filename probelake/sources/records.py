@@ -60,12 +60,14 @@ def read_records(spark: SparkSession, paths: str | list[str], schema: str, bad_l
     there = paths if bad_lines == "fail" else _present(spark, paths)
     if not there:
         return spark.createDataFrame([], full).withColumn("path", F.lit(None).cast("string"))
-    reader = spark.read.schema(full).option("mode", mode).option("recursiveFileLookup", str(recursive).lower())
-    if bad_lines == "keep":
-        reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if recursive:
         reader = reader.option("pathGlobFilter", "*.jsonl")
-    return reader.json(there).select("*", path_of_row().alias("path"))
+    if bad_lines == "keep":  # a plain scan refuses to read nothing but the malformed lines
+        options = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"}
+        lines = reader.text(there).where("trim(value) <> ''").select(F.from_json("value", full, options).alias("r"), path_of_row().alias("path"))
+        return lines.select("r.*", "path")
+    return reader.schema(full).option("mode", mode).json(there).select("*", path_of_row().alias("path"))
 
 
 def bad_line_counts(records: DataFrame) -> DataFrame:

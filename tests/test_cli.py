@@ -96,3 +96,28 @@ def test_chain_prompts_and_completions(spark):
 def test_unknown_command():
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
+
+
+def test_prompt_commands(spark, tmp_path):
+    repo = tmp_path / "repos/r"
+    for p, text in {"lib/a.py": "def size(x): return 5", "lib/b.py": "other words here", "tests/test_a.py": "from a import size\ndef test_a(): ..."}.items():
+        (repo / p).parent.mkdir(parents=True, exist_ok=True)
+        (repo / p).write_text(text)
+    task = {"task_id": "r_0", "reponame": "r", "testpath": "tests/test_a.py", "testname": "test_a.py", "funcname": "test_a", "masked_code": "assert size(3) == '???'"}
+    lines(tmp_path / "tasks/r.jsonl", [task, dict(task, task_id="r_1")])
+    lines(tmp_path / "ranks/r.jsonl", [{"task_id": "r_0", "reponame": "r", "related_files_rank": ["lib/b.py", "lib/a.py"]}])
+    deps = [{"file": "tests/test_a.py", "hops": 1}, {"file": "lib/a.py", "hops": 2}]
+    lines(tmp_path / "reports/r/report_functions.jsonl", [{"test_file": "tests/test_a.py", "test_function": "test_a", "dependencies": deps}])
+    lines(tmp_path / "reports/r/report_files.jsonl", [{"test_file": "tests/test_a.py", "dependencies": deps}])
+    (tmp_path / "t.txt").write_text("Files:\n{related_files}Code:\n{masked_code}")
+    at = lambda name: str(tmp_path / name)
+    cli.main(["output-prompts", at("tasks"), at("ranks"), at("reports"), at("repos"), at("out"), "--modes", "oracle,retrieval", "--template", at("t.txt"), "--samples", "2"], spark)
+    got = {(r.mode, r.task_id, r.sample_id): r for r in spark.read.json(at("out")).collect()}
+    assert set(got) == {("oracle", t, i) for t in ("r_0", "r_1") for i in (0, 1)} | {("retrieval", "r_0", i) for i in (0, 1)}
+    assert got["oracle", "r_1", 0].files == ["tests/test_a.py", "lib/a.py"] and sorted(got["retrieval", "r_0", 1].files) == ["lib/a.py", "lib/b.py"]
+    assert got["oracle", "r_0", 0].prompt.startswith("Files:\n### file: tests/test_a.py") and got["oracle", "r_0", 0].prompt.endswith("assert size(3) == '???'")
+    cli.main(["output-prompts", at("tasks"), at("ranks"), at("reports"), at("repos"), at("more"), "--modes", "oracle", "--samples", "3", "--done_dir", at("out")], spark)
+    assert {r.sample_id for r in spark.read.json(at("more")).collect()} == {2}
+    cli.main(["chain-prompts", at("tasks"), at("reports"), at("repos"), at("chains"), "--samples", "1"], spark)
+    rows = spark.read.json(at("chains")).collect()
+    assert len(rows) == 2 and all(sorted(r.files_in_prompt) == ["lib/a.py", "lib/b.py"] and "def test_a" in r.prompt for r in rows)

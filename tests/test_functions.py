@@ -185,3 +185,28 @@ def test_truncate():
     assert V.truncate_text("a b\nc d", 9, t) == "a b\nc d"
     assert V.truncate_text("a b\nc d", 3, t) == "a b\n... (1 lines omitted)"
     assert V.truncate_text("a b c", 3, t) == "a b\n... (truncated)"
+
+
+def test_white_space_is_that_of_python(spark):
+    odd = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+    texts = [f"{c}a{c}b{c}" for c in odd] + [odd + "x" + odd, "\u200bz\u200b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.strip(F.col("t")).alias("s"), T.space_tokens(F.col("t")).alias("w")).collect():
+        assert r.s == r.t.strip() and r.w == r.t.split(), repr(r.t)
+
+
+def test_printer_keeps_its_contract():
+    """The code that stands for an assertion, run on plain values here, prints one line of JSON between the markers."""
+    import contextlib
+    import io
+    import json
+
+    for truth, status, value in (("[1, 2]", "success", [1, 2]), ("{3}", "success", "{3}"), ("1 / 0", "failure", None), ("'a\\nb'", "success", "a\nb")):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            exec(S._PRINTER.format(truth=truth), {})  # our own template
+        lines = out.getvalue().split("\n")
+        assert lines[0] == "" and lines[1] == "---GT_START---" and lines[3] == "---GT_END---"
+        record = json.loads(lines[2])
+        assert record["status"] == status and record.get("value") == value
+        assert ("type" in record) == (status == "success") and ("traceback" in record) == (status == "failure")

@@ -59,6 +59,24 @@ def test_bm25(spark):
     assert retrieval.rank_lists(retrieval.bm25_ranks(c, q)).first().related_files_rank == bm25(corpus, ["y", "x", "x", "none"])
 
 
+def test_bm25_limit_looks_up_unscored_documents(spark):
+    """A limit gives the first ranks of the full list, unscored and negative ones included."""
+    import random
+
+    rng = random.Random(4)
+    corpus = {f"f{i:02d}.py": rng.choices("abcdefgh", k=rng.randint(1, 6)) for i in range(40)}
+    # a term in most documents weighs less than nothing where the mean does
+    common = {f"g{i}.py": ["the", "the"] if i else ["the", "rare"] for i in range(6)}
+    docs = [("r", p, t) for p, t in corpus.items()] + [("s", p, t) for p, t in common.items()]
+    c = spark.createDataFrame(docs, "reponame string, path string, tokens array<string>")
+    asked = [("r", "one", ["a", "b", "b"]), ("r", "none", ["zz"]), ("s", "the", ["the"]), ("s", "rare", ["rare", "the"])]
+    q = spark.createDataFrame(asked, "reponame string, query string, tokens array<string>")
+    key = lambda r: (r.reponame, r.query, r.path, r["rank"], round(r.score, 9))
+    full = {key(r) for r in retrieval.bm25_ranks(c, q).collect()}
+    for limit in (1, 3, 5, 30, 100):
+        assert {key(r) for r in retrieval.bm25_ranks(c, q, limit=limit).collect()} == {k for k in full if k[3] <= limit}
+
+
 def test_selection(spark):
     tasks = spark.createDataFrame([("t", "r", "A::f[p]")], "task_id string, reponame string, funcname string")
     ranks = spark.createDataFrame([("t", f"f{i:02d}", i) for i in range(1, 50)], "task_id string, path string, rank int")
@@ -93,6 +111,48 @@ def test_two_sided_context(spark):
     assert got["u"].files_in_prompt == ["m.py"]
 
 
+def test_recorded_chain_evaluations(spark):
+    """The recorded predictions of one task, two models and two ratios, give the recorded metrics."""
+    one, two, other = ["pulp/pulp.py"], ["pulp/pulp.py", "pulp/utilities.py"], ["pulp/pulp.py", "pulp/constants.py"]
+    recorded = {
+        ("a", "25_percent_positive"): [two, one, one, one, one],
+        ("a", "50_percent_positive"): [two, one, one, one, two],
+        ("b", "25_percent_positive"): [one, one, one, other, one],
+        ("b", "50_percent_positive"): [one, one, one, two, two],
+    }
+    deps = [("pulp/tests/test_lpdot.py", 1), ("pulp/pulp.py", 2)]
+    known = spark.createDataFrame([("pulp", "pulp/tests/test_lpdot.py", deps)], "reponame string, test_file string, dependencies array<struct<file:string, hops:int>>")
+    golden = {"25_percent_positive": (0.9, 1.0, 0.9333, 0.8), "50_percent_positive": (0.8, 1.0, 0.8667, 0.6)}
+    for model in "ab":
+        rows = [("pulp", ratio, "pulp_0", "pulp/tests/test_lpdot.py", i, f"```json\n{json.dumps(files)}\n```") for (m, ratio), samples in recorded.items() if m == model for i, files in enumerate(samples)]
+        said = spark.createDataFrame([*rows, ("pulp", "25_percent_positive", "x", "no/report.py", 0, "[]")], "reponame string, ratio string, task_id string, test_file string, sample_id int, response string")
+        evaluated = evaluation.evaluate_chains(said, known)
+        for r in evaluated.collect():
+            wrong = len(recorded[model, r.ratio][r.sample_id]) == 2
+            assert (r.precision, r.recall, r.exact_match) == ((0.5, 1.0, 0) if wrong else (1.0, 1.0, 1)) and r.f1 == pytest.approx(2 / 3 if wrong else 1)
+            assert r.truth_files == one and r.predicted_files == sorted(recorded[model, r.ratio][r.sample_id])
+        summary = {r.ratio: r for r in evaluation.chain_summary(evaluated).where("reponame IS NULL").collect()}
+        for ratio, means in golden.items():
+            r = summary[ratio]
+            assert (round(r.precision, 4), r.recall, round(r.f1, 4), round(r.exact_match, 4), r.num_tasks) == (*means, 1)
+
+
+def test_chat_window(spark):
+    rows = [("long", i, f"m{i}") for i in range(9)] + [("two", 0, "x"), ("two", 1, "y"), ("one", 5, "z")]
+    got = context.chat_window(spark.createDataFrame(rows, "c string, turn int, text string"), ["c"], "turn").collect()
+    assert sorted((r.c, r.turn) for r in got) == [("long", 0), ("long", 7), ("long", 8), ("one", 5), ("two", 0), ("two", 1)]
+
+
+def test_project_tree(spark):
+    paths = ["src/a/b/c/d.py", "src/Z.py", "src/a.py", "README", "build/x.py", "pkg.egg-info/y", "a.tmp", *[f"many/f{i}.py" for i in range(8)]]
+    df = spark.createDataFrame([("r", p) for p in paths], "reponame string, path string")
+    lines = context.project_trees(df).first().tree.split("\n")
+    assert lines[:9] == ["r/", "├── many/", "│   ├── f0.py", "│   ├── f1.py", "│   ├── f2.py", "│   ├── f3.py", "│   ├── f4.py", "│   ├── f5.py", "│   ├── f6.py"]
+    assert lines[9:] == ["│   └── f7.py", "│       └── ... (3 more files)", "├── src/", "│   ├── a/", "│   │   └── b/", "│   │       └── c/", "│   ├── a.py", "│   └── Z.py", "└── README"]
+    short = context.project_trees(df, limit=8).first().tree
+    assert short.endswith("lines omitted)") and len(SpaceTokenizer().encode(short.rsplit("\n", 1)[0])) <= 8
+
+
 EVENTS = [("call", "A"), ("call", "A"), ("return", "A"), ("call", "B"), ("return", "B"), ("return", "A"), ("line", "C"), ("call", None)]
 
 
