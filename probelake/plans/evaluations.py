@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probelake.functions import text as T
-from probelake.operators import context, evaluation, keys, prompts, reports, trace
+from probelake.operators import context, evaluation, keys, prompts, reports, retrieval, trace
 from probelake.plans.stand_ins import query, rounded, table
+from probelake.sources import scratch
+from probelake.streaming import trace_stream
 
 # call chains: a customer is a test file, its nation the repository, suppliers are files
 
@@ -277,11 +279,14 @@ _TRACE = """
 """
 
 
-def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("click", "view"), "call").when(F.col("event_type") == "error", "other").otherwise("return")
     user = F.col("user_id")
-    events = table(spark, sf_dir, "events").select(F.concat_ws("::", (user % 20).cast("string"), user.cast("string")).alias("test_nodeid"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.floor("value") % 7).cast("string").alias("filename"))
-    return trace.fold_traces(events)
+    return table(spark, sf_dir, "events").select(F.concat_ws("::", (user % 20).cast("string"), user.cast("string")).alias("test_nodeid"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.floor("value") % 7).cast("string").alias("filename"))
+
+
+def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.fold_traces(_events(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_TRACE} SELECT test AS test_nodeid, file, CAST(hops AS INTEGER) AS hops FROM hops")
@@ -303,9 +308,54 @@ def trace_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace.function_report(folded).select("test_file", "test_function", shown).unionByName(per_file)
 
 
+@query(f"WITH RECURSIVE {_TRACE} SELECT test AS test_nodeid, file, CAST(hops AS INTEGER) AS hops FROM hops")
+def streamed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold over a stream of two files, through a resumable sink."""
+    root = scratch.scratch_folder(spark, "stream")
+    events = _events(spark, sf_dir)
+    half = events.agg(F.percentile_approx("seq", 0.5).alias("half")).first()["half"]
+    for i, part in enumerate((events.where(F.col("seq") <= half), events.where(F.col("seq") > half))):
+        part.coalesce(1).write.parquet(f"{root}/in/{i}")
+    reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1")
+    improved = trace_stream.fold_stream(reader.parquet(f"{root}/in"))
+    sink = trace_stream.append_new(spark, f"{root}/out", ("test_nodeid", "file", "hops"))
+    run = improved.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    run.awaitTermination()
+    return trace_stream.least_hops(spark.read.schema("test_nodeid string, file string, hops int").parquet(f"{root}/out"))
+
+
 # prompts and texts
 
 
+@query(
+    """
+    WITH p AS (SELECT event_type AS mode, user_id % 20 AS repo, user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'original' ELSE 'rewrite' END AS condition FROM events WHERE event_id % 3 < 2)
+    SELECT mode, CAST(repo AS VARCHAR) AS reponame, CAST(user_id AS VARCHAR) AS task_id, condition, event_id FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.mode = a.mode AND b.user_id = a.user_id AND b.condition <> a.condition)
+    """
+)
+def common_task_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    condition = F.when(F.col("event_id") % 3 == 0, "original").otherwise("rewrite")
+    e = table(spark, sf_dir, "events").where("event_id % 3 < 2")
+    said = e.select(F.col("event_type").alias("mode"), (F.col("user_id") % 20).cast("string").alias("reponame"), F.col("user_id").cast("string").alias("task_id"), condition.alias("condition"), "event_id")
+    return evaluation.common_tasks(said)
+
+
+@query(
+    """
+    WITH q AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, CAST(l_partkey AS VARCHAR)) AS rank FROM q)
+    SELECT 'r' AS reponame, CAST(l_suppkey AS VARCHAR) AS query, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY rank) AS paths FROM r GROUP BY l_suppkey
+    """
+)
+def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    total = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("q"), F.col("l_partkey").cast("string"))
+    ranks = total.select(F.lit("r").alias("reponame"), F.col("l_suppkey").cast("string").alias("query"), F.col("l_partkey").cast("string").alias("path"), F.row_number().over(w).alias("rank"))
+    return retrieval.rank_lists(ranks).select("reponame", "query", F.array_join("related_files_rank", ",").alias("paths"))
+
+
 @query(
     """
     SELECT conv_id, turn, 'As ' || role || ':' || chr(10) || text || chr(10) || 'Again: ' || role AS prompt, CASE WHEN turn % 4 = 3 THEN 'ERROR: ValueError - turn' ELSE reverse(role) END AS response, CASE WHEN turn % 4 = 3 THEN 'error' ELSE 'stop' END AS finish_reason
