@@ -2,6 +2,11 @@
 
 Every stage reads what its predecessor kept as Parquet. All but the last return the
 columns of documents; the last returns the packed pieces of the mixed corpus.
+
+Defined results of every stage but the last: the rows that stay keep all their columns,
+whatever their names, with their values; null texts count as empty; null ids are no ids
+(such rows are never duplicates of others); very long texts are read whole; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,29 +20,47 @@ from probelake.llm.common import crc_mod, store
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules.
+
+    Null and empty texts fail (too few words); repeated rows stay or go together.
+    """
     return quality_rules.quality_filter(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; learned from labels outside the held-out fold."""
+    """Documents that score below 0.5; learned from labels outside the held-out fold.
+
+    Without labels of both kinds nothing is rejected; a score of exactly 0.5 is; repeated
+    rows stay or go together.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train_toxicity(docs, labels, crc_mod(F.col("id"), 5) != 0)
     return toxicity.drop_toxic(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: shingles of five words, a similarity of 0.8 or more."""
+    """One document of each group: shingles of five words, a similarity of 0.8 or more.
+
+    The smallest id stays; of rows that repeat id and text one stays; unlike texts of one
+    id all stay.
+    """
     return near_dup.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 0, 1 or 2 times."""
+    """Each document as often as the mix takes it: 0, 1 or 2 times.
+
+    A null source is a source of its own; repeated rows are documents of their own; ties
+    of the seeded hash go by id.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their sequences."""
+    """Pieces of at most 2048 tokens and their sequences.
+
+    A null text has its end id only; repeated rows are packed each; null ids stay null.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
