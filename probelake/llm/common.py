@@ -12,7 +12,7 @@ from weakref import WeakKeyDictionary
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word class ``[^\x20\x09-\x0D]+`` other than the space itself.
@@ -152,6 +152,12 @@ class Memo(dict):
         return (lambda k: once[k] if k in once else self[k]) if once else self.__getitem__
 
 
+def dealt_blocks(rows: DataFrame, keys: list[str]) -> GroupedData:
+    """Blocks as groups, over all shuffle partitions: a block's work is far larger than its bytes, by which Spark would join partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).groupBy(*keys)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once: a lambda variable stands for it."""
     return F.transform(F.array(value), body)[0]

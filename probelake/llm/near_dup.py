@@ -36,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probelake.llm import set_sketch
-from probelake.llm.common import OTHER_SPACE, Memo, connected_components, drop_stored, once_in_worker, store, text_runs
+from probelake.llm.common import OTHER_SPACE, Memo, connected_components, dealt_blocks, drop_stored, once_in_worker, store, text_runs
 
 BANDS = 32
 #: Rows, and bytes of full sets, aimed at in one block of a bucket.
 BLOCK = 1024
 BLOCK_BYTES = 8_000_000
+#: Sub-keys that the copies of one set are dealt to.
+SALTS = 32
 _LOWER = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {ord(c): " " for c in OTHER_SPACE}
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,16 +166,16 @@ class _Block:
 
     def pairs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, likely targets, their estimates) for pairs that meet in no earlier band."""
-        t = self.targets
+        t, of_targets = self.targets, self.regs[self.targets]
         for i in self.queries:
-            above, below = (self.regs[i] > self.regs[t]).sum(1), (self.regs[i] < self.regs[t]).sum(1)
-            near = (self.comps[t] != self.comps[i]) & (above + below <= (1.05 - self.least) * self.m)
-            ok = np.flatnonzero(near)
+            apart = np.count_nonzero(of_targets != self.regs[i], axis=1)
+            ok = np.flatnonzero((apart <= (1.05 - self.least) * self.m) & (self.comps[t] != self.comps[i]))
             if not len(ok):
                 continue
-            same = (self.regs[t[ok]] == self.regs[i]).reshape(len(ok), self.bands, -1).all(2)
+            same = (of_targets[ok] == self.regs[i]).reshape(len(ok), self.bands, -1).all(2)
             ok = ok[~same[:, : self.band].any(1)]
-            j = set_sketch.estimate(above[ok], below[ok], np.full(len(ok), self.n[i]), self.n[t[ok]], self.m)
+            above = np.count_nonzero(of_targets[ok] < self.regs[i], axis=1)
+            j = set_sketch.estimate(above, apart[ok] - above, np.full(len(ok), self.n[i]), self.n[t[ok]], self.m)
             if (j >= self.least).any():
                 yield i, t[ok[j >= self.least]], j[j >= self.least]
 
@@ -246,10 +248,20 @@ def _residual_links(members: DataFrame, comps: DataFrame, sketches: DataFrame, s
     targets = rows.select(*base, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"), F.pmod(place, F.col("t_blocks")).cast("int").alias("j"))
     asks = rows.where("comp <> main").select(*base, F.lit(True).alias("query"), F.pmod(place, F.col("q_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("j"))
     at = [*key, "i", "j"]
-    likely = targets.unionByName(asks).groupBy(*at).applyInPandas(_block_candidates(least, m, bands), "band int, bucket long, i int, j int, node long, comp long, query boolean")
+    likely = dealt_blocks(targets.unionByName(asks), at).applyInPandas(_block_candidates(least, m, bands), "band int, bucket long, i int, j int, node long, comp long, query boolean")
     likely = store(likely, "candidates")
     full = likely.join(sets, "node").join(sketches.select("node", "n", "regs"), "node")
-    return store(full.groupBy(*at).applyInPandas(_block_links(percent, least, m, bands), "u long, v long"), "more_links")
+    return store(dealt_blocks(full, at).applyInPandas(_block_links(percent, least, m, bands), "u long, v long"), "more_links")
+
+
+def _joined(comps: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after further links: only the components that these touch are searched again."""
+    ends = more.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", F.col("node").alias("component"))
+    known = comps.unionByName(ends.join(comps, "node", "left_anti"))
+    of = lambda s: known.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
+    between = more.join(of("u"), "u").join(of("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
+    again = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return known.join(again, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
 
 def _components(docs: DataFrame, shingle: int, percent: int, bands: int, id_col: str, text_col: str) -> DataFrame:
@@ -258,10 +270,10 @@ def _components(docs: DataFrame, shingle: int, percent: int, bands: int, id_col:
     m = bands * r
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
     rows = store(_sketches(docs, shingle, m), "sketches")
-    full = rows.where("id IS NOT NULL AND n > 0")
+    full = rows.where("id IS NOT NULL AND n > 0").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(SALTS)).cast("int"))
     # equal digests mean equal sets, hence equal sizes and registers
-    classes = full.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = store(classes.select("digest", "rep.id", "rep.mark", "n", "regs", F.monotonically_increasing_id().alias("node")), "classes")
+    classes = full.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.collect_set("salt").alias("salts"))
+    classes = store(classes.select("digest", "rep.id", "rep.mark", "n", "regs", "salts", F.monotonically_increasing_id().alias("node")), "classes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * r + 1, F.lit(r))))
     banded = classes.select("node", F.posexplode(keys).alias("band", "bucket"))
@@ -283,13 +295,14 @@ def _components(docs: DataFrame, shingle: int, percent: int, bands: int, id_col:
     comps = connected_components(links)
     more = _residual_links(members, comps, classes, sets, percent, m, bands)
     if more is not None:
-        comps = connected_components(links.unionByName(more))
+        comps = store(_joined(comps, more), "components")
     linked = classes.select("digest", "id", "node").join(comps, "node")
     least = linked.groupBy("component").agg(F.min("id").alias("least"))
     linked = linked.join(least, "component").select("digest", "component", "least")
-    of_class = classes.select("digest", "id", "node").join(linked, "digest", "left")
-    of_class = of_class.select("digest", F.coalesce("component", "node").alias("group"), F.coalesce("least", "id").alias("component"))
-    found = full.join(of_class, "digest").select("id", "mark", "n", "group", "component")
+    of_class = classes.select("digest", "id", "node", "salts").join(linked, "digest", "left")
+    # a class is there once for each salt that its rows have, so a large group of copies meets it in many tasks
+    of_class = of_class.select("digest", F.explode("salts").alias("salt"), F.coalesce("component", "node").alias("group"), F.coalesce("least", "id").alias("component"))
+    found = full.join(of_class, ["digest", "salt"]).select("id", "mark", "n", "group", "component")
     # rows without a set are kept out of the join: they would all meet in one task
     rest = rows.where("id IS NULL OR n = 0").select("id", "mark", "n", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"))
     return found.unionByName(rest)

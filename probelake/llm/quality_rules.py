@@ -5,9 +5,11 @@ Every rule compares a ratio of two measured quantities with a bound as
 whole numbers stay exact. The compiled verdict is one Catalyst expression; no
 Python runs on executors.
 
-Defined results: a null text has no words, all counts 0, ``base_failed`` true.
-Repeated rows give repeated results; a null id stays null; further columns of
-the input, whatever their names, are ignored. An empty table gives no rows.
+Defined results: a null or empty text has no words, all counts 0, ``base_failed`` true;
+very long texts are measured whole; a ratio that equals its bound passes; repeated rows
+give repeated results; a null id stays null; further columns of the input, whatever their
+names, are ignored (or kept as they are by :func:`quality_filter`). An empty table gives
+no rows.
 """
 
 from __future__ import annotations

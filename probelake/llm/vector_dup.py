@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelake.llm.common import connected_components, store
+from probelake.llm.common import connected_components, dealt_blocks, store
 
 #: Vectors of one cell aimed at, rows of one block or slice, and pivots of one group.
 CELL = 1024
@@ -224,7 +224,7 @@ def vector_duplicates(table: DataFrame, cosine: float = 0.98, id_col: str = "vec
     base = ["cell", "node", "weight", "vec"]
     targets = rows.select(*base, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"), F.pmod(place, F.col("t_blocks")).cast("int").alias("j"))
     asks = rows.where("core").select(*base, F.lit(True).alias("query"), F.pmod(place, F.col("q_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("j"))
-    found = store(targets.unionByName(asks).groupBy("cell", "i", "j").applyInPandas(_block_join(cosine), "node long, links long, root long"), "vector_links")
+    found = store(dealt_blocks(targets.unionByName(asks), ["cell", "i", "j"]).applyInPandas(_block_join(cosine), "node long, links long, root long"), "vector_links")
 
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
