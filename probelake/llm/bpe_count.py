@@ -66,7 +66,9 @@ class ArrayBpe:
         self.order = np.argsort(keys, kind="stable")
         self.keys, self.made = keys[self.order], made
         self.special = [t["content"] for t in j.get("added_tokens", [])]
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.split = re.compile(
+            "(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")"
+        ) if self.special else None
         self.piece = regex.compile(_PIECE)
         self.units, self.pieces = Memo(), Memo()
 
@@ -192,7 +194,9 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(
+    docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """n_bytes, n_tokens and ``over_limit`` (n_tokens > limit) of each row."""
     raw = read_vocabulary(vocabulary)
     spec, name = docs.sparkSession.sparkContext.broadcast(raw), f"bpe {zlib.crc32(raw)}"

@@ -192,7 +192,9 @@ def _with_least(edges: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("v"), F.lit(_SPLIT)).cast("int").alias("s")
     # one exchange serves the minimum and the join
     dealt = edges.select("u", "v", part).repartition("u", "s")
-    least = dealt.groupBy("u", "s").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_set("s").alias("parts"))
+    least = dealt.groupBy("u", "s").agg(F.min("v").alias("m")).groupBy("u").agg(
+        F.min("m").alias("m"), F.collect_set("s").alias("parts")
+    )
     return dealt.join(least.select("u", "m", F.explode("parts").alias("s")), ["u", "s"])
 
 
@@ -203,7 +205,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    hung = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))
+    hung = F.explode(
+        F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+    )
     return down.select(hung.alias("e")).select("e.*").where("u <> v").distinct()
 
 
@@ -215,7 +219,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round is written out, so a lost executor costs one round. Nodes without an edge to
     another node are absent from the result; ``component`` is the smallest node.
     """
-    edges = store(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges = store(
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
+    )
     before = _signature(edges)
     for _ in range(max_rounds):
         if not before[0]:
@@ -229,11 +235,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # every edge now leads to a root, which is its own component
-    pairs = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))
+    pairs = F.explode(
+        F.array(
+            F.struct(F.col("u").alias("node"), F.col("v").alias("component")),
+            F.struct(F.col("v").alias("node"), F.col("v").alias("component"))
+        )
+    )
     return edges.select(pairs.alias("p")).select("p.*").distinct()
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train_docs: int, may_learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, target: str, train_docs: int, may_learn: Column, id_col: str = "doc_id",
+    text_col: str = "text"
+) -> DataFrame:
     """A bounded sample of labelled rows, stored: id, text, label, weight.
 
     About ``train_docs / 2`` rows of each class at most, chosen by a hash of the id;
@@ -241,12 +255,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train_docs:
     several texts of one id as the least. Only sampled ids (a bounded number) are
     broadcast to the texts.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(target).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    known = labels.select(
+        F.col(id_col).alias("id"), F.col(target).cast("int").alias("label")
+    ).where("id IS NOT NULL AND label IN (0, 1)")
     known = known.where(may_learn).groupBy("id").agg(F.max("label").alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     rates = {k: min(1.0, train_docs / 2 / n) for k, n in sizes.items()}
     rate = F.when(F.col("label") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
-    chosen = known.where(F.xxhash64(F.col("id").cast("string"), F.lit(11)) / F.lit(2.0**64) + 0.5 < rate).withColumn("weight", F.try_divide(F.lit(1.0), rate))
+    chosen = known.where(
+        F.xxhash64(F.col("id").cast("string"), F.lit(11)) / F.lit(2.0**64) + 0.5 < rate
+    ).withColumn("weight", F.try_divide(F.lit(1.0), rate))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label", "weight").agg(F.min("text").alias("text"))
     return store(found.select("id", "text", "label", "weight"), "labelled")

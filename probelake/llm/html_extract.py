@@ -42,17 +42,30 @@ _QUOTE_OR_END = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"(?<![^\s/\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never page text.
-_SILENT = set("script style head title noscript template svg math iframe object button select option textarea canvas audio video datalist".split())
+_SILENT = set(
+    "script style head title noscript template svg math iframe object button select option textarea canvas audio video datalist".split()
+)
 _RAW = set("script style title textarea noscript iframe template".split())
 _BLOCK = set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption "
     "nav header footer aside form fieldset address details summary hr center dialog menu".split()
 )
 _ENDS_P = _BLOCK - {"html", "body", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}
-_SAME_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-
-_TAG_GROUPS = [set(g.split()) for g in ("article main", "section", "div center", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "table thead tbody tfoot tr td th caption", "blockquote pre figure figcaption", "nav", "header", "footer address", "aside", "form fieldset dialog details summary", "html body")]
+_SAME_END = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}
+}
+_SCOPE = {
+    "li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"},
+    "th": {"tr", "table"}
+}
+
+_TAG_GROUPS = [
+    set(g.split()) for g in (
+        "article main", "section", "div center", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd",
+        "table thead tbody tfoot tr td th caption", "blockquote pre figure figcaption", "nav", "header", "footer address",
+        "aside", "form fieldset dialog details summary", "html body"
+    )
+]
 _GROUP_OF = {tag: i for i, group in enumerate(_TAG_GROUPS) for tag in group}
 _WORDS = [
     re.compile(p)
@@ -221,7 +234,11 @@ class _Tree:
         page.parents.append(self.block() if self.blocks else -1)
         page.names.append(" ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label")).lower())
         page.marks.append(found.get("data-y"))
-        page.hidden.append(bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)) or "display:none" in found.get("style", "").replace(" ", "").lower())
+        page.hidden.append(
+            bool(
+                re.search(r"(?:^|\s)hidden(?:\s|=|$)", attrs)
+            ) or "display:none" in found.get("style", "").replace(" ", "").lower()
+        )
         page.own.append(0)
         page.linked.append(0)
         return len(page.tags) - 1
@@ -440,7 +457,12 @@ def labelled_page(rng: random.Random) -> str:
 
     def nav() -> str:
         inner = f'<ul data-y="0">{links(rng.randint(2, 9))}</ul>'
-        return rng.choice([f'<nav data-y="0">{inner}</nav>', f'<div data-y="0" {named("menu nav navbar main-menu breadcrumbs topnav")}>{inner}</div>'])
+        return rng.choice(
+            [
+                f'<nav data-y="0">{inner}</nav>',
+                f'<div data-y="0" {named("menu nav navbar main-menu breadcrumbs topnav")}>{inner}</div>'
+            ]
+        )
 
     def ad() -> str:
         return f'<div data-y="0" {named("ad ads advert ad-slot promo sponsored banner advertisement")}>{text(2, 30)}</div>'
@@ -450,25 +472,41 @@ def labelled_page(rng: random.Random) -> str:
 
     def side() -> str:
         inner = f'<h3 data-y="0">{text(1, 4)}</h3><ul data-y="0">{links(rng.randint(1, 6))}</ul><p data-y="0">{text(3, 40)}</p>'
-        return rng.choice([f'<aside data-y="0">{inner}</aside>', f'<div data-y="0" {named("sidebar related widget recommended trending")}>{inner}</div>'])
+        return rng.choice(
+            [
+                f'<aside data-y="0">{inner}</aside>',
+                f'<div data-y="0" {named("sidebar related widget recommended trending")}>{inner}</div>'
+            ]
+        )
 
     def form() -> str:
         inner = f'<p data-y="0">{text(2, 14)}</p><label>{text(1, 3)}</label><input name="q"><button>{text(1, 2)}</button>'
-        return rng.choice([f'<form data-y="0">{inner}</form>', f'<div data-y="0" {named("newsletter subscribe search-box login")}>{inner}</div>'])
+        return rng.choice(
+            [
+                f'<form data-y="0">{inner}</form>',
+                f'<div data-y="0" {named("newsletter subscribe search-box login")}>{inner}</div>'
+            ]
+        )
 
     def comments() -> str:
         one = lambda: f'<div data-y="0" class="{rng.choice(["comment", "reply", "item"])}"><p data-y="0">{text(3, 60)}</p></div>'
-        return f'<{(t := rng.choice(["section", "div"]))} data-y="0" {named("comments comment-list replies discussion responses")}>' + "".join(one() for _ in range(rng.randint(1, 5))) + f"</{t}>"
+        return f'<{(t := rng.choice(["section", "div"]))} data-y="0" {named("comments comment-list replies discussion responses")}>' + "".join(
+            one() for _ in range(rng.randint(1, 5))
+        ) + f"</{t}>"
 
     def inside() -> str:
         return rng.choice([
-            f'<p data-y="1">{text(1, 120)}</p>', f'<p data-y="1">{text(10, 120)}</p>', f'<p data-y="1">{text(1, 120)}<br>{text(1, 40)}</p>', f'<h2 data-y="1">{text(1, 8)}</h2>',
+            f'<p data-y="1">{text(1, 120)}</p>', f'<p data-y="1">{text(10, 120)}</p>',
+            f'<p data-y="1">{text(1, 120)}<br>{text(1, 40)}</p>', f'<h2 data-y="1">{text(1, 8)}</h2>',
             f'<ul data-y="1">' + "".join(f'<li data-y="1">{text(2, 20)}</li>' for _ in range(rng.randint(1, 6))) + "</ul>",
             f'<blockquote data-y="1"><p data-y="1">{text(4, 40)}</p></blockquote>', f'<pre data-y="1">{text(3, 40)}</pre>',
-            f'<div data-y="1"><p data-y="1">{text(3, 90)}</p></div>', f'<div data-y="1">{text(3, 90)}</div>', f'<section data-y="1"><h3 data-y="1">{text(1, 7)}</h3><p data-y="1">{text(4, 80)}</p></section>',
-            f'<table data-y="1"><tr data-y="1"><td data-y="1">{text(1, 6)}</td><td data-y="1">{text(1, 6)}</td></tr></table>', f'<figure data-y="1"><figcaption data-y="1">{text(2, 16)}</figcaption></figure>',
-            f'<p data-y="1">{text(2, 30)} <a href="/y">{text(1, 6)}</a> {text(2, 30)}</p>', f'<p data-y="1"><a href="/y">{text(1, 6)}</a></p>',
-        ])
+            f'<div data-y="1"><p data-y="1">{text(3, 90)}</p></div>', f'<div data-y="1">{text(3, 90)}</div>',
+            f'<section data-y="1"><h3 data-y="1">{text(1, 7)}</h3><p data-y="1">{text(4, 80)}</p></section>',
+            f'<table data-y="1"><tr data-y="1"><td data-y="1">{text(1, 6)}</td><td data-y="1">{text(1, 6)}</td></tr></table>',
+            f'<figure data-y="1"><figcaption data-y="1">{text(2, 16)}</figcaption></figure>',
+            f'<p data-y="1">{text(2, 30)} <a href="/y">{text(1, 6)}</a> {text(2, 30)}</p>',
+            f'<p data-y="1"><a href="/y">{text(1, 6)}</a></p>',
+        ])
 
     parts = [f'<h1 data-y="1">{text(1, 10)}</h1>'] if rng.random() < 0.8 else []
     parts += [text(2, 60)] if rng.random() < 0.1 else []
@@ -491,10 +529,26 @@ def labelled_page(rng: random.Random) -> str:
     pieces = [nav(), *[f() for f in (ad, notice, side, form) if rng.random() < 0.3]]
     rng.shuffle(pieces)
     if rng.random() < 0.5:
-        pieces.insert(0, rng.choice([f'<header data-y="0"><h1 data-y="0">{text(1, 5)}</h1>{nav()}</header>', f'<div data-y="0" {named("header masthead site-header top")}><p data-y="0">{text(1, 9)}</p></div>']))
+        pieces.insert(
+            0,
+            rng.choice(
+                [
+                    f'<header data-y="0"><h1 data-y="0">{text(1, 5)}</h1>{nav()}</header>',
+                    f'<div data-y="0" {named("header masthead site-header top")}><p data-y="0">{text(1, 9)}</p></div>'
+                ]
+            )
+        )
     after = [f() for f in (ad, side, form, comments, nav) if rng.random() < 0.25]
     foot = f"&copy; {text(1, 4)} {text(2, 25)}"
-    after.append(rng.choice([f'<footer data-y="0">{foot}</footer>', f'<div data-y="0" {named("footer copyright site-footer legal bottom")}>{foot}</div>', f'<footer data-y="0"><p data-y="0">{foot}</p><ul data-y="0">{links(3)}</ul></footer>']))
+    after.append(
+        rng.choice(
+            [
+                f'<footer data-y="0">{foot}</footer>',
+                f'<div data-y="0" {named("footer copyright site-footer legal bottom")}>{foot}</div>',
+                f'<footer data-y="0"><p data-y="0">{foot}</p><ul data-y="0">{links(3)}</ul></footer>'
+            ]
+        )
+    )
     return f'<!DOCTYPE html><html><head><title>{text(1, 6)}</title></head><body data-y="0">{"".join(pieces)}{body}{"".join(after)}</body></html>'
 
 
@@ -524,7 +578,9 @@ def extract(model: TreeModel, sources: list[str | None]) -> list[str]:
     return out
 
 
-def extract_pages(pages: DataFrame, model: TreeModel | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(
+    pages: DataFrame, model: TreeModel | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+) -> DataFrame:
     """id, url, text and n_chars (code points) of each page."""
     model = model or train()
 
@@ -536,7 +592,12 @@ def extract_pages(pages: DataFrame, model: TreeModel | None = None, id_col: str
             for a, sources in text_runs(batch, 2):
                 texts = extract(model, sources)
                 of = [c.slice(a, len(sources)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays(
+                    [*of, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                    names=[id_col, url_col, "text", "n_chars"]
+                )
 
     kind = dict(pages.dtypes)
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"`{id_col}` {kind[id_col]}, `{url_col}` {kind[url_col]}, text string, n_chars long")
+    return pages.select(id_col, url_col, html_col).mapInArrow(
+        run, f"`{id_col}` {kind[id_col]}, `{url_col}` {kind[url_col]}, text string, n_chars long"
+    )

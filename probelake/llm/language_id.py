@@ -117,11 +117,16 @@ class LanguageFilters:
         return lang, score
 
 
-def train_filters(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", train_docs: int = 3000, least_count: int = 3, least_share: float = 0.1) -> LanguageFilters:
+def train_filters(
+    docs: DataFrame, may_learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
+    train_docs: int = 3000, least_count: int = 3, least_share: float = 0.1
+) -> LanguageFilters:
     """Learn which n-grams each language has: at least ``least_count`` times, and at
     least ``least_share`` as often as in the language where it is most frequent."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    rows = rows.select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h")
+    )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     words = max(1, -(-len(languages) // 64))
@@ -129,8 +134,12 @@ def train_filters(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id
     if not languages:
         return LanguageFilters([], masks)
     index = {x: i for i, x in enumerate(languages)}
-    rates = docs.sparkSession.createDataFrame([(x, min(1.0, train_docs / n)) for x, n in sizes.items()], "lang string, rate double")
-    sample = rows.join(F.broadcast(rates), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("rate")).select("lang", "text")
+    rates = docs.sparkSession.createDataFrame(
+        [(x, min(1.0, train_docs / n)) for x, n in sizes.items()], "lang string, rate double"
+    )
+    sample = rows.join(F.broadcast(rates), "lang").where(
+        F.col("h") / F.lit(2.0**64) + 0.5 < F.col("rate")
+    ).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +151,10 @@ def train_filters(docs: DataFrame, may_learn: Column, lang_col: str = "lang", id
                     if hs:
                         h, n = np.unique(np.concatenate(hs), return_counts=True)
                         code = np.full(len(h), index[lang], np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(code), pa.array(n.astype(np.int64))], names=["gram", "lang", "n"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h.view(np.int64)), pa.array(code), pa.array(n.astype(np.int64))],
+                            names=["gram", "lang", "n"]
+                        )
 
     seen = sample.mapInArrow(count, "gram long, lang int, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     seen = store(seen, "language_grams")
@@ -170,7 +182,10 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
         for batch in batches:
             for a, texts in text_runs(batch, 1):
                 lang, score = model.predict(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, len(texts)), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                    names=[id_col, "lang_pred", "score"]
+                )
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")

@@ -160,15 +160,26 @@ def mix_sources(
     """
     picked = store(_picked(docs, sources, seed, id_col, text_col), "mix")
     mixed = _decided(picked, picked, weights, share, repeats)
-    return mixed.select(F.col("m_id").alias(id_col), F.col("m_size").alias("size"), F.col("m_pattern").alias("pattern"), "source_size", "target", "copies", (F.col("copies") * F.col("m_size")).cast("long").alias("taken"))
+    return mixed.select(
+        F.col("m_id").alias(id_col), F.col("m_size").alias("size"), F.col("m_pattern").alias("pattern"), "source_size",
+        "target", "copies", (F.col("copies") * F.col("m_size")).cast("long").alias("taken")
+    )
 
 
 def _picked(docs: DataFrame, sources: Column, seed: int, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """What the selection reads of each row: id, pattern, size, hash and two bucket numbers."""
     some = F.array_sort(F.array_distinct(F.coalesce(sources, F.array(F.lit(None).cast("string")))))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("m_id"), some.alias("m_pattern"), n_words(F.col(text_col)).alias("m_size"), hashed.alias("m_hash"), *more)
-    return rows.withColumns({"m_b": F.pmod("m_hash", F.lit(BUCKETS)).cast("int"), "m_c": F.pmod(F.shiftright("m_hash", 20), F.lit(BUCKETS)).cast("int")})
+    rows = docs.select(
+        F.col(id_col).alias("m_id"), some.alias("m_pattern"), n_words(F.col(text_col)).alias("m_size"), hashed.alias("m_hash"),
+        *more
+    )
+    return rows.withColumns(
+        {
+            "m_b": F.pmod("m_hash", F.lit(BUCKETS)).cast("int"),
+            "m_c": F.pmod(F.shiftright("m_hash", 20), F.lit(BUCKETS)).cast("int")
+        }
+    )
 
 
 def _cut(sums: DataFrame, bucket: str) -> DataFrame:
@@ -176,14 +187,18 @@ def _cut(sums: DataFrame, bucket: str) -> DataFrame:
     w = Window.partitionBy("p").orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = sums.withColumn("upto", F.sum("s").over(w))
     ends = run.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("s") < F.col("rest")))
-    return ends.groupBy("p").agg(F.min(bucket).alias(f"cut_{bucket}"), F.min(F.col("upto") - F.col("s")).alias(f"before_{bucket}"))
+    return ends.groupBy("p").agg(
+        F.min(bucket).alias(f"cut_{bucket}"), F.min(F.col("upto") - F.col("s")).alias(f"before_{bucket}")
+    )
 
 
 def _decided(picked: DataFrame, rows: DataFrame, weights, share: float, repeats: int) -> DataFrame:
     """``rows`` (of :func:`_picked`, as ``picked`` are) with source_size, target and copies."""
     spark = picked.sparkSession
     sums = store(picked.groupBy("m_pattern", "m_b").agg(F.sum("m_size").alias("s")), "mix_buckets")
-    patterns = {tuple(r["m_pattern"]): float(r["s"] or 0) for r in sums.groupBy("m_pattern").agg(F.sum("s").alias("s")).collect()}
+    patterns = {
+        tuple(r["m_pattern"]): float(r["s"] or 0) for r in sums.groupBy("m_pattern").agg(F.sum("s").alias("s")).collect()
+    }
     size_of: dict = {}
     for p, n in patterns.items():  # a shared document counts in every source that holds it
         for x in p:
@@ -199,22 +214,30 @@ def _decided(picked: DataFrame, rows: DataFrame, weights, share: float, repeats:
         routed = min(sum(flow[p].values()), repeats * n)
         whole = min(int(routed / n + 1e-9), repeats) if n else 0
         plan.append((i, list(p), int(size_of[p[0]]), float(targets[p[0]]), whole, max(0.0, routed - whole * n) if n else 0.0))
-    plan_df = spark.createDataFrame(plan, "p int, pattern array<string>, source_size long, target double, whole int, rest double")
+    plan_df = spark.createDataFrame(
+        plan, "p int, pattern array<string>, source_size long, target double, whole int, rest double"
+    )
 
     key = F.col("m_pattern").eqNullSafe(F.col("pattern"))
     first = _cut(sums.join(plan_df.where("rest > 0").select("p", "pattern", "rest"), key), "m_b")
     bounds = store(plan_df.join(first, "p", "left"), "mix_bounds")
     # the bucket in which the rest ends is dealt again; what is left of it is ranked, equal rows as one
-    inner = picked.join(bounds.select("p", "pattern", F.col("cut_m_b"), (F.col("rest") - F.col("before_m_b")).alias("rest")), key).where("m_b = cut_m_b")
+    inner = picked.join(
+        bounds.select("p", "pattern", F.col("cut_m_b"), (F.col("rest") - F.col("before_m_b")).alias("rest")), key
+    ).where("m_b = cut_m_b")
     inner = store(inner.select("p", "rest", "m_c", "m_hash", "m_id", "m_size"), "mix_edge")
     second = _cut(inner.groupBy("p", "rest", "m_c").agg(F.sum("m_size").alias("s")), "m_c")
     bounds = store(bounds.join(second, "p", "left"), "mix_bounds")
-    edge = inner.join(second, "p").where("m_c = cut_m_c").groupBy("p", "rest", "before_m_c", "m_hash", "m_id", "m_size").agg(F.count(F.lit(1)).alias("c"))
+    edge = inner.join(second, "p").where("m_c = cut_m_c").groupBy(
+        "p", "rest", "before_m_c", "m_hash", "m_id", "m_size"
+    ).agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy("p").orderBy("m_hash", "m_id", "m_size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("before_m_c") + F.coalesce(F.sum(F.col("c") * F.col("m_size")).over(order), F.lit(0))
     # a document that crosses the boundary is taken when at least half of it lies inside
     quota = F.when(F.col("m_size") > 0, F.round((F.col("rest") - before) / F.col("m_size"))).otherwise(0)
-    edge = edge.select("p", "m_hash", "m_id", "m_size", "c", F.least(F.greatest(quota, F.lit(0)), F.col("c")).cast("long").alias("quota"))
+    edge = edge.select(
+        "p", "m_hash", "m_id", "m_size", "c", F.least(F.greatest(quota, F.lit(0)), F.col("c")).cast("long").alias("quota")
+    )
     edge = store(edge, "mix_ranked")
 
     with_plan = rows.join(bounds, key)
@@ -223,14 +246,22 @@ def _decided(picked: DataFrame, rows: DataFrame, weights, share: float, repeats:
     # no boundary: all of the rest lies inside
     inside = F.when(F.col("rest") <= 0, F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))
     clear = with_plan.where(~F.coalesce(on_edge, F.lit(False))).withColumn("extra", inside.cast("int"))
-    ranked = with_plan.where(F.coalesce(on_edge, F.lit(False))).join(edge.select(F.col("p").alias("e_p"), F.col("m_hash").alias("e_hash"), F.col("m_id").alias("e_id"), F.col("m_size").alias("e_size"), "c", "quota"), (F.col("p") == F.col("e_p")) & (F.col("m_hash") == F.col("e_hash")) & F.col("m_id").eqNullSafe(F.col("e_id")) & (F.col("m_size") == F.col("e_size")))
+    ranked = with_plan.where(F.coalesce(on_edge, F.lit(False))).join(
+        edge.select(
+            F.col("p").alias("e_p"), F.col("m_hash").alias("e_hash"), F.col("m_id").alias("e_id"),
+            F.col("m_size").alias("e_size"), "c", "quota"
+        ),
+        (F.col("p") == F.col("e_p")) & (F.col("m_hash") == F.col("e_hash")) & F.col("m_id").eqNullSafe(F.col("e_id")) & (F.col("m_size") == F.col("e_size"))
+    )
     some = ranked.where("quota = 0 OR quota = c").withColumn("extra", (F.col("quota") > 0).cast("int"))
     kept = [*rows.columns, "source_size", "target", "whole", "extra"]
     both = clear.select(*kept).unionByName(some.select(*kept))
     if edge.where("quota > 0 AND quota < c").limit(1).count():
         # only where equal rows straddle the boundary are they told apart, by any order
         among = F.row_number().over(Window.partitionBy("p", "m_hash", "m_id", "m_size").orderBy("m_hash"))
-        both = both.unionByName(ranked.where("quota > 0 AND quota < c").withColumn("extra", (among <= F.col("quota")).cast("int")).select(*kept))
+        both = both.unionByName(
+            ranked.where("quota > 0 AND quota < c").withColumn("extra", (among <= F.col("quota")).cast("int")).select(*kept)
+        )
     return both.withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(repeats)))
 
 
@@ -240,7 +271,8 @@ def cycle_weights(names: list, cycle=(5, 2, 1)) -> dict:
 
 
 def mixed_documents(
-    docs: DataFrame, source_col: str = "source", weights=cycle_weights, share: float = 1.5, repeats: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, source_col: str = "source", weights=cycle_weights, share: float = 1.5, repeats: int = 2, seed: int = 17,
+    id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The mix itself: every document as often as it is taken, columns unchanged."""
     sources = F.array(F.col(source_col))

@@ -96,7 +96,10 @@ def _sketches(docs: DataFrame, size: int, m: int) -> DataFrame:
                         regs[i] = r.tobytes()
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 of = [c.slice(a, len(texts)) for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*of, pa.array(n), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], names=["id", "mark", "n", "digest", "regs"])
+                yield pa.RecordBatch.from_arrays(
+                    [*of, pa.array(n), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
+                    names=["id", "mark", "n", "digest", "regs"]
+                )
 
     return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, n long, digest binary, regs binary")
 
@@ -109,7 +112,9 @@ def _full_sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for a, texts in text_runs(batch, 1):
                 sets = [s.tobytes() for s in shingler.sets(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(sets, pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, len(texts)), pa.array(sets, pa.binary())], names=["node", "set"]
+                )
 
     return docs.select("node", "text").mapInArrow(run, "node long, set binary")
 
@@ -145,7 +150,10 @@ def _likely_pairs(pairs: DataFrame, percent: int, m: int) -> DataFrame:
 def _verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = [_alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(pdf["set_u"], pdf["set_v"], strict=True)]
+            ok = [
+                _alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a,
+                b in zip(pdf["set_u"], pdf["set_v"], strict=True)
+            ]
             yield pdf.loc[np.array(ok, bool), ["u", "v"]]
 
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u")
@@ -221,7 +229,9 @@ def _blocks(size: Column, of_bytes: Column) -> Column:
     return F.greatest(F.ceil(size / BLOCK), F.ceil(of_bytes / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
-def _residual_links(members: DataFrame, comps: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, m: int, bands: int) -> DataFrame | None:
+def _residual_links(
+    members: DataFrame, comps: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, m: int, bands: int
+) -> DataFrame | None:
     """Links between members of a bucket that its centres have left in several components."""
     least = _margin(percent / 100, m)
     # what touches a centre has been compared
@@ -231,13 +241,21 @@ def _residual_links(members: DataFrame, comps: DataFrame, sketches: DataFrame, s
     key = ["band", "bucket"]
     several = rest.groupBy(*key).agg(F.min("comp").alias("a"), F.max("comp").alias("z")).where("a <> z").select(*key)
     open_ = rest.join(several, key, "left_semi")
-    sizes = open_.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
+    sizes = open_.groupBy(*key, "comp").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x")
+    )
     main = F.max_by(F.struct("comp", "c", "s"), F.struct("c", "comp")).alias("m")
     per = sizes.groupBy(*key).agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.bit_xor("x").alias("x"), main)
     # bands often repeat a bucket: the first of each membership is enough
-    per = per.groupBy("c", "x").agg(F.min_by(F.struct(*key, "m", "s"), "band").alias("b")).select("b.band", "b.bucket", "b.m", "c", "b.s")
+    per = per.groupBy("c", "x").agg(
+        F.min_by(F.struct(*key, "m", "s"), "band").alias("b")
+    ).select("b.band", "b.bucket", "b.m", "c", "b.s")
     per = store(
-        per.select(*key, F.col("m.comp").alias("main"), _blocks(F.col("c") - F.col("m.c"), 8 * (F.col("s") - F.col("m.s"))).alias("q_blocks"), _blocks(F.col("c"), 8 * F.col("s")).alias("t_blocks")),
+        per.select(
+            *key, F.col("m.comp").alias("main"),
+            _blocks(F.col("c") - F.col("m.c"), 8 * (F.col("s") - F.col("m.s"))).alias("q_blocks"),
+            _blocks(F.col("c"), 8 * F.col("s")).alias("t_blocks")
+        ),
         "open_buckets",
     )
     if not per.limit(1).count():
@@ -245,10 +263,18 @@ def _residual_links(members: DataFrame, comps: DataFrame, sketches: DataFrame, s
     rows = open_.join(per, key).join(sketches.select("node", "regs"), "node")
     place = F.xxhash64("node", F.lit(3))
     base = [*key, "node", "comp", "n", "regs"]
-    targets = rows.select(*base, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"), F.pmod(place, F.col("t_blocks")).cast("int").alias("j"))
-    asks = rows.where("comp <> main").select(*base, F.lit(True).alias("query"), F.pmod(place, F.col("q_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("j"))
+    targets = rows.select(
+        *base, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"),
+        F.pmod(place, F.col("t_blocks")).cast("int").alias("j")
+    )
+    asks = rows.where("comp <> main").select(
+        *base, F.lit(True).alias("query"), F.pmod(place, F.col("q_blocks")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("j")
+    )
     at = [*key, "i", "j"]
-    likely = dealt_blocks(targets.unionByName(asks), at).applyInPandas(_block_candidates(least, m, bands), "band int, bucket long, i int, j int, node long, comp long, query boolean")
+    likely = dealt_blocks(targets.unionByName(asks), at).applyInPandas(
+        _block_candidates(least, m, bands), "band int, bucket long, i int, j int, node long, comp long, query boolean"
+    )
     likely = store(likely, "candidates")
     full = likely.join(sets, "node").join(sketches.select("node", "n", "regs"), "node")
     return store(dealt_blocks(full, at).applyInPandas(_block_links(percent, least, m, bands), "u long, v long"), "more_links")
@@ -268,26 +294,44 @@ def _components(docs: DataFrame, shingle: int, percent: int, bands: int, id_col:
     """id, mark (a hash of the text), n, group (of linked texts, null without words) and component of each row."""
     r = rows_per_band(percent / 100)
     m = bands * r
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text")
+    )
     rows = store(_sketches(docs, shingle, m), "sketches")
-    full = rows.where("id IS NOT NULL AND n > 0").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(SALTS)).cast("int"))
+    full = rows.where("id IS NOT NULL AND n > 0").withColumn(
+        "salt", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(SALTS)).cast("int")
+    )
     # equal digests mean equal sets, hence equal sizes and registers
-    classes = full.groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.collect_set("salt").alias("salts"))
-    classes = store(classes.select("digest", "rep.id", "rep.mark", "n", "regs", "salts", F.monotonically_increasing_id().alias("node")), "classes")
+    classes = full.groupBy("digest").agg(
+        F.min(F.struct("id", "mark")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"),
+        F.collect_set("salt").alias("salts")
+    )
+    classes = store(
+        classes.select("digest", "rep.id", "rep.mark", "n", "regs", "salts", F.monotonically_increasing_id().alias("node")),
+        "classes"
+    )
 
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * r + 1, F.lit(r))))
+    keys = F.transform(
+        F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substring(F.col("regs"), b * r + 1, F.lit(r)))
+    )
     banded = classes.select("node", F.posexplode(keys).alias("band", "bucket"))
     second = F.min(F.struct(F.xxhash64("node", F.lit(7)), "node"))["node"].alias("second")
-    met = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("centre"), second).where("c > 1")
+    met = banded.groupBy("band", "bucket").agg(
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("centre"), second
+    ).where("c > 1")
     members = store(banded.join(met, ["band", "bucket"]).select("band", "bucket", "node", "centre", "second"), "members")
 
     pairs = members.select("node", F.explode(F.array("centre", "second")).alias("c")).where("node <> c")
     pairs = pairs.select(F.least("node", "c").alias("u"), F.greatest("node", "c").alias("v")).distinct()
-    of = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}"))
+    of = lambda s: classes.select(
+        F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("regs").alias(f"regs_{s}")
+    )
     in_range = "100 * least(n_u, n_v) >= " + str(percent) + " * greatest(n_u, n_v)"
     likely = store(_likely_pairs(pairs.join(of("u"), "u").join(of("v"), "v").where(in_range), percent, m), "likely")
     wanted = classes.select("id", "mark", "node").join(members.select("node").distinct(), "node", "left_semi")
-    texts = docs.where("id IS NOT NULL").join(wanted, ["id", "mark"]).groupBy("id", "mark").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    texts = docs.where("id IS NOT NULL").join(wanted, ["id", "mark"]).groupBy("id", "mark").agg(
+        F.first("node").alias("node"), F.first("text").alias("text")
+    )
     sets = store(_full_sets(texts, shingle), "sets")
     links = store(_verified_pairs(likely, sets, percent), "links")
     drop_stored(likely)
@@ -301,21 +345,32 @@ def _components(docs: DataFrame, shingle: int, percent: int, bands: int, id_col:
     linked = linked.join(least, "component").select("digest", "component", "least")
     of_class = classes.select("digest", "id", "node", "salts").join(linked, "digest", "left")
     # a class is there once for each salt that its rows have, so a large group of copies meets it in many tasks
-    of_class = of_class.select("digest", F.explode("salts").alias("salt"), F.coalesce("component", "node").alias("group"), F.coalesce("least", "id").alias("component"))
+    of_class = of_class.select(
+        "digest", F.explode("salts").alias("salt"), F.coalesce("component", "node").alias("group"),
+        F.coalesce("least", "id").alias("component")
+    )
     found = full.join(of_class, ["digest", "salt"]).select("id", "mark", "n", "group", "component")
     # rows without a set are kept out of the join: they would all meet in one task
-    rest = rows.where("id IS NULL OR n = 0").select("id", "mark", "n", F.lit(None).cast("long").alias("group"), F.col("id").alias("component"))
+    rest = rows.where("id IS NULL OR n = 0").select(
+        "id", "mark", "n", F.lit(None).cast("long").alias("group"), F.col("id").alias("component")
+    )
     return found.unionByName(rest)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, shingle: int = 3, percent: int = 85, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable) and ``kept`` of each row."""
     found = _components(docs, shingle, percent, bands, id_col, text_col)
     kept = F.coalesce(F.col("component") == F.col("id"), F.lit(True))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+    return found.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept")
+    )
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row of each group of near-duplicates: the least id's, and of its texts the one of least hash.
 
     Unlike texts that share an id all stay, as do rows without an id; of rows that repeat
@@ -323,7 +378,11 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, b
     """
     found = _components(docs, shingle, percent, bands, id_col, text_col).where("id IS NOT NULL")
     # texts without words are alike by id alone
-    kept = store(found.groupBy("component", "group").agg(F.min(F.struct("id", "mark")).alias("k")).select("k.id", "k.mark"), "kept")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark"))
+    kept = store(
+        found.groupBy("component", "group").agg(F.min(F.struct("id", "mark")).alias("k")).select("k.id", "k.mark"), "kept"
+    )
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("mark")
+    )
     known = rows.join(kept, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
     return known.select("row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -87,7 +87,9 @@ class ChunkTokenizer:
         return [b"".join(map(get[o], c)) for c, o in zip(cut, odd, strict=True)]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Every row's ids plus the end id, cut into pieces of ``capacity``: id, piece, start, length, ids_crc32."""
     raw = read_vocabulary(vocabulary)
     spec, name = docs.sparkSession.sparkContext.broadcast(raw.decode()), f"chunks {zlib.crc32(raw)}"
@@ -105,18 +107,26 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
                         for column, x in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                             column.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *[pa.array(x, pa.int64()) for x in rows[2:]]],
+                    [
+                        batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()),
+                        *[pa.array(x, pa.int64()) for x in rows[2:]]
+                    ],
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(id_col, text_col).mapInArrow(
+        run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long"
+    )
 
 
 class VectorPacker:
     """Packs counts of lengths; states of bins are (used tokens, documents, attention)."""
 
-    def __init__(self, capacity: int, max_docs: int | None = None, max_attention: float | None = None, rule: str = "norm", weights=(1.0, 0.05, 0.05)):
+    def __init__(
+        self, capacity: int, max_docs: int | None = None, max_attention: float | None = None, rule: str = "norm",
+        weights=(1.0, 0.05, 0.05)
+    ):
         self.capacity, self.rule, self.weights = capacity, rule, np.array(weights)
         # a sequence of so many tokens has no more documents and attention cost than this
         self.limits = np.array([capacity, max_docs or capacity, max_attention or capacity**2], float)
@@ -201,14 +211,21 @@ def _ranked(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     counts = {int(r["length"]): int(r["n"]) for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     coarse = sums.groupBy("length", "p_a").agg(F.sum("n").alias("n"))
     coarse = coarse.select("length", "p_a", F.coalesce(F.sum("n").over(upto("length").orderBy("p_a")), F.lit(0)).alias("p_far"))
-    before = sums.select("length", "p_a", "p_b", F.coalesce(F.sum("n").over(upto("length", "p_a").orderBy("p_b")), F.lit(0)).alias("p_near"))
-    before = before.join(coarse, ["length", "p_a"]).select("length", "p_b", (F.col("p_far") + F.col("p_near")).alias("p_before"))
+    before = sums.select(
+        "length", "p_a", "p_b", F.coalesce(F.sum("n").over(upto("length", "p_a").orderBy("p_b")), F.lit(0)).alias("p_near")
+    )
+    before = before.join(coarse, ["length", "p_a"]).select(
+        "length", "p_b", (F.col("p_far") + F.col("p_near")).alias("p_before")
+    )
     within = F.row_number().over(Window.partitionBy("length", "p_b").orderBy("p_hash")) - 1
     ranked = keyed.withColumn("p_in", within).join(before, ["length", "p_b"])
     return ranked.withColumn("p_rank", F.col("p_in") + F.col("p_before")), counts
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_attention: float | None = None, rule: str = "norm") -> DataFrame:
+def pack_pieces(
+    pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None, max_attention: float | None = None,
+    rule: str = "norm"
+) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces; all capacities hold in every sequence."""
     ranked, counts = _ranked(pieces)
     plan, _ = VectorPacker(capacity, max_docs, max_attention, rule).pack(counts)
@@ -225,7 +242,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, max_docs: int | Non
                 start, first, offset = by_length[int(x)]
                 k = np.searchsorted(start, rank[at], side="right") - 1
                 seq[at], off[at] = first[k] + rank[at] - start[k], offset[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(seq), pa.array(off)], names=[*kept, "length", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[2:], batch.column(0), pa.array(seq), pa.array(off)],
+                names=[*kept, "length", "sequence_id", "offset"]
+            )
 
     kept = [c for c in pieces.columns if c != "length"]
     kind = dict(pieces.dtypes)
@@ -240,7 +260,9 @@ def _steps(plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     return {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for k, v in out.items()}
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", **limits
+) -> DataFrame:
     """Tokenize, cut and pack; see :func:`token_pieces` and :func:`pack_pieces`."""
     packed = pack_pieces(token_pieces(docs, vocabulary, capacity, id_col=id_col, text_col=text_col), capacity, **limits)
     return packed.select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -149,7 +149,10 @@ class AttentionModel:
         e = np.exp(a - np.maximum.reduceat(a, starts)[of])
         att = e / np.add.reduceat(e, starts)[of]
         bag = np.add.reduceat(att[:, None] * h, starts, axis=0)
-        return {"z": z, "h": h, "tv": tv, "su": su, "att": att, "bag": bag, "starts": starts, "p": 1.0 / (1.0 + np.exp(-(bag @ self.wc + self.bc[0])))}
+        return {
+            "z": z, "h": h, "tv": tv, "su": su, "att": att, "bag": bag, "starts": starts,
+            "p": 1.0 / (1.0 + np.exp(-(bag @ self.wc + self.bc[0])))
+        }
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not self.trained:
@@ -158,12 +161,16 @@ class AttentionModel:
         return self.forward(x, of, len(texts))["p"]
 
 
-def fit(x: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int = 16, steps: int = 150, seed: int = 3, shrink: float = 1e-4) -> AttentionModel:
+def fit(
+    x: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray, width: int = 16, steps: int = 150, seed: int = 3,
+    shrink: float = 1e-4
+) -> AttentionModel:
     """Learn all layers by Adam on the weighted log loss of bags; ``of`` is sorted."""
     rng, n = np.random.RandomState(seed), len(y)
     d = x.shape[1]
     model = AttentionModel(
-        x.mean(0), x.std(0) + 1e-3, rng.randn(d, width) / np.sqrt(d), np.zeros(width), rng.randn(width, width) / 4, rng.randn(width, width) / 4, rng.randn(width) / 4, np.zeros(width), np.zeros(1)
+        x.mean(0), x.std(0) + 1e-3, rng.randn(d, width) / np.sqrt(d), np.zeros(width), rng.randn(width, width) / 4,
+        rng.randn(width, width) / 4, rng.randn(width) / 4, np.zeros(width), np.zeros(1)
     )
     names = ["we", "be", "wv", "wu", "wa", "wc", "bc"]
     m1, m2 = {k: 0.0 for k in names}, {k: 0.0 for k in names}
@@ -182,7 +189,7 @@ def fit(x: np.ndarray, of: np.ndarray, y: np.ndarray, weight: np.ndarray, width:
         grads = {
             "we": s["z"].T @ d_z, "be": d_z.sum(0), "wv": s["h"].T @ d_tv, "wu": s["h"].T @ d_su,
             "wa": ((s["tv"] * s["su"]) * d_a[:, None]).sum(0), "wc": s["bag"].T @ g, "bc": np.array([g.sum()]),
-        }
+        }
         for k in names:
             value = getattr(model, k)
             grad = grads[k] + shrink * value
@@ -197,7 +204,10 @@ def _untrained() -> AttentionModel:
     return AttentionModel(*[zero] * 9, trained=False)
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", target: str = "quality", train_docs: int = 4000) -> AttentionModel:
+def train_quality(
+    docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
+    target: str = "quality", train_docs: int = 4000
+) -> AttentionModel:
     """Learn from a bounded sample; ``may_learn`` is a condition on the columns ``id`` and ``label``."""
     sample = labelled_sample(docs, labels, target, train_docs, may_learn, id_col, text_col)
 
@@ -207,7 +217,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col:
                 x, of = passage_features(texts)
                 bounds = np.searchsorted(of, np.arange(len(texts) + 1))
                 bags = [x[i:j].astype(np.float32).tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), *[c.slice(a, len(texts)) for c in batch.columns[1:]]], names=["x", "id", "label", "weight"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bags, pa.binary()), *[c.slice(a, len(texts)) for c in batch.columns[1:]]],
+                    names=["x", "id", "label", "weight"]
+                )
 
     wanted = sample.select("text", F.col("id").cast("string").alias("id"), "label", "weight")
     rows = wanted.mapInArrow(encode, "x binary, id string, label int, weight double").toArrow()
@@ -229,7 +242,9 @@ def score_quality(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, texts in text_runs(batch, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(held.value.score(texts))], names=[id_col, "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, len(texts)), pa.array(held.value.score(texts))], names=[id_col, "score"]
+                )
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")

@@ -77,7 +77,9 @@ def _n_repeat_words(w: Column) -> Column:
             ),
         )
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    )
     some = let(windows, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(covered(t)))
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(some).cast("long")
 
@@ -96,7 +98,10 @@ def _measures(text: Column, stop_words: list[str]) -> Column:
         )
 
     def of_lines(lines: Column) -> Column:
-        return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
+        return F.struct(
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines")
+        )
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
     symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
@@ -132,7 +137,9 @@ def _any_of(rules: tuple[Rule, ...]) -> Column:
     return verdict
 
 
-def quality_filter(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
+def quality_filter(
+    docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE
+) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     inner = F.struct(*[F.col(c) for c in docs.columns])
     m = docs.select(inner.alias("row"), _measures(F.col(text_col), STOP_WORDS).alias("m"))

@@ -66,7 +66,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folded(scores: DataFrame, least: float) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 5) == 0
-    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted")
+    )
 
 
 QUERIES = {

@@ -36,7 +36,10 @@ from probelake.llm.common import Memo, drop_stored, labelled_sample, once_in_wor
 SYMBOLS = 62
 _OTHER_LETTER, _DIGIT, _REST = 59, 60, 61
 # Letters that a character commonly imitates.
-IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "#": "h"}
+IMITATES = {
+    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
+    "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "#": "h"
+}
 #: Log costs of the channel.
 IMITATE, SKIP_SEPARATOR, SKIP_REPEAT, KEEP_ODD = -0.7, -0.5, -1.0, -2.0
 _PUNCT = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -63,7 +66,9 @@ def symbol(c: str) -> int:
 def symbols(text: str) -> np.ndarray:
     """The symbols of a text."""
     if not _TABLE:
-        _TABLE.append(np.array([symbol(chr(i).lower()[:1]) if not 0xD800 <= i < 0xE000 else _REST for i in range(0x10000)], np.int32))
+        _TABLE.append(
+            np.array([symbol(chr(i).lower()[:1]) if not 0xD800 <= i < 0xE000 else _REST for i in range(0x10000)], np.int32)
+        )
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     return np.where(codes < 0x10000, _TABLE[0][np.minimum(codes, 0xFFFF)], _REST)
 
@@ -192,7 +197,9 @@ class FeatureReader:
         return out
 
 
-def train_logistic(rows: list[list[int]], y: np.ndarray, weight: np.ndarray, n: int, shrink: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+def train_logistic(
+    rows: list[list[int]], y: np.ndarray, weight: np.ndarray, n: int, shrink: float = 1e-4, steps: int = 300
+) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic model over present features."""
     at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)]).astype(np.int64) if rows else np.zeros(0, np.int64)
     feature = np.concatenate([np.array(r, np.int64) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
@@ -243,7 +250,10 @@ def _count_evidence(sample: DataFrame, log_p: np.ndarray) -> DataFrame:
     return rows.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", train_docs: int = 16_000, features: int = 4000, least: int = 3) -> ToxicityModel:
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text",
+    target: str = "toxic", train_docs: int = 16_000, features: int = 4000, least: int = 3
+) -> ToxicityModel:
     """Count characters over all texts, then learn from a bounded sample of labels.
 
     ``may_learn`` is a condition on the columns ``id`` and ``label``.
@@ -256,14 +266,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col
     ratio = F.log((F.col("pos") + 0.5) / (size[1] + 1) / ((F.col("neg") + 0.5) / (size[0] + 1)))
     counted = _count_evidence(sample, log_p).where(F.col("pos") >= least).withColumn("r", ratio).where("r > 1")
     best = counted.orderBy(F.desc(F.col("r") * F.sqrt("pos")), "feature").limit(features)
-    model = ToxicityModel(log_p, {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}, np.zeros(0), 0.0, True)
+    model = ToxicityModel(
+        log_p, {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}, np.zeros(0), 0.0, True
+    )
     held, name = docs.sparkSession.sparkContext.broadcast((log_p, model.index)), model.reader_name
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = once_in_worker(name, lambda: FeatureReader(*held.value))
         for batch in batches:
             found = [sorted(f) for _, texts in text_runs(batch, 0) for f in reader.of(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]], names=["found", "id", "label", "weight"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]], names=["found", "id", "label", "weight"]
+            )
 
     wanted = sample.select("text", F.col("id").cast("string").alias("id"), "label", "weight")
     rows = wanted.mapInArrow(vectors, "found array<int>, id string, label int, weight double").toArrow()
@@ -292,7 +306,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         reader = once_in_worker(name, lambda: FeatureReader(model.log_p, model.index))
         for batch in batches:
             for a, texts in text_runs(batch, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(_scores(model, reader, texts))], names=[id_col, "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, len(texts)), pa.array(_scores(model, reader, texts))], names=[id_col, "score"]
+                )
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")

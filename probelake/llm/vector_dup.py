@@ -65,9 +65,14 @@ def _vectors(table: DataFrame, id_col: str, vec_col: str, label_col: str) -> Dat
                         b = x.tobytes()
                 raw.append(b)
                 digest.append(xxhash.xxh3_128_digest(b) if b else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(digest, pa.binary())], names=["id", "label", "vec", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(digest, pa.binary())],
+                names=["id", "label", "vec", "digest"]
+            )
 
-    picked = table.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("vec"))
+    picked = table.select(
+        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("vec")
+    )
     return picked.mapInArrow(run, "id long, label string, vec binary, digest binary")
 
 
@@ -118,7 +123,9 @@ def _near(x: np.ndarray, pivots: np.ndarray, radius: float) -> Iterator[tuple[np
         yield rows + at, cells, own[rows] == cells
 
 
-def assign_cells(x: np.ndarray, centres: np.ndarray, groups: list[np.ndarray], radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def assign_cells(
+    x: np.ndarray, centres: np.ndarray, groups: list[np.ndarray], radius: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, cell and whether it is the row's own cell, for every copy that the bounds ask for."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     first = np.cumsum([0, *map(len, groups)])
@@ -146,7 +153,9 @@ def _assign(reps: DataFrame, radius: float, seed: int) -> DataFrame:
     key = ["label", "bytes"]
     sizes = reps.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     wanted = F.least(F.greatest(F.ceil(F.col("n") / CELL), F.lit(2)), F.lit(MOST_PIVOTS)).cast("int")
-    sizes = store(sizes.select(*key, "n", wanted.alias("wanted"), F.ceil(F.col("n") / BLOCK).cast("int").alias("slices")), "vector_labels")
+    sizes = store(
+        sizes.select(*key, "n", wanted.alias("wanted"), F.ceil(F.col("n") / BLOCK).cast("int").alias("slices")), "vector_labels"
+    )
     chance = F.xxhash64("node", F.lit(seed)) / F.lit(2.0**64) + 0.5
     # three sampled vectors for each pivot wanted, and some more for small labels
     sampled = reps.join(sizes, key).where(chance * F.col("n") < 3 * F.col("wanted") + 60)
@@ -154,14 +163,21 @@ def _assign(reps: DataFrame, radius: float, seed: int) -> DataFrame:
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         centres, groups = fitted_pivots(_unit(pdf["vec"].tolist()), int(pdf["wanted"].iloc[0]), radius)
-        row = {"label": pdf["label"].iloc[0], "bytes": pdf["bytes"].iloc[0], "slices": pdf["slices"].iloc[0], "centres": centres.tobytes()}
+        row = {
+            "label": pdf["label"].iloc[0], "bytes": pdf["bytes"].iloc[0], "slices": pdf["slices"].iloc[0],
+            "centres": centres.tobytes()
+        }
         return pd.DataFrame([row | {"groups": [g.tobytes() for g in groups]}])
 
     chosen = sampled.select(*key, "node", "vec", "wanted", "slices").groupBy(*key)
-    chosen = store(chosen.applyInPandas(choose, "label string, bytes int, slices int, centres binary, groups array<binary>"), "pivots")
+    chosen = store(
+        chosen.applyInPandas(choose, "label string, bytes int, slices int, centres binary, groups array<binary>"), "pivots"
+    )
     # each slice of a label meets its pivots in one task
     cut = chosen.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    dealt = reps.join(chosen.select(*key, "slices"), key).withColumn("slice", F.pmod(F.xxhash64("node", F.lit(9)), F.col("slices")).cast("int"))
+    dealt = reps.join(chosen.select(*key, "slices"), key).withColumn(
+        "slice", F.pmod(F.xxhash64("node", F.lit(9)), F.col("slices")).cast("int")
+    )
 
     def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["cell", "core", "node", "weight", "vec"]
@@ -169,13 +185,17 @@ def _assign(reps: DataFrame, radius: float, seed: int) -> DataFrame:
             return pd.DataFrame({c: [] for c in names})
         width = int(right["bytes"].iloc[0]) // 8
         of = lambda b: np.frombuffer(b, np.float64).reshape(-1, width)
-        rows, cells, core = assign_cells(_unit(left["vec"].tolist()), of(right["centres"].iloc[0]), [of(b) for b in right["groups"].iloc[0]], radius)
+        rows, cells, core = assign_cells(
+            _unit(left["vec"].tolist()), of(right["centres"].iloc[0]), [of(b) for b in right["groups"].iloc[0]], radius
+        )
         name = f"{right['label'].iloc[0]}|{width}|"
         out = left.iloc[rows][["node", "weight", "vec"]].reset_index(drop=True)
         return out.assign(cell=[f"{name}{c}" for c in cells], core=core)[names]
 
     by = [*key, "slice"]
-    return dealt.select(*by, "node", "weight", "vec").groupBy(*by).cogroup(cut.groupBy(*by)).applyInPandas(place, "cell string, core boolean, node long, weight long, vec binary")
+    return dealt.select(*by, "node", "weight", "vec").groupBy(*by).cogroup(cut.groupBy(*by)).applyInPandas(
+        place, "cell string, core boolean, node long, weight long, vec binary"
+    )
 
 
 def _block_join(least: float):
@@ -208,23 +228,44 @@ def _block_join(least: float):
     return run
 
 
-def vector_duplicates(table: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", seed: int = 5) -> DataFrame:
+def vector_duplicates(
+    table: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
+    seed: int = 5
+) -> DataFrame:
     """id, n_links, component_id (smallest id reachable) and ``kept`` of each row."""
     radius = float(np.sqrt(2.0 - 2.0 * cosine))
     vectors = store(_vectors(table, id_col, vec_col, label_col), "vectors")
     usable = vectors.where("vec IS NOT NULL AND id IS NOT NULL")
     # equal vectors of a label are one class; a class is known by its own number, as ids may repeat
-    classes = usable.groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
+    classes = usable.groupBy("label", "digest").agg(
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec")
+    )
     classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "vector_classes")
 
-    cells = store(_assign(classes.select("label", "node", "weight", "vec", F.length("vec").alias("bytes")), radius, seed), "cells")
+    cells = store(
+        _assign(classes.select("label", "node", "weight", "vec", F.length("vec").alias("bytes")), radius, seed), "cells"
+    )
     count = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.count_if("core").alias("k"))
-    count = count.select("cell", F.ceil(F.col("k") / BLOCK).cast("int").alias("q_blocks"), F.ceil(F.col("c") / BLOCK).cast("int").alias("t_blocks")).where("q_blocks > 0")
+    count = count.select(
+        "cell", F.ceil(F.col("k") / BLOCK).cast("int").alias("q_blocks"),
+        F.ceil(F.col("c") / BLOCK).cast("int").alias("t_blocks")
+    ).where("q_blocks > 0")
     rows, place = cells.join(count, "cell"), F.xxhash64("node", F.lit(3))
     base = ["cell", "node", "weight", "vec"]
-    targets = rows.select(*base, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"), F.pmod(place, F.col("t_blocks")).cast("int").alias("j"))
-    asks = rows.where("core").select(*base, F.lit(True).alias("query"), F.pmod(place, F.col("q_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("j"))
-    found = store(dealt_blocks(targets.unionByName(asks), ["cell", "i", "j"]).applyInPandas(_block_join(cosine), "node long, links long, root long"), "vector_links")
+    targets = rows.select(
+        *base, F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("i"),
+        F.pmod(place, F.col("t_blocks")).cast("int").alias("j")
+    )
+    asks = rows.where("core").select(
+        *base, F.lit(True).alias("query"), F.pmod(place, F.col("q_blocks")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("j")
+    )
+    found = store(
+        dealt_blocks(targets.unionByName(asks), ["cell", "i", "j"]).applyInPandas(
+            _block_join(cosine), "node long, links long, root long"
+        ),
+        "vector_links"
+    )
 
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -232,10 +273,16 @@ def vector_duplicates(table: DataFrame, cosine: float = 0.98, id_col: str = "vec
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "component").select("node", "least").join(counted, "node", "left")
     of_class = classes.select("label", "digest", "node", "rep", "weight").join(linked, "node", "left")
-    of_class = of_class.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component"))
+    of_class = of_class.select(
+        "label", "digest", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        F.coalesce("least", "rep").alias("component")
+    )
     known = usable.join(of_class, ["label", "digest"]).select("id", "n_links", "component")
     # rows that link with nothing are kept out of the join: they would all meet in one task
-    rest = vectors.where("vec IS NULL OR id IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    rest = vectors.where("vec IS NULL OR id IS NULL").select(
+        "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")
+    )
     return known.unionByName(rest).select(
-        F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept")
+        F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept")
     )

@@ -15,7 +15,10 @@ from probelake.llm import bpe_count, html_extract, language_id, mixing, near_dup
 from probelake.llm.common import connected_components, crc_mod
 
 GPT, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-CLASH = ["n", "id", "kept", "size", "score", "component_id", "digest", "regs", "length", "label", "m", "row", "copies", "pattern", "target", "bucket"]
+CLASH = [
+    "n", "id", "kept", "size", "score", "component_id", "digest", "regs", "length", "label", "m", "row", "copies", "pattern",
+    "target", "bucket"
+]
 
 
 def prose(rng, n, words="the of and to in house river stone walks green old small under light".split()):
@@ -28,14 +31,19 @@ def rows():
     texts = [prose(rng, rng.randint(60, 160)) for _ in range(40)]
     near = texts[0].split()
     near[5] = "changed"
-    texts += [texts[0], texts[0].upper().lower(), " ".join(near), None, "", "   \n ", "one", prose(rng, 9000), "#$%& " * 80, "same line here\n" * 60, "x" * 50_000, "naïve 日本 😀 " * 40]
+    texts += [
+        texts[0], texts[0].upper().lower(), " ".join(near), None, "", "   \n ", "one", prose(rng, 9000), "#$%& " * 80,
+        "same line here\n" * 60, "x" * 50_000, "naïve 日本 😀 " * 40
+    ]
     out = [(i, t, "en" if i % 3 else "de", None if i % 11 == 0 else f"s{i % 4}") for i, t in enumerate(texts)]
     return [*out, out[3], out[3], (None, "no id but some words here", None, None), (None, None, None, None)]
 
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    df = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string"
+    ).withColumn("n_chars", F.length("text").cast("long"))
     for c in CLASH:
         df = df.withColumn(c, F.lit("clash"))
     return df.repartition(3).cache()
@@ -43,7 +51,10 @@ def docs(spark, rows):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(i, int(i % 5 != 1), int(i % 7 == 2)) for i in range(40)] + [(3, None, None), (None, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(
+        [(i, int(i % 5 != 1), int(i % 7 == 2)) for i in range(40)] + [(3, None, None), (None, 1, 1), (2, 1, 0)],
+        "doc_id long, quality int, toxic int"
+    )
 
 
 def empty(docs):
@@ -63,7 +74,9 @@ def brute_rules(t):
 
 def test_quality_rules(docs, rows):
     got = quality_rules.quality_verdicts(docs).collect()
-    assert sorted(map(str, ((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got))) == sorted(map(str, ((r[0], *brute_rules(r[1])) for r in rows)))
+    assert sorted(
+        map(str, ((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got))
+    ) == sorted(map(str, ((r[0], *brute_rules(r[1])) for r in rows)))
     for r in got:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert not (r.base_failed and r.kept) and bool(r.reasons) == (not r.kept)
@@ -124,7 +137,10 @@ def test_mixing_equal_rows_and_one_hot_source(spark):
 
 
 def test_mixing_shared_documents(spark):
-    df = spark.createDataFrame([(i, "w " * 10, ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b"]) for i in range(60)], "doc_id long, text string, sources array<string>")
+    df = spark.createDataFrame(
+        [(i, "w " * 10, ["a"] if i % 3 == 0 else ["a", "b"] if i % 3 == 1 else ["b"]) for i in range(60)],
+        "doc_id long, text string, sources array<string>"
+    )
     got = mixing.mix_sources(df, F.col("sources"), lambda names: {"a": 3.0, "b": 1.0}, share=1.0).collect()
     assert {tuple(r.pattern) for r in got} == {("a",), ("a", "b"), ("b",)}
     assert abs(sum(r.taken for r in got) - 600) <= 30
@@ -138,13 +154,18 @@ def test_packing(docs, rows):
     want = collections.Counter()
     for i, t, *_ in rows:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        want.update((i, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k, at in enumerate(range(0, len(ids), 2048)))
+        want.update(
+            (i, k, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())) for k,
+            at in enumerate(range(0, len(ids), 2048))
+        )
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     bins = collections.defaultdict(list)
     for r in got:
         bins[r.sequence_id].append((r.offset, r.length))
     for items in bins.values():
-        assert [o for o, _ in sorted(items)] == list(np.cumsum([0, *[n for _, n in sorted(items)]])[:-1]) and sum(n for _, n in items) <= 2048
+        assert [o for o, _ in sorted(items)] == list(
+            np.cumsum([0, *[n for _, n in sorted(items)]])[:-1]
+        ) and sum(n for _, n in items) <= 2048
     assert len(bins) <= 1.05 * sum(r.length for r in got) / 2048 + 1
     assert packing.pack_documents(empty(docs), WORD).count() == 0
 
@@ -169,7 +190,9 @@ def brute_near(rows, k, percent):
         if i is not None:
             w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
             sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    links = [
+        (a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    ]
     return {i: (len(sets[i]), c) for i, c in components(sets, links).items()}
 
 
@@ -205,13 +228,17 @@ def test_drop_near_duplicates(docs, rows):
     out = near_dup.drop_near_duplicates(docs)
     want = brute_near(rows, 5, 80)
     assert out.columns == docs.columns
-    assert sorted(r.doc_id for r in out.where("doc_id IS NOT NULL").collect()) == sorted(i for i, (_, c) in want.items() if c == i)
+    assert sorted(
+        r.doc_id for r in out.where("doc_id IS NOT NULL").collect()
+    ) == sorted(i for i, (_, c) in want.items() if c == i)
     assert out.where("doc_id IS NULL").count() == 2
 
 
 def test_unlike_texts_of_one_id_stay(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
-    df = spark.createDataFrame([(1, a, 1), (1, b, 2), (2, a, 3), (2, b + " more", 4), (3, b, 5), (1, a, 6)], "doc_id long, text string, n int")
+    df = spark.createDataFrame(
+        [(1, a, 1), (1, b, 2), (2, a, 3), (2, b + " more", 4), (3, b, 5), (1, a, 6)], "doc_id long, text string, n int"
+    )
     out = near_dup.drop_near_duplicates(df)
     assert out.columns == ["doc_id", "text", "n"]
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (1, b)]
@@ -270,16 +297,33 @@ def test_vectors(spark, monkeypatch, small):
     rng = np.random.RandomState(3)
     centre = rng.randn(12, 16)
     vecs = [(centre[i % 12] + rng.randn(16) * rng.choice([0.02, 0.05, 0.3])).tolist() for i in range(300)]
-    rows = [(1000 - i, v, i % 2) for i, v in enumerate(vecs)] + [(1001, vecs[0], 0), (1002, vecs[0], 1), (1003, None, 0), (1004, [0.0] * 16, 0), (1005, [float("nan")] * 16, 0), (1006, [None, 1.0], 0), (1007, vecs[0], None), (1008, [1.0, 0.0], 0), (1009, [2.0, 0.0], 0), (1010, [], 0), (1011, (3 * np.array(vecs[0])).tolist(), 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(1)).withColumn("digest", F.lit("x"))
+    rows = [(1000 - i, v, i % 2) for i, v in enumerate(vecs)] + [
+        (1001, vecs[0], 0), (1002, vecs[0], 1), (1003, None, 0), (1004, [0.0] * 16, 0), (1005, [float("nan")] * 16, 0),
+        (1006, [None, 1.0], 0), (1007, vecs[0], None), (1008, [1.0, 0.0], 0), (1009, [2.0, 0.0], 0), (1010, [], 0),
+        (1011, (3 * np.array(vecs[0])).tolist(), 0)
+    ]
+    df = spark.createDataFrame(
+        rows, "vec_id long, embedding array<double>, label int"
+    ).withColumn("id", F.lit(1)).withColumn("digest", F.lit("x"))
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dup.vector_duplicates(df).collect()}
-    usable = {i: (np.array(v, float), x) for i, v, x in rows if v and x is not None and None not in v and np.isfinite(v).all() and any(v)}
-    links = [(a, b) for a in usable for b in usable if a < b and usable[a][1] == usable[b][1] and len(usable[a][0]) == len(usable[b][0]) and usable[a][0] @ usable[b][0] / np.linalg.norm(usable[a][0]) / np.linalg.norm(usable[b][0]) >= 0.98]
+    usable = {
+        i: (np.array(v, float), x) for i, v,
+        x in rows if v and x is not None and None not in v and np.isfinite(v).all() and any(v)
+    }
+    links = [
+        (a, b) for a in usable for b in usable if a < b and usable[a][1] == usable[b][1] and len(usable[a][0]) == len(usable[b][0]) and usable[a][0] @ usable[b][0] / np.linalg.norm(usable[a][0]) / np.linalg.norm(usable[b][0]) >= 0.98
+    ]
     n = collections.Counter(x for e in links for x in e)
     comp = components([r[0] for r in rows], links)
     assert got == {i: (n[i], comp[i], comp[i] == i) for i, *_ in rows}
     # different vectors that share an id link by their values only
-    shared = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [0.02, 1.0], 0), (5, [1.0, 0.0], 0), (5, [1.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    shared = spark.createDataFrame(
+        [
+            (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [0.02, 1.0], 0),
+            (5, [1.0, 0.0], 0), (5, [1.0, 0.0], 0)
+        ],
+        "vec_id long, embedding array<double>, label int"
+    )
     out = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dup.vector_duplicates(shared).collect())
     assert out == [(1, 2, 1), (1, 3, 1), (2, 3, 1), (3, 2, 1), (4, 2, 1), (5, 3, 1), (5, 3, 1)]
     assert vector_dup.vector_duplicates(df.where("false")).count() == 0
@@ -287,8 +331,13 @@ def test_vectors(spark, monkeypatch, small):
 
 def test_pages(spark):
     good = '<html><body><nav><a href="/">Home</a></nav><article><h1>T</h1><p>a  b &amp; c</p><p>d</p></article><footer>&copy; x</footer></body></html>'
-    rows = [(1, "u", good), (1, "u", good), (2, None, None), (None, "v", ""), (3, "w", "<article><p>" + "long " * 200_000 + "</p></article>"), (4, "x", "plain text only")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(0))
+    rows = [
+        (1, "u", good), (1, "u", good), (2, None, None), (None, "v", ""),
+        (3, "w", "<article><p>" + "long " * 200_000 + "</p></article>"), (4, "x", "plain text only")
+    ]
+    df = spark.createDataFrame(
+        rows, "page_id long, url string, html string"
+    ).withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(0))
     got = html_extract.extract_pages(df).collect()
     text = {(r.page_id, r.url): r.text for r in got}
     assert len(got) == 6 and text[1, "u"] == "T\na b & c\nd" and text[2, None] == "" and text[None, "v"] == ""
@@ -325,8 +374,14 @@ def test_quality_model(docs, labels):
 def test_toxicity(spark, docs):
     rng = random.Random(6)
     bad = ["idiot", "moron", "1d10t", "m0ron", "idiiiot", "i d i o t"]
-    rows = [(i, prose(rng, 40) + " " + (rng.choice(bad[:2] if i < 120 else bad) if i % 2 else "") + " " + prose(rng, 10)) for i in range(160)]
-    train, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    rows = [
+        (
+            i, prose(rng, 40) + " " + (rng.choice(bad[:2] if i < 120 else bad) if i % 2 else "") + " " + prose(rng, 10)
+        ) for i in range(160)
+    ]
+    train, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        [(i, i % 2) for i in range(120)], "doc_id long, toxic int"
+    )
     model = toxicity.train_toxicity(train, labels, crc_mod(F.col("id"), 5) != 0)
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(train, model).collect()}
     assert sum((got[i] >= 0.5) == bool(i % 2) for i in range(160)) >= 156

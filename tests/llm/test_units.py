@@ -12,7 +12,11 @@ from probelake.llm import bpe_count, html_extract, language_id, mixing, packing,
 from probelake.llm.near_dup import Shingler, _alike
 
 
-TEXTS = ["", " ", "a", "Hello world", "  two  spaces\n\nline \t tab\r\n", "don't we'll I'M", "über naïve ☃ 😀 日本語 ١٢٣", "aaaaaaaaaaaaa aaaaaa", "x" * 3000, "<|endoftext|> a <|endoftext|><|endoftext|>", "a\x1cb\x85c\xa0d e", "1234567 12.5%", "é é ﬁ İ ǅ", "***### $$$ %%%", "<|startoftext|> q"]
+TEXTS = [
+    "", " ", "a", "Hello world", "  two  spaces\n\nline \t tab\r\n", "don't we'll I'M", "über naïve ☃ 😀 日本語 ١٢٣",
+    "aaaaaaaaaaaaa aaaaaa", "x" * 3000, "<|endoftext|> a <|endoftext|><|endoftext|>", "a\x1cb\x85c\xa0d e", "1234567 12.5%",
+    "é é ﬁ İ ǅ", "***### $$$ %%%", "<|startoftext|> q"
+]
 
 
 def test_counts_equal_the_library():
@@ -46,7 +50,9 @@ def test_sketch_merges_and_estimates():
         a, b = np.unique(pool[: both + rest]), np.unique(np.r_[pool[:both], pool[both + rest :]])
         ra, rb, ru = (set_sketch.registers(x, np.array([0]), m)[0] for x in (a, b, np.unique(np.r_[a, b])))
         assert (set_sketch.merge(ra, rb) == ru).all()
-        est = set_sketch.estimate(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), np.array([len(a)]), np.array([len(b)]), m)[0]
+        est = set_sketch.estimate(
+            np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), np.array([len(a)]), np.array([len(b)]), m
+        )[0]
         errors.append(abs(est - both / len(np.unique(np.r_[a, b]))))
     assert max(errors) < 0.12
 
@@ -83,7 +89,10 @@ def test_flow_equals_exhaustive_search():
         sets = [p for k in range(1, len(names) + 1) for p in itertools.combinations(names, k)]
         patterns = {p: float(rng.randint(0, 2)) for p in rng.sample(sets, rng.randint(1, min(3, len(sets))))}
         targets = {x: float(rng.randint(0, 4)) for x in names}
-        ways = [[w for w in itertools.product(range(int(2 * size) + 1), repeat=len(p)) if sum(w) <= 2 * size] for p, size in patterns.items()]
+        ways = [
+            [w for w in itertools.product(range(int(2 * size) + 1), repeat=len(p)) if sum(w) <= 2 * size] for p,
+            size in patterns.items()
+        ]
         best = None
         for chosen in itertools.product(*ways):
             given = dict.fromkeys(names, 0)
@@ -128,7 +137,9 @@ def test_packing_choice_uses_all_capacities():
     assert all(bins <= least + 2 for _, bins in plans)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_docs": 3}, {"max_attention": 500_000.0}, {"max_docs": 5, "max_attention": 900_000.0}])
+@pytest.mark.parametrize(
+    "limits", [{}, {"max_docs": 3}, {"max_attention": 500_000.0}, {"max_docs": 5, "max_attention": 900_000.0}]
+)
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packer_holds_all_limits(limits, rule):
     rng = random.Random(1)
@@ -159,7 +170,9 @@ def test_packer_holds_all_limits(limits, rule):
 
 
 def test_parser_is_lenient():
-    p = html_extract.parse('<p>a<p>b <b>c</i><div>d</p>e<script>var x="</p>"</script><!-- no --><br>f&amp;g &lt;x</div><ul><li>1<li>2</ul><td>q')
+    p = html_extract.parse(
+        '<p>a<p>b <b>c</i><div>d</p>e<script>var x="</p>"</script><!-- no --><br>f&amp;g &lt;x</div><ul><li>1<li>2</ul><td>q'
+    )
     assert [t for _, t in p.segments] == ["a", "b c", "d", "e f&g <x", "1", "2", "q"]
     assert html_extract.parse("").segments == [] and html_extract.parse("<<<a <b").segments
     assert [t for _, t in html_extract.parse("<p title='a>b\">x</p>y" * 50).segments]
@@ -176,7 +189,11 @@ def test_messages_equal_enumeration():
     p, pair = model.marginals(f)
     total, mass, joint = 0.0, np.zeros(n), np.zeros((n, 2, 2))
     for y in itertools.product((0, 1), repeat=n):
-        e = np.exp(sum(y[i] * (f.x[i] @ model.w) for i in range(n)) + sum(model.edge[f.kind[i], y[parent[i]], y[i]] for i in range(1, n)))
+        e = np.exp(
+            sum(y[i] * (f.x[i] @ model.w) for i in range(n)) + sum(
+                model.edge[f.kind[i], y[parent[i]], y[i]] for i in range(1, n)
+            )
+        )
         total += e
         mass += e * np.array(y)
         for i in range(1, n):
@@ -271,7 +288,11 @@ def test_long_pieces_equal_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     counter, library = bpe_count.ArrayBpe(bpe_count.read_vocabulary(path)), Tokenizer.from_file(path)
     rng = random.Random(14)
-    texts = ["".join(rng.choices(of, k=n)) for n in (300, 450, 3000) for of in ("ab", "aaaaab", "abcdefghijklmnopqrstuvwxyz", "aé日😀") for _ in range(4)] + ["a" * 5001]
+    texts = [
+        "".join(rng.choices(of, k=n)) for n in (300, 450, 3000) for of in (
+            "ab", "aaaaab", "abcdefghijklmnopqrstuvwxyz", "aé日😀"
+        ) for _ in range(4)
+    ] + ["a" * 5001]
     assert counter.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
@@ -285,9 +306,12 @@ def test_hostile_pieces_are_counted_in_time(of):
 
 def _hostile_pages(n):
     return {
-        "unclosed": "<a " * (n // 3), "nested": "<div>" * (n // 5), "stray ends": "<div>" * (n // 10) + "</section>" * (n // 20), "inline": "<b>" * (n // 8) + "<div></div>" * (n // 20),
-        "items": "<div>" * (n // 10) + "<li></li>" * (n // 18), "name": "<div " + "a" * n + ">x", "quotes": '<a ">" ' * (n // 7), "sections": "<![CDATA[" * (n // 9), "less than": "<" * n, "ends": "<i><div>" + "<b>" * (n // 6) + "</i>" * (n // 8),
-    }
+        "unclosed": "<a " * (n // 3), "nested": "<div>" * (n // 5),
+        "stray ends": "<div>" * (n // 10) + "</section>" * (n // 20), "inline": "<b>" * (n // 8) + "<div></div>" * (n // 20),
+        "items": "<div>" * (n // 10) + "<li></li>" * (n // 18), "name": "<div " + "a" * n + ">x",
+        "quotes": '<a ">" ' * (n // 7), "sections": "<![CDATA[" * (n // 9), "less than": "<" * n,
+        "ends": "<i><div>" + "<b>" * (n // 6) + "</i>" * (n // 8),
+    }
 
 
 @pytest.mark.parametrize("name", list(_hostile_pages(20)))
@@ -305,7 +329,7 @@ def test_pages_not_made_by_the_generator():
         "<body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav><article><h2>Rain</h2><p>It rained all day.</p><aside>Read more</aside><ul><li>Monday: rain</li><li>Tuesday: rain</li></ul>"
         "<script>var a = '<p>no</p>';</script><p>It will rain again.</p></article><div class='cookie-notice'><p>We use cookies.</p></div></body>": "Rain\nIt rained all day.\nMonday: rain\nTuesday: rain\nIt will rain again.",
         "<body><header><p>Site</p></header><div class='content'><p>First &lt;b&gt; line.</p><blockquote>A  quote\n\there.</blockquote><form><p>Join us</p><input></form><p>Last line.</p></div><div class='sidebar'><p>Also on this site</p></div></body>": "First <b> line.\nA quote here.\nLast line.",
-    }
+    }
     assert html_extract.extract(html_extract.train(), list(pages)) == list(pages.values())
 
 
@@ -335,8 +359,10 @@ def _plain_features(text):
         lines = sum(i + 1 < len(found) and "\n" in text[found[i][2] : found[i + 1][1]] for i in range(at, at + n))
         same = sum(i > 0 and whole[i] == whole[i - 1] for i in range(at, at + n))
         out.append([
-            *share, chars / n / 10, sum(len(w) ** 2 for w in ws) / n / 100, sum(len(w) <= 3 for w in ws) / n, sum(len(w) >= 15 for w in ws) / n, (n - len(set(ws))) / n, same / n, again / n, lines / n, min(n / quality_model.PASSAGE, 1.0), sum(kind(w[-1]) == "S" for w in ws) / n,
-        ])
+            *share, chars / n / 10, sum(len(w) ** 2 for w in ws) / n / 100, sum(len(w) <= 3 for w in ws) / n,
+            sum(len(w) >= 15 for w in ws) / n, (n - len(set(ws))) / n, same / n, again / n, lines / n,
+            min(n / quality_model.PASSAGE, 1.0), sum(kind(w[-1]) == "S" for w in ws) / n,
+        ])
         assert triples is not None
     return out
 
@@ -381,7 +407,9 @@ def test_viterbi_equals_all_readings():
 
     corpus = "the idiot said a silly lie to all his sad old clowns and left its shell " * 30
     s = toxicity.symbols("  " + corpus + "  ")
-    log_p = toxicity.CharacterModel(np.bincount((s[:-2] * 62 + s[1:-1]) * 62 + s[2:], minlength=62**3).reshape(62, 62, 62)).log_p
+    log_p = toxicity.CharacterModel(
+        np.bincount((s[:-2] * 62 + s[1:-1]) * 62 + s[2:], minlength=62**3).reshape(62, 62, 62)
+    ).log_p
     restorer, rng = toxicity.Restorer(log_p), random.Random(6)
 
     def score(letters, cost):
@@ -399,17 +427,23 @@ def test_viterbi_equals_all_readings():
                 options.append([(c, 0.0)] + ([("", toxicity.SKIP_REPEAT)] if i and token[i - 1] == c else []))
             else:
                 skip = toxicity.KEEP_ODD if c.isdigit() else toxicity.SKIP_SEPARATOR
-                options.append([(x, toxicity.IMITATE) for x in toxicity.IMITATES.get(c, "")] + [("", skip), (c, toxicity.KEEP_ODD)])
+                options.append(
+                    [(x, toxicity.IMITATE) for x in toxicity.IMITATES.get(c, "")] + [("", skip), (c, toxicity.KEEP_ODD)]
+                )
         best = max(score("".join(o for o, _ in path), sum(c for _, c in path)) for path in itertools.product(*options))
         got = restorer.decode(token)
-        reached = max(score(got, sum(c for _, c in path)) for path in itertools.product(*options) if "".join(o for o, _ in path) == got)
+        reached = max(
+            score(got, sum(c for _, c in path)) for path in itertools.product(*options) if "".join(o for o, _ in path) == got
+        )
         assert reached == pytest.approx(best, abs=1e-4), token
 
 
 def test_tokens_without_letters_are_read():
     corpus = "you are an ass and a leet clown who says shit to the ass of a leet shit " * 50
     s = toxicity.symbols("  " + corpus + "  ")
-    r = toxicity.Restorer(toxicity.CharacterModel(np.bincount((s[:-2] * 62 + s[1:-1]) * 62 + s[2:], minlength=62**3).reshape(62, 62, 62)).log_p)
+    r = toxicity.Restorer(
+        toxicity.CharacterModel(np.bincount((s[:-2] * 62 + s[1:-1]) * 62 + s[2:], minlength=62**3).reshape(62, 62, 62)).log_p
+    )
     assert r.restore("455") == "ass" and r.restore("1337") == "leet" and r.restore("$#!7") == "shit" and r.restore("--") == ""
 
 
