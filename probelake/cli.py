@@ -59,11 +59,17 @@ def rank(spark: SparkSession, a: argparse.Namespace) -> None:
     files = records.read_sources(spark, a.repos_dir).withColumn("reponame", F.split("path", "/", 2)[0]).withColumn("path", F.split("path", "/", 2)[1])
     corpus = records.corpus_sources(files).select("reponame", "path", T.space_tokens(F.col("content")).alias("tokens"))
     wanted = tasks.select("reponame", F.col("testpath").alias("path")).distinct()
-    queries = files.join(wanted, ["reponame", "path"], "left_semi").select("reponame", F.col("path").alias("query"), T.space_tokens(F.col("content")).alias("tokens"))
+    queries = files.join(wanted, ["reponame", "path"], "left_semi").select(
+        "reponame", F.col("path").alias("query"), T.space_tokens(F.col("content")).alias("tokens")
+    )
     lists = retrieval.rank_lists(retrieval.bm25_ranks(corpus, queries))
     none = F.array().cast("array<string>")
-    out = tasks.join(lists.withColumnRenamed("query", "testpath"), ["reponame", "testpath"], "left").withColumn("related_files_rank", F.coalesce("related_files_rank", none))
-    _write(out.select("task_id", "reponame", "testpath", "testname", "funcname", "related_files_rank"), a.output_dir, ("reponame",))
+    out = tasks.join(
+        lists.withColumnRenamed("query", "testpath"), ["reponame", "testpath"], "left"
+    ).withColumn("related_files_rank", F.coalesce("related_files_rank", none))
+    _write(
+        out.select("task_id", "reponame", "testpath", "testname", "funcname", "related_files_rank"), a.output_dir, ("reponame",)
+    )
 
 
 def _template(spark: SparkSession, path: str | None, default: str) -> str:
@@ -82,15 +88,24 @@ def output_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
     tasks = records.read_ordered_records(spark, f"{a.tasks_dir}/*.jsonl", schemas.MASKED_TASK)
     tasks = keys.capped(tasks, ["reponame"], ["path", "line_no"], a.tasks)
     ranked = records.read_ordered_records(spark, f"{a.ranks_dir}/*.jsonl", schemas.RANKING)
-    lists = keys.last_per_key(ranked.select("task_id", "related_files_rank", "path", "line_no"), ["task_id"], ["path", "line_no"])
-    ranks = lists.select("task_id", F.posexplode("related_files_rank").alias("rank", "path")).withColumn("rank", F.col("rank") + 1)
-    chains = records.read_ordered_records(spark, f"{a.reports_dir}/*/report_functions.jsonl", schemas.FUNCTION_REPORT).withColumn("reponame", F.element_at(F.split("path", "/"), -2))
+    lists = keys.last_per_key(
+        ranked.select("task_id", "related_files_rank", "path", "line_no"), ["task_id"], ["path", "line_no"]
+    )
+    ranks = lists.select(
+        "task_id", F.posexplode("related_files_rank").alias("rank", "path")
+    ).withColumn("rank", F.col("rank") + 1)
+    chains = records.read_ordered_records(
+        spark, f"{a.reports_dir}/*/report_functions.jsonl", schemas.FUNCTION_REPORT
+    ).withColumn("reponame", F.element_at(F.split("path", "/"), -2))
     named = chains.select("reponame", T.bare_name(F.col("test_function")).alias("funcname"), "dependencies", "path", "line_no")
     known = keys.last_per_key(named, ["reponame", "funcname"], ["path", "line_no"])
     chosen = retrieval.selection(tasks, ranks, known, tuple(a.modes.split(",")))
     done = spark.read.json(a.done_dir).select("task_id", "mode", "sample_id") if a.done_dir else None
     template = _template(spark, a.template, "{related_files}\n{masked_code}\n")
-    out = prompts.output_prompts(tasks, chosen, _repo_files(spark, a.repos_dir), _template(spark, a.system, ""), template, a.window, a.completion, a.samples, done)
+    out = prompts.output_prompts(
+        tasks, chosen, _repo_files(spark, a.repos_dir), _template(spark, a.system, ""), template, a.window, a.completion,
+        a.samples, done
+    )
     _write(out, a.output_dir, ("mode", "reponame"))
 
 
@@ -101,14 +116,21 @@ def chain_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
     files, known = _repo_files(spark, a.repos_dir), _reports(spark, a.reports_dir, "report_files.jsonl", schemas.FILE_REPORT)
     template = _template(spark, a.template, "{files}\n{test_file}\n{test_code}\n")
     ratios = tuple(float(r) for r in a.ratios.split(","))
-    out = prompts.chain_prompts(tests.withColumnRenamed("testpath", "test_file"), known, records.pool_sources(files).select("reponame", "path"), files, template, a.window, ratios, a.samples)
+    out = prompts.chain_prompts(
+        tests.withColumnRenamed("testpath", "test_file"), known, records.pool_sources(files).select("reponame", "path"), files,
+        template, a.window, ratios, a.samples
+    )
     _write(out, a.output_dir, ("ratio", "reponame"))
 
 
 def evaluate_chains(spark: SparkSession, a: argparse.Namespace) -> None:
     """Set metrics of predicted call-chain files."""
-    predictions = records.with_path_columns(records.read_records(spark, f"{a.predictions_dir}/*/*.jsonl", schemas.CHAIN_PREDICTION).drop("ratio"), "ratio")
-    evaluated = evaluation.evaluate_chains(predictions, _reports(spark, a.reports_dir, "report_files.jsonl", schemas.FILE_REPORT))
+    predictions = records.with_path_columns(
+        records.read_records(spark, f"{a.predictions_dir}/*/*.jsonl", schemas.CHAIN_PREDICTION).drop("ratio"), "ratio"
+    )
+    evaluated = evaluation.evaluate_chains(
+        predictions, _reports(spark, a.reports_dir, "report_files.jsonl", schemas.FILE_REPORT)
+    )
     _write(evaluated, a.output_dir, ("ratio", "reponame"))
     print(records.console_table(evaluation.chain_summary(evaluated).orderBy("ratio", F.col("reponame").asc_nulls_first())))
 
@@ -117,7 +139,10 @@ def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions at <folder>/<condition>/predictions/<mode>/<reponame>.jsonl."""
     df = records.read_records(spark, f"{folder}/*/predictions/*/*.jsonl", schemas.OUTPUT_PREDICTION)
     parts = F.split("path", "/")
-    return df.select("task_id", "sample_id", "response", "finish_reason", T.stem(F.col("path")).alias("reponame"), F.element_at(parts, -2).alias("mode"), F.element_at(parts, -4).alias("condition"))
+    return df.select(
+        "task_id", "sample_id", "response", "finish_reason", T.stem(F.col("path")).alias("reponame"),
+        F.element_at(parts, -2).alias("mode"), F.element_at(parts, -4).alias("condition")
+    )
 
 
 def _tasks(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -128,9 +153,13 @@ def _tasks(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 def evaluate_outputs(spark: SparkSession, a: argparse.Namespace) -> None:
     """pass@k of predicted values, by difficulty."""
-    predictions, truths = evaluation.common_tasks(_predictions(spark, a.predictions_dir)), _tasks(spark, a.tasks_dir, schemas.AUGMENTED_TASK)
+    predictions, truths = evaluation.common_tasks(_predictions(spark, a.predictions_dir)), _tasks(
+        spark, a.tasks_dir, schemas.AUGMENTED_TASK
+    )
     evaluation.require_truths(predictions, truths)
-    chains = records.with_path_columns(records.read_ordered_records(spark, f"{a.reports_dir}/*/report_functions.jsonl", schemas.FUNCTION_REPORT)).withColumn("reponame", F.element_at(F.split("path", "/"), -2))
+    chains = records.with_path_columns(
+        records.read_ordered_records(spark, f"{a.reports_dir}/*/report_functions.jsonl", schemas.FUNCTION_REPORT)
+    ).withColumn("reponame", F.element_at(F.split("path", "/"), -2))
     difficulty = keys.function_difficulty(chains, "last")
     evaluated = evaluation.evaluate_outputs(predictions, truths, difficulty, "actual" if a.actual_samples else a.samples)
     _write(evaluated, a.output_dir, ("condition", "mode", "reponame"))
@@ -161,25 +190,41 @@ def quality_report(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 COMMANDS = {
-    "collect-tasks": (collect_tasks, [("repos_dir", {}), ("output_dir", {}), ("--reports_dir", {}), ("--rewrites", {"action": "store_true"}), ("--all_equalities", {"action": "store_true"})]),
+    "collect-tasks": (
+        collect_tasks,
+        [
+            ("repos_dir", {}), ("output_dir", {}), ("--reports_dir", {}), ("--rewrites", {"action": "store_true"}),
+            ("--all_equalities", {"action": "store_true"})
+        ]
+    ),
     "align": (align, [("original_dir", {}), ("rewrite_dir", {}), ("output_dir", {})]),
     "rank": (rank, [("tasks_dir", {}), ("repos_dir", {}), ("output_dir", {})]),
     "output-prompts": (
         output_prompts,
         [
-            ("tasks_dir", {}), ("ranks_dir", {}), ("reports_dir", {}), ("repos_dir", {}), ("output_dir", {}), ("--modes", {"default": "oracle"}), ("--template", {}), ("--system", {}), ("--done_dir", {}),
-            ("--window", {"type": int, "default": 10240}), ("--completion", {"type": int, "default": 2048}), ("--samples", {"type": int, "default": 5}), ("--tasks", {"type": int, "default": 200}),
+            ("tasks_dir", {}), ("ranks_dir", {}), ("reports_dir", {}), ("repos_dir", {}), ("output_dir", {}),
+            ("--modes", {"default": "oracle"}), ("--template", {}), ("--system", {}), ("--done_dir", {}),
+            ("--window", {"type": int, "default": 10240}), ("--completion", {"type": int, "default": 2048}),
+            ("--samples", {"type": int, "default": 5}), ("--tasks", {"type": int, "default": 200}),
         ],
     ),
     "chain-prompts": (
         chain_prompts,
         [
-            ("tasks_dir", {}), ("reports_dir", {}), ("repos_dir", {}), ("output_dir", {}), ("--ratios", {"default": "0.25,0.5"}), ("--template", {}),
-            ("--window", {"type": int, "default": 20480}), ("--samples", {"type": int, "default": 5}), ("--tasks", {"type": int, "default": 200}),
+            ("tasks_dir", {}), ("reports_dir", {}), ("repos_dir", {}), ("output_dir", {}),
+            ("--ratios", {"default": "0.25,0.5"}), ("--template", {}),
+            ("--window", {"type": int, "default": 20480}), ("--samples", {"type": int, "default": 5}),
+            ("--tasks", {"type": int, "default": 200}),
         ],
     ),
     "evaluate-chains": (evaluate_chains, [("predictions_dir", {}), ("reports_dir", {}), ("output_dir", {})]),
-    "evaluate-outputs": (evaluate_outputs, [("predictions_dir", {}), ("tasks_dir", {}), ("reports_dir", {}), ("output_dir", {}), ("--samples", {"type": int, "default": 5}), ("--actual_samples", {"action": "store_true"})]),
+    "evaluate-outputs": (
+        evaluate_outputs,
+        [
+            ("predictions_dir", {}), ("tasks_dir", {}), ("reports_dir", {}), ("output_dir", {}),
+            ("--samples", {"type": int, "default": 5}), ("--actual_samples", {"action": "store_true"})
+        ]
+    ),
     "evaluate-executions": (evaluate_executions, [("results", {}), ("output_dir", {})]),
     "augment": (augment, [("data_dir", {}), ("runtime_dir", {}), ("output_dir", {})]),
     "quality-report": (quality_report, [("data_dir", {}), ("--output", {})]),

@@ -37,7 +37,9 @@ def _any_literal(prediction: pd.Series, truths: pd.Series) -> pd.Series:
 
 def matches_any(prediction: Column, truths: Column) -> Column:
     """Whether a predicted text equals any true text; null predictions never do."""
-    return F.coalesce(prediction.isNotNull() & (contains_text(truths, prediction) | _any_literal(prediction, truths)), F.lit(False))
+    return F.coalesce(
+        prediction.isNotNull() & (contains_text(truths, prediction) | _any_literal(prediction, truths)), F.lit(False)
+    )
 
 
 def contains_text(truths: Column, prediction: Column) -> Column:
@@ -67,7 +69,9 @@ def file_list(response: Column) -> Column:
     """File names of a response: JSON lists of plain strings stay in the JVM, the rest is parsed."""
     literal = T.list_text(response)
     plain = F.regexp_like(F.coalesce(literal, F.lit("")), F.lit(r'^\[\s*(?:"[^"\\]*"\s*(?:,\s*"[^"\\]*"\s*)*)?\]$'))
-    return F.when(literal.isNull(), F.array().cast("array<string>")).when(plain, T.json_strings(literal)).otherwise(_listed(literal))
+    return F.when(
+        literal.isNull(), F.array().cast("array<string>")
+    ).when(plain, T.json_strings(literal)).otherwise(_listed(literal))
 
 
 def _number_texts(number: float) -> set[str]:

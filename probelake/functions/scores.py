@@ -49,7 +49,9 @@ def difficulty_order(level: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in ("easy", "hard", "unknown", "overall")]), level)
 
 
-def context_budget(window: Column, completion: Column, system: Column, static: Column, test: Column, safety: int = 100, margin: int = 50) -> Column:
+def context_budget(
+    window: Column, completion: Column, system: Column, static: Column, test: Column, safety: int = 100, margin: int = 50
+) -> Column:
     """Tokens left for related files in a prompt."""
     return window - completion - safety - system - static - margin - test
 

@@ -55,7 +55,9 @@ def bare_name_before_bracket(name: Column) -> Column:
 def node_id_parts(node_id: Column) -> Column:
     """(test_file, test_function) of a test id; without a function ``[module-level]``."""
     parts = F.split(node_id, "::", 2)
-    return F.struct(parts[0].alias("test_file"), F.coalesce(F.get(parts, F.lit(1)), F.lit("[module-level]")).alias("test_function"))
+    return F.struct(
+        parts[0].alias("test_file"), F.coalesce(F.get(parts, F.lit(1)), F.lit("[module-level]")).alias("test_function")
+    )
 
 
 def space_tokens(text: Column) -> Column:
@@ -81,7 +83,9 @@ def first_file_block(text: Column) -> Column:
 
 def shell_commands(text: Column) -> Column:
     """Lines of all shell blocks, without blanks and comments."""
-    lines = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_SHELL_BLOCK), F.lit(1)), lambda b: F.transform(F.split(b, "\n"), strip)))
+    lines = F.flatten(
+        F.transform(F.regexp_extract_all(text, F.lit(_SHELL_BLOCK), F.lit(1)), lambda b: F.transform(F.split(b, "\n"), strip))
+    )
     return F.filter(lines, lambda x: (x != "") & ~x.startswith("#"))
 
 
@@ -172,7 +176,9 @@ def template(text: str, /, **values: Column) -> Column:
     return out
 
 
-def expand_shorthand(filename: Column, content: Column, full: Column, placeholder: str, marker: str = "import hunter") -> Column:
+def expand_shorthand(
+    filename: Column, content: Column, full: Column, placeholder: str, marker: str = "import hunter"
+) -> Column:
     """A created ``conftest.py`` without the tracer gets its line put into the full text."""
     short = filename.contains("conftest.py") & ~content.contains(marker)
     return F.when(short, F.replace(full, F.lit(placeholder), content)).otherwise(content)

@@ -25,7 +25,9 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 def _one_per_key(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*[F.col(c) for c in rest])
-    return df.groupBy(*keys).agg(pick(row, F.struct(*[F.col(c) for c in order])).alias("row")).select(*keys, "row.*").select(*df.columns)
+    return df.groupBy(*keys).agg(
+        pick(row, F.struct(*[F.col(c) for c in order])).alias("row")
+    ).select(*keys, "row.*").select(*df.columns)
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str = "number") -> DataFrame:
@@ -35,7 +37,9 @@ def numbered(df: DataFrame, by: list[str], order: list[str | Column], name: str
 
 def task_ids(tasks: DataFrame, order: list[str]) -> DataFrame:
     """``task_id`` = repository, underscore and the task's number in path order."""
-    return numbered(tasks, ["reponame"], order, "number").withColumn("task_id", F.concat_ws("_", "reponame", F.col("number").cast("string"))).drop("number")
+    return numbered(tasks, ["reponame"], order, "number").withColumn(
+        "task_id", F.concat_ws("_", "reponame", F.col("number").cast("string"))
+    ).drop("number")
 
 
 def capped(df: DataFrame, by: list[str], order: list[str | Column], n: int = 200) -> DataFrame:
@@ -54,7 +58,10 @@ def named_tasks(tasks: DataFrame) -> DataFrame:
     return tasks.where("testname IS NOT NULL AND testname <> '' AND funcname IS NOT NULL AND funcname <> ''")
 
 
-def aligned(original: DataFrame, rewrite: DataFrame, order: list[str], keys: tuple[str, ...] = ("reponame", "testname", "classname", "funcname")) -> tuple[DataFrame, DataFrame]:
+def aligned(
+    original: DataFrame, rewrite: DataFrame, order: list[str],
+    keys: tuple[str, ...] = ("reponame", "testname", "classname", "funcname")
+) -> tuple[DataFrame, DataFrame]:
     """The i-th rows of equal keys, kept on both sides; the rewrite takes task_id and testpath.
 
     Null keys match each other. Where a key has unequal counts the smaller one holds.
@@ -84,7 +91,10 @@ def align_order() -> list[Column]:
 
 def align_totals(original: DataFrame, rewrite: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows before and after alignment, per repository and overall (null)."""
-    tagged = [df.select("reponame", F.lit(name).alias("stage")) for name, df in (("original", original), ("rewrite", rewrite), ("aligned", kept))]
+    tagged = [
+        df.select("reponame", F.lit(name).alias("stage")) for name,
+        df in (("original", original), ("rewrite", rewrite), ("aligned", kept))
+    ]
     both = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
     return both.rollup("reponame").agg(*[F.count_if(F.col("stage") == s).alias(s) for s in ("original", "rewrite", "aligned")])
 
@@ -102,7 +112,9 @@ def members(df: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
 def kept_and_discarded(df: DataFrame, allowed: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """Rows kept and discarded by a membership filter, and the kept percent, per group."""
     flag = allowed.select(*keys).distinct().withColumn("__in", F.lit(True))
-    counted = df.join(flag, keys, "left").groupBy(*by).agg(F.count_if(F.coalesce("__in", F.lit(False))).alias("kept"), F.count_if(F.col("__in").isNull()).alias("discarded"))
+    counted = df.join(flag, keys, "left").groupBy(*by).agg(
+        F.count_if(F.coalesce("__in", F.lit(False))).alias("kept"), F.count_if(F.col("__in").isNull()).alias("discarded")
+    )
     return counted.withColumn("kept_percent", T.percent(F.col("kept"), F.col("kept") + F.col("discarded")))
 
 
@@ -138,12 +150,17 @@ def min_hop_rollup(dependencies: DataFrame, by: list[str]) -> DataFrame:
     """Least hops for each (group, file), as a list sorted by hops and file."""
     least = dependencies.groupBy(*by, "file").agg(F.min("hops").alias("hops"))
     items = F.array_sort(F.collect_list(F.struct("hops", "file")))
-    return least.groupBy(*by).agg(F.transform(items, lambda x: F.struct(x["file"].alias("file"), x["hops"].alias("hops"))).alias("dependencies"))
+    return least.groupBy(*by).agg(
+        F.transform(items, lambda x: F.struct(x["file"].alias("file"), x["hops"].alias("hops"))).alias("dependencies")
+    )
 
 
 def files_by_hops(dependencies: Column) -> Column:
     """Files in hop order, missing hops last, ties as given."""
-    keyed = F.transform(dependencies, lambda d, i: F.struct(F.coalesce(d["hops"], F.lit(2**31 - 1)).alias("h"), i.alias("i"), d["file"].alias("file")))
+    keyed = F.transform(
+        dependencies,
+        lambda d, i: F.struct(F.coalesce(d["hops"], F.lit(2**31 - 1)).alias("h"), i.alias("i"), d["file"].alias("file"))
+    )
     return F.transform(F.array_sort(keyed), lambda x: x["file"])
 
 
@@ -153,9 +170,13 @@ def function_difficulty(reports: DataFrame, keep: str = "last", order: list[str]
     named = reports.withColumn("funcname", name).withColumn("difficulty", scores.difficulty(F.col("dependencies")))
     one = last_per_key if keep == "last" else first_per_key
     order = order or ["line_no"]
-    return one(named.select("reponame", "funcname", "difficulty", *order), ["reponame", "funcname"], order).select("reponame", "funcname", "difficulty")
+    return one(
+        named.select("reponame", "funcname", "difficulty", *order), ["reponame", "funcname"], order
+    ).select("reponame", "funcname", "difficulty")
 
 
 def with_difficulty(tasks: DataFrame, difficulty: DataFrame) -> DataFrame:
     """Tasks with their difficulty, ``unknown`` without a report."""
-    return tasks.join(difficulty, ["reponame", "funcname"], "left").withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown")))
+    return tasks.join(difficulty, ["reponame", "funcname"], "left").withColumn(
+        "difficulty", F.coalesce("difficulty", F.lit("unknown"))
+    )

@@ -40,11 +40,17 @@ def output_prompts(
     bare = template.replace("{masked_code}", "").replace("{related_files}", "")
     tokenizer = tokenizer_of()
     fixed = [len(tokenizer.encode(x)) for x in (system, bare)]
-    budget = scores.context_budget(F.lit(window), F.lit(completion), F.lit(fixed[0]), F.lit(fixed[1]), size(F.col("masked_code")))
+    budget = scores.context_budget(
+        F.lit(window), F.lit(completion), F.lit(fixed[0]), F.lit(fixed[1]), size(F.col("masked_code"))
+    )
     sized = tasks.select("task_id", "reponame", "masked_code", budget.alias("budget"))
-    related = chosen.select("task_id", "mode", "position", "path").join(sized.select("task_id", "reponame", "budget"), "task_id").join(files.select("reponame", "path", "content"), ["reponame", "path"], "left")
+    related = chosen.select("task_id", "mode", "position", "path").join(sized.select("task_id", "reponame", "budget"), "task_id").join(
+        files.select("reponame", "path", "content"), ["reponame", "path"], "left"
+    )
     packed = context.packed_contexts(related, ["task_id", "mode"], False, tokenizer_of)
-    prompts = packed.join(sized, "task_id").withColumn("prompt", T.template(template, masked_code=F.col("masked_code"), related_files=F.col("context")))
+    prompts = packed.join(sized, "task_id").withColumn(
+        "prompt", T.template(template, masked_code=F.col("masked_code"), related_files=F.col("context"))
+    )
     out = keys.with_samples(prompts, samples)
     if done is not None:
         out = keys.remaining(out, done, ["task_id", "mode", "sample_id"])
@@ -57,9 +63,13 @@ def candidate_files(tests: DataFrame, reports: DataFrame, pool: DataFrame) -> tu
     ``tests``: reponame, test_file. ``reports``: reponame, test_file, dependencies. ``pool``: reponame, path.
     """
     tests = tests.select("reponame", "test_file").distinct()
-    own = reports.join(tests, ["reponame", "test_file"], "left_semi").select("reponame", "test_file", F.explode("dependencies").alias("d")).select("reponame", "test_file", F.col("d.file").alias("path")).distinct()
+    own = reports.join(tests, ["reponame", "test_file"], "left_semi").select(
+        "reponame", "test_file", F.explode("dependencies").alias("d")
+    ).select("reponame", "test_file", F.col("d.file").alias("path")).distinct()
     positive = own.where("path <> test_file")
-    negative = tests.join(pool.select("reponame", "path").distinct(), "reponame").join(own, ["reponame", "test_file", "path"], "left_anti")
+    negative = tests.join(
+        pool.select("reponame", "path").distinct(), "reponame"
+    ).join(own, ["reponame", "test_file", "path"], "left_anti")
     return positive, negative
 
 
@@ -94,11 +104,15 @@ def chain_prompts(
     def block(files: DataFrame, part: str) -> DataFrame:
         order = F.xxhash64(F.lit(seed), F.lit(part), F.col("sample_id"), F.col("path"))
         rows = asked.select(*by, F.col(f"parts.{part}").alias("budget")).join(files, ["reponame", "test_file"])
-        return rows.join(sources.select("reponame", "path", "content"), ["reponame", "path"]).select(*by, order.alias("position"), "path", "content", "budget")
+        return rows.join(
+            sources.select("reponame", "path", "content"), ["reponame", "path"]
+        ).select(*by, order.alias("position"), "path", "content", "budget")
 
     positive, negative = candidate_files(tests, reports, pool)
     both = context.two_sided_context(block(positive, "positive"), block(negative, "negative"), by, seed, tokenizer_of)
-    prompt = T.template(template, test_file=F.col("test_file"), test_code=F.col("test_code"), files=F.coalesce("context", F.lit("")))
+    prompt = T.template(
+        template, test_file=F.col("test_file"), test_code=F.col("test_code"), files=F.coalesce("context", F.lit(""))
+    )
     full = asked.join(both, by, "left").withColumn("prompt", prompt)
     none = F.array().cast("array<string>")
     return full.select(*by, F.coalesce("files_in_prompt", none).alias("files_in_prompt"), "prompt")

@@ -9,7 +9,9 @@ from probelake.functions import text as T
 from probelake.operators.keys import files_by_hops
 
 
-def bm25_ranks(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, limit: int | None = None) -> DataFrame:
+def bm25_ranks(
+    corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, limit: int | None = None
+) -> DataFrame:
     """Scores and ranks of every document of a query's repository.
 
     ``corpus``: reponame, path, tokens. ``queries``: reponame, query, tokens.
@@ -19,17 +21,29 @@ def bm25_ranks(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     """
     lengths = corpus.groupBy("reponame", "path").agg(F.sum(F.size("tokens")).alias("dl"))
     per_repo = lengths.groupBy("reponame").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = corpus.select("reponame", "path", F.explode("tokens").alias("term")).groupBy("reponame", "path", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = corpus.select(
+        "reponame", "path", F.explode("tokens").alias("term")
+    ).groupBy("reponame", "path", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("reponame", "term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(per_repo, "reponame").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("reponame").agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.join(mean, "reponame").select("reponame", "term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    asked = queries.select("reponame", "query", F.explode("tokens").alias("term")).groupBy("reponame", "query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    idf = raw.join(mean, "reponame").select(
+        "reponame", "term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf")
+    )
+    asked = queries.select(
+        "reponame", "query", F.explode("tokens").alias("term")
+    ).groupBy("reponame", "query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     # the queries' terms are few: they get their weights, documents their lengths, before the two meet
-    weighted = asked.join(idf, ["reponame", "term"]).select("reponame", "query", "term", (F.col("qtf") * F.col("idf") * (k1 + 1)).alias("weight"))
+    weighted = asked.join(idf, ["reponame", "term"]).select(
+        "reponame", "query", "term", (F.col("qtf") * F.col("idf") * (k1 + 1)).alias("weight")
+    )
     wanted = tf.join(asked.select("reponame", "term").distinct(), ["reponame", "term"], "left_semi")
-    norm = lengths.join(per_repo, "reponame").select("reponame", "path", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm"))
-    sized = wanted.join(norm, ["reponame", "path"]).select("reponame", "path", "term", (F.col("tf") / (F.col("tf") + F.col("norm"))).alias("share"))
+    norm = lengths.join(per_repo, "reponame").select(
+        "reponame", "path", (k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))).alias("norm")
+    )
+    sized = wanted.join(norm, ["reponame", "path"]).select(
+        "reponame", "path", "term", (F.col("tf") / (F.col("tf") + F.col("norm"))).alias("share")
+    )
     hits = sized.join(weighted, ["reponame", "term"])
     scored = hits.groupBy("reponame", "query", "path").agg(F.sum(F.col("weight") * F.col("share")).alias("score"))
     asks = queries.select("reponame", "query").distinct()
@@ -44,8 +58,15 @@ def _limited(asks: DataFrame, scored: DataFrame, lengths: DataFrame, best, limit
     """The first ``limit`` ranks: scored documents, and by path so many others as can come among them."""
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("rank")
     # a path among the first `limit` + (scored documents) of a repository is the most that can be needed
-    counted = asks.join(scored.groupBy("reponame", "query").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.round("score", 9) > 0).alias("above")), ["reponame", "query"], "left")
-    needy = counted.where(F.coalesce("above", F.lit(0)) < limit).select("reponame", "query", F.coalesce("hits", F.lit(0)).alias("hits"))
+    counted = asks.join(
+        scored.groupBy("reponame", "query").agg(
+            F.count(F.lit(1)).alias("hits"), F.count_if(F.round("score", 9) > 0).alias("above")
+        ),
+        ["reponame", "query"], "left"
+    )
+    needy = counted.where(F.coalesce("above", F.lit(0)) < limit).select(
+        "reponame", "query", F.coalesce("hits", F.lit(0)).alias("hits")
+    )
     by_path = Window.partitionBy("reponame").orderBy("path")
     placed = lengths.select("reponame", "path", F.row_number().over(by_path).alias("place"))
     near = needy.join(placed, "reponame").where(F.col("place") <= F.col("hits") + limit).select("reponame", "query", "path")
@@ -71,7 +92,10 @@ def seeded_sample(df: DataFrame, by: list[str], keys: list[str], n: int, seed: i
     return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
 
 
-def selection(tasks: DataFrame, ranks: DataFrame, reports: DataFrame, modes: tuple[str, ...] = ("retrieval", "confusion", "oracle"), top: int = 20, seed: int = 42) -> DataFrame:
+def selection(
+    tasks: DataFrame, ranks: DataFrame, reports: DataFrame, modes: tuple[str, ...] = ("retrieval", "confusion", "oracle"),
+    top: int = 20, seed: int = 42
+) -> DataFrame:
     """Files for each task and mode: (task columns), mode, position, path.
 
     ``retrieval``: the top ranks, shuffled. ``confusion``: a sample beyond them.
@@ -83,7 +107,9 @@ def selection(tasks: DataFrame, ranks: DataFrame, reports: DataFrame, modes: tup
     shuffled = Window.partitionBy("task_id").orderBy(seeded_order(seed, "task_id", "path"), "path")
     parts = {
         "retrieval": ranked.where(F.col("rank") <= top).withColumn("position", F.row_number().over(shuffled)),
-        "confusion": ranked.where(F.col("rank") > top).withColumn("position", F.row_number().over(shuffled)).where(F.col("position") <= top),
+        "confusion": ranked.where(F.col("rank") > top).withColumn(
+            "position", F.row_number().over(shuffled)
+        ).where(F.col("position") <= top),
         "oracle": tasks.withColumn("__name", T.bare_name(F.col("funcname")))
         .join(reports.select("reponame", F.col("funcname").alias("__name"), "dependencies"), ["reponame", "__name"])
         .select("task_id", "reponame", "funcname", F.posexplode(F.slice(files_by_hops(F.col("dependencies")), 1, top)).alias("position", "path"))

@@ -20,7 +20,10 @@ class TraceFold:
     in the recorded reports; ``balanced`` counts such calls, so returns pair up.
     """
 
-    def __init__(self, prefixes: tuple[str, ...] = ("",), balanced: bool = False, strict_prefix: bool = False, stack: list | None = None, hops: dict | None = None):
+    def __init__(
+        self, prefixes: tuple[str, ...] = ("",), balanced: bool = False, strict_prefix: bool = False, stack: list | None = None,
+        hops: dict | None = None
+    ):
         self.prefixes = tuple(p.rstrip("/") + "/" for p in prefixes) if strict_prefix else prefixes
         self.balanced = balanced
         self.stack: list[list] = stack or []  # [file, open calls]
@@ -49,7 +52,9 @@ class TraceFold:
         return self
 
 
-def fold_traces(events: DataFrame, prefixes: tuple[str, ...] = ("",), balanced: bool = False, strict_prefix: bool = False) -> DataFrame:
+def fold_traces(
+    events: DataFrame, prefixes: tuple[str, ...] = ("",), balanced: bool = False, strict_prefix: bool = False
+) -> DataFrame:
     """test_nodeid, file, hops from test_nodeid, seq, kind, filename.
 
     Tests are sorted in their partitions and folded as they stream by: a task holds one
@@ -72,7 +77,9 @@ def fold_traces(events: DataFrame, prefixes: tuple[str, ...] = ("",), balanced:
         if fold is not None:
             yield found()
 
-    used = events.where("kind IN ('call', 'return') AND filename IS NOT NULL AND filename <> ''").select("test_nodeid", "seq", "kind", "filename")
+    used = events.where(
+        "kind IN ('call', 'return') AND filename IS NOT NULL AND filename <> ''"
+    ).select("test_nodeid", "seq", "kind", "filename")
     ordered = used.repartition("test_nodeid").sortWithinPartitions("test_nodeid", "seq")
     return ordered.mapInPandas(run, "test_nodeid string, file string, hops int")
 
@@ -80,7 +87,9 @@ def fold_traces(events: DataFrame, prefixes: tuple[str, ...] = ("",), balanced:
 def function_report(folded: DataFrame) -> DataFrame:
     """test_file, test_function, dependencies, one row for each test."""
     parts = T.node_id_parts(F.col("test_nodeid"))
-    return min_hop_rollup(folded, ["test_nodeid"]).select(parts["test_file"].alias("test_file"), parts["test_function"].alias("test_function"), "dependencies")
+    return min_hop_rollup(folded, ["test_nodeid"]).select(
+        parts["test_file"].alias("test_file"), parts["test_function"].alias("test_function"), "dependencies"
+    )
 
 
 def file_report(folded: DataFrame) -> DataFrame:

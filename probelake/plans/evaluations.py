@@ -33,19 +33,38 @@ _CHAINS = """
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
-    li = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    li = li.select("c_custkey", "c_nationkey", "c_mktsegment", "o_orderstatus", (F.col("o_orderkey") % 2).cast("int").alias("sample_id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("f"))
+    li = t("lineitem").join(
+        t("orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    ).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    li = li.select(
+        "c_custkey", "c_nationkey", "c_mktsegment", "o_orderstatus", (F.col("o_orderkey") % 2).cast("int").alias("sample_id"),
+        F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("f")
+    )
     name = F.col("c_custkey").cast("string").alias("test_file")
     files = F.collect_set(F.when(F.col("o_orderstatus") == "O", F.col("f")))
     # a report names the test itself too; every fifth test has no report
     own = F.struct(F.col("c_custkey").cast("string").alias("file"), F.lit(1).alias("hops"))
     found = li.where("c_custkey % 5 <> 0").groupBy("c_custkey", "c_nationkey").agg(files.alias("t"))
-    found = found.select(F.col("c_nationkey").cast("string").alias("reponame"), name, F.concat(F.array(own), F.transform("t", lambda f: F.struct(f.alias("file"), F.lit(2).alias("hops")))).alias("dependencies"))
-    said = li.groupBy("c_custkey", "c_nationkey", "c_mktsegment", "sample_id").agg(F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("f"))).alias("p"))
-    listed = lambda quote, sep: F.concat(F.lit("["), F.array_join(F.transform("p", lambda f: F.concat(F.lit(quote), f, F.lit(quote))), sep), F.lit("]"))
+    found = found.select(
+        F.col("c_nationkey").cast("string").alias("reponame"), name,
+        F.concat(
+            F.array(own), F.transform("t", lambda f: F.struct(f.alias("file"), F.lit(2).alias("hops")))
+        ).alias("dependencies")
+    )
+    said = li.groupBy("c_custkey", "c_nationkey", "c_mktsegment", "sample_id").agg(
+        F.collect_set(F.when(F.col("o_orderstatus") == "F", F.col("f"))).alias("p")
+    )
+    listed = lambda quote, sep: F.concat(
+        F.lit("["), F.array_join(F.transform("p", lambda f: F.concat(F.lit(quote), f, F.lit(quote))), sep), F.lit("]")
+    )
     # answers as JSON in a fence, as a bare Python list, or none
-    response = F.when(F.col("c_custkey") % 11 == 3, "no idea").when(F.col("sample_id") == 0, F.concat(F.lit("So:\n```json\n"), listed('"', ", "), F.lit("\n```"))).otherwise(F.concat(F.lit("files = "), listed("'", " , ")))
-    predictions = said.select(F.col("c_nationkey").cast("string").alias("reponame"), F.col("c_mktsegment").alias("ratio"), F.lit("t").alias("task_id"), name, "sample_id", response.alias("response"))
+    response = F.when(F.col("c_custkey") % 11 == 3, "no idea").when(
+        F.col("sample_id") == 0, F.concat(F.lit("So:\n```json\n"), listed('"', ", "), F.lit("\n```"))
+    ).otherwise(F.concat(F.lit("files = "), listed("'", " , ")))
+    predictions = said.select(
+        F.col("c_nationkey").cast("string").alias("reponame"), F.col("c_mktsegment").alias("ratio"),
+        F.lit("t").alias("task_id"), name, "sample_id", response.alias("response")
+    )
     return evaluation.evaluate_chains(predictions, found)
 
 
@@ -88,18 +107,33 @@ _OUTPUTS = """
 def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, a = F.col("user_id"), (F.floor("value") % 3).cast("string")
     condition = F.when(user % 2 == 0, "original").otherwise("rewrite").alias("condition")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("mode"), condition, a.alias("a"), user.cast("string").alias("task_id"))
+    e = table(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.col("event_type").alias("mode"), condition, a.alias("a"), user.cast("string").alias("task_id")
+    )
     # the same number is written in three ways, and every seventh answer has no fence
     third = F.col("event_id") % 3
     said = F.when(third == 0, F.col("a")).when(third == 1, F.concat("a", F.lit(".0"))).otherwise(F.concat(F.lit("\t"), "a", F.lit(" ")))
     # a fence's value is trimmed by the operator, so the second spelling is all that differs
-    response = F.when(F.col("event_id") % 7 == 0, F.col("a")).otherwise(F.concat(F.lit("It gives\n```output\n"), said, F.lit("\n```\n")))
-    predictions = e.select("condition", "mode", F.lit("r").alias("reponame"), "task_id", F.col("event_id").alias("sample_id"), response.alias("response"))
+    response = F.when(F.col("event_id") % 7 == 0, F.col("a")).otherwise(
+        F.concat(F.lit("It gives\n```output\n"), said, F.lit("\n```\n"))
+    )
+    predictions = e.select(
+        "condition", "mode", F.lit("r").alias("reponame"), "task_id", F.col("event_id").alias("sample_id"),
+        response.alias("response")
+    )
     truth = F.array(F.lit("'x'"), (user % 3).cast("string"))
-    truths = e.select("condition", "task_id", F.concat(F.lit("test_"), "task_id", F.lit("[p]")).alias("funcname"), truth.alias("ground_truth"), "user_id").distinct()
+    truths = e.select(
+        "condition", "task_id", F.concat(F.lit("test_"), "task_id", F.lit("[p]")).alias("funcname"),
+        truth.alias("ground_truth"), "user_id"
+    ).distinct()
     level = F.when(F.col("user_id") % 4 == 0, 2).otherwise(3)
-    deps = F.array(F.struct(F.lit("a").alias("file"), F.lit(1).alias("hops")), F.struct(F.lit("b").alias("file"), level.alias("hops")))
-    chains = truths.where("user_id % 4 < 2").select(F.lit("r").alias("reponame"), F.concat(F.lit("TestA::"), "funcname").alias("test_function"), deps.alias("dependencies"), F.lit(1).alias("line_no"))
+    deps = F.array(
+        F.struct(F.lit("a").alias("file"), F.lit(1).alias("hops")), F.struct(F.lit("b").alias("file"), level.alias("hops"))
+    )
+    chains = truths.where("user_id % 4 < 2").select(
+        F.lit("r").alias("reponame"), F.concat(F.lit("TestA::"), "funcname").alias("test_function"), deps.alias("dependencies"),
+        F.lit(1).alias("line_no")
+    )
     named = truths.withColumn("funcname", T.bare_name(F.col("funcname"))).drop("user_id")
     evaluation.require_truths(predictions, named)
     return evaluation.evaluate_outputs(predictions, named, keys.function_difficulty(chains), "actual")
@@ -113,7 +147,10 @@ def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def evaluated_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = ["mode", "condition", "task_id", "difficulty", "num_samples", "num_correct", F.array_join("predictions", "|").alias("predictions")]
+    shown = [
+        "mode", "condition", "task_id", "difficulty", "num_samples", "num_correct",
+        F.array_join("predictions", "|").alias("predictions")
+    ]
     return rounded(_outputs(spark, sf_dir).select(*shown, *[F.col("pass_at_k")[str(k)].alias(f"p{k}") for k in (1, 2, 5)]))
 
 
@@ -143,17 +180,30 @@ _EXECUTED = """
 
 def _executed(spark: SparkSession, sf_dir: str) -> DataFrame:
     condition = F.when(F.col("user_id") % 2 == 0, "original").otherwise("rewrite")
-    results = table(spark, sf_dir, "events").select(condition.alias("condition"), F.col("event_type").alias("mode"), F.lit("r").alias("reponame"), F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("sample_id"), (F.col("value") > 50).alias("passed"))
+    results = table(spark, sf_dir, "events").select(
+        condition.alias("condition"), F.col("event_type").alias("mode"), F.lit("r").alias("reponame"),
+        F.col("user_id").cast("string").alias("task_id"), F.col("event_id").alias("sample_id"),
+        (F.col("value") > 50).alias("passed")
+    )
     return evaluation.evaluate_executions(results)
 
 
-@query(f"WITH {_EXECUTED} SELECT DISTINCT mode, condition, CAST(user_id AS VARCHAR) AS task_id, CAST(n AS INTEGER) AS num_samples, CAST(c AS INTEGER) AS num_correct, results, round(p, 6) AS p3 FROM p WHERE k = 3")
+@query(
+    f"WITH {_EXECUTED} SELECT DISTINCT mode, condition, CAST(user_id AS VARCHAR) AS task_id, CAST(n AS INTEGER) AS num_samples, CAST(c AS INTEGER) AS num_correct, results, round(p, 6) AS p3 FROM p WHERE k = 3"
+)
 def evaluated_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = F.array_join(F.transform("execution_results", lambda x: x.cast("int").cast("string")), "")
-    return rounded(_executed(spark, sf_dir).select("mode", "condition", "task_id", "num_samples", "num_correct", results.alias("results"), F.col("pass_at_k")["3"].alias("p3")))
+    return rounded(
+        _executed(spark, sf_dir).select(
+            "mode", "condition", "task_id", "num_samples", "num_correct", results.alias("results"),
+            F.col("pass_at_k")["3"].alias("p3")
+        )
+    )
 
 
-@query(f"WITH {_EXECUTED} SELECT condition, mode, CAST(k AS VARCHAR) AS k, round(avg(p), 6) AS pass_at_k, count(*) AS problems FROM p GROUP BY ALL")
+@query(
+    f"WITH {_EXECUTED} SELECT condition, mode, CAST(k AS VARCHAR) AS k, round(avg(p), 6) AS pass_at_k, count(*) AS problems FROM p GROUP BY ALL"
+)
 def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.execution_summary(_executed(spark, sf_dir)))
 
@@ -168,11 +218,20 @@ def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def execution_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     response = F.concat(F.lit("```output\n"), F.col("l_quantity").cast("long").cast("string"), F.lit(" \n```"))
-    predictions = li.select(F.col("l_returnflag").alias("condition"), F.col("l_partkey").cast("string").alias("task_id"), "l_orderkey", "l_linenumber", response.alias("response"))
+    predictions = li.select(
+        F.col("l_returnflag").alias("condition"), F.col("l_partkey").cast("string").alias("task_id"), "l_orderkey",
+        "l_linenumber", response.alias("response")
+    )
     size, third = F.col("p_size").cast("string"), F.col("p_partkey") % 3
     cls = F.when(third == 0, "TestPart").when(third == 1, "")
-    tasks = part.select(F.explode(F.array(F.lit("A"), F.lit("R"))).alias("condition"), F.col("p_partkey").cast("string").alias("task_id"), F.lit("t.py").alias("testpath"), cls.alias("classname"), F.concat(F.lit("test_"), size).alias("funcname"), F.concat(F.lit("assert f("), size, F.lit(", '???') == '???'")).alias("masked_code"))
-    return evaluation.execution_plan(predictions, tasks).select("condition", "task_id", "l_orderkey", "l_linenumber", "injected_code", "selector")
+    tasks = part.select(
+        F.explode(F.array(F.lit("A"), F.lit("R"))).alias("condition"), F.col("p_partkey").cast("string").alias("task_id"),
+        F.lit("t.py").alias("testpath"), cls.alias("classname"), F.concat(F.lit("test_"), size).alias("funcname"),
+        F.concat(F.lit("assert f("), size, F.lit(", '???') == '???'")).alias("masked_code")
+    )
+    return evaluation.execution_plan(predictions, tasks).select(
+        "condition", "task_id", "l_orderkey", "l_linenumber", "injected_code", "selector"
+    )
 
 
 @query(
@@ -187,9 +246,17 @@ def augmented_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(flag == "R", "failure").otherwise("success")
     value = F.when(flag == "N", F.concat(F.lit('"v'), q, F.lit('"'))).otherwise(q)
     kind = F.when(flag == "N", "<class 'str'>").otherwise("<class 'int'>")
-    runtime = table(spark, sf_dir, "lineitem").select(F.lit("c").alias("condition"), F.col("l_partkey").cast("string").alias("task_id"), "l_orderkey", "l_linenumber", F.struct(status.alias("status"), value.alias("value"), kind.alias("type")).alias("runtime_ground_truth"))
-    tasks = table(spark, sf_dir, "part").select(F.lit("c").alias("condition"), F.col("p_partkey").cast("string").alias("task_id"), F.col("p_size").cast("string").alias("ground_truth"))
-    return reports.augment_truths(tasks, runtime, ["l_orderkey", "l_linenumber"]).select("task_id", F.array_join("ground_truth", ",").alias("truths"))
+    runtime = table(spark, sf_dir, "lineitem").select(
+        F.lit("c").alias("condition"), F.col("l_partkey").cast("string").alias("task_id"), "l_orderkey", "l_linenumber",
+        F.struct(status.alias("status"), value.alias("value"), kind.alias("type")).alias("runtime_ground_truth")
+    )
+    tasks = table(spark, sf_dir, "part").select(
+        F.lit("c").alias("condition"), F.col("p_partkey").cast("string").alias("task_id"),
+        F.col("p_size").cast("string").alias("ground_truth")
+    )
+    return reports.augment_truths(tasks, runtime, ["l_orderkey", "l_linenumber"]).select(
+        "task_id", F.array_join("ground_truth", ",").alias("truths")
+    )
 
 
 # packing: eight documents make a task; words are letters and digits, so tokens can be counted in SQL
@@ -224,11 +291,18 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget = F.when(task % 17 == 0, 0).when(task % 19 == 1, 10).otherwise(200 + (task % 10) * 300)
     content = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+"), lambda x: x != ""), " ")
     content = F.when(F.col("doc_id") % 13 != 0, content)
-    return d.select(task.alias("task_id"), (F.col("doc_id") % 8).alias("position"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), content.alias("content"), budget.cast("int").alias("budget"))
+    return d.select(
+        task.alias("task_id"), (F.col("doc_id") % 8).alias("position"),
+        F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), content.alias("content"),
+        budget.cast("int").alias("budget")
+    )
 
 
 def _packed(df: DataFrame) -> DataFrame:
-    return df.select("task_id", F.md5("context").alias("context"), F.array_join("files", ",").alias("files"), F.col("tokens").cast("long").alias("tokens"))
+    return df.select(
+        "task_id", F.md5("context").alias("context"), F.array_join("files", ",").alias("files"),
+        F.col("tokens").cast("long").alias("tokens")
+    )
 
 
 _PACKED = "SELECT task_id, md5({text}) AS context, array_to_string(files, ',') AS files, CAST(used AS BIGINT) AS tokens FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY i DESC) AS r FROM walk) WHERE r = 1"
@@ -280,9 +354,14 @@ _TRACE = """
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_type").isin("click", "view"), "call").when(F.col("event_type") == "error", "other").otherwise("return")
+    kind = F.when(
+        F.col("event_type").isin("click", "view"), "call"
+    ).when(F.col("event_type") == "error", "other").otherwise("return")
     user = F.col("user_id")
-    return table(spark, sf_dir, "events").select(F.concat_ws("::", (user % 20).cast("string"), user.cast("string")).alias("test_nodeid"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.floor("value") % 7).cast("string").alias("filename"))
+    return table(spark, sf_dir, "events").select(
+        F.concat_ws("::", (user % 20).cast("string"), user.cast("string")).alias("test_nodeid"), F.col("event_id").alias("seq"),
+        kind.alias("kind"), (F.floor("value") % 7).cast("string").alias("filename")
+    )
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +382,9 @@ def trace_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def trace_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = _folded(spark, sf_dir)
-    shown = F.array_join(F.transform("dependencies", lambda d: F.concat_ws(":", d["hops"].cast("string"), d["file"])), ",").alias("dependencies")
+    shown = F.array_join(
+        F.transform("dependencies", lambda d: F.concat_ws(":", d["hops"].cast("string"), d["file"])), ","
+    ).alias("dependencies")
     per_file = trace.file_report(folded).select("test_file", F.lit("").alias("test_function"), shown)
     return trace.function_report(folded).select("test_file", "test_function", shown).unionByName(per_file)
 
@@ -336,7 +417,10 @@ def streamed_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def common_task_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     condition = F.when(F.col("event_id") % 3 == 0, "original").otherwise("rewrite")
     e = table(spark, sf_dir, "events").where("event_id % 3 < 2")
-    said = e.select(F.col("event_type").alias("mode"), (F.col("user_id") % 20).cast("string").alias("reponame"), F.col("user_id").cast("string").alias("task_id"), condition.alias("condition"), "event_id")
+    said = e.select(
+        F.col("event_type").alias("mode"), (F.col("user_id") % 20).cast("string").alias("reponame"),
+        F.col("user_id").cast("string").alias("task_id"), condition.alias("condition"), "event_id"
+    )
     return evaluation.common_tasks(said)
 
 
@@ -352,7 +436,10 @@ def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     total = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("q"), F.col("l_partkey").cast("string"))
-    ranks = total.select(F.lit("r").alias("reponame"), F.col("l_suppkey").cast("string").alias("query"), F.col("l_partkey").cast("string").alias("path"), F.row_number().over(w).alias("rank"))
+    ranks = total.select(
+        F.lit("r").alias("reponame"), F.col("l_suppkey").cast("string").alias("query"),
+        F.col("l_partkey").cast("string").alias("path"), F.row_number().over(w).alias("rank")
+    )
     return retrieval.rank_lists(ranks).select("reponame", "query", F.array_join("related_files_rank", ",").alias("paths"))
 
 
@@ -371,7 +458,10 @@ def prompt_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = table(spark, sf_dir, "conversations")
     prompt = T.template("As {role}:\n{text}\nAgain: {role}", role=F.col("role"), text=F.col("text"))
-    asked = c.select("conv_id", "turn", prompt.alias("prompt"), F.concat(prompt, F.lit("\n"), F.col("turn").cast("string"), F.lit("|"), F.col("role")).alias("full"))
+    asked = c.select(
+        "conv_id", "turn", prompt.alias("prompt"),
+        F.concat(prompt, F.lit("\n"), F.col("turn").cast("string"), F.lit("|"), F.col("role")).alias("full")
+    )
     return prompts.completions(asked, call, "full").select("conv_id", "turn", "prompt", "response", "finish_reason")
 
 
@@ -387,7 +477,9 @@ def expanded_shorthand(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(fourth < 2, "conftest.py").otherwise("setup.py")
     content = F.when(fourth == 1, F.concat(F.lit("import hunter # "), "p_brand")).otherwise(F.concat(F.lit("x = "), size))
     full = F.lit("import hunter\n{line}\nend")
-    return table(spark, sf_dir, "part").select("p_partkey", name.alias("filename"), T.expand_shorthand(name, content, full, "{line}").alias("content"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", name.alias("filename"), T.expand_shorthand(name, content, full, "{line}").alias("content")
+    )
 
 
 @query(
@@ -399,8 +491,14 @@ def aligned_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     cls = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("Test"), (F.col("c_custkey") % 5).cast("string")))
-    named = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("testname"), cls.alias("classname"), F.col("c_name").alias("funcname"))
-    return named.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*keys.align_order())).cast("long").alias("line"))
+    named = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", F.col("c_mktsegment").alias("testname"), cls.alias("classname"),
+        F.col("c_name").alias("funcname")
+    )
+    return named.select(
+        "c_custkey",
+        F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*keys.align_order())).cast("long").alias("line")
+    )
 
 
 @query(
@@ -410,9 +508,14 @@ def aligned_display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def tagged_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").cast("string").alias("task_id"), F.round("o_totalprice").cast("long").alias("price"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(
+        F.col("o_orderkey").cast("string").alias("task_id"), F.round("o_totalprice").cast("long").alias("price")
+    )
     li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
-    li = li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("task_id"), F.round("l_extendedprice").cast("long").alias("price"), F.col("l_linenumber").cast("int").alias("lines"))
+    li = li.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("task_id"),
+        F.round("l_extendedprice").cast("long").alias("price"), F.col("l_linenumber").cast("int").alias("lines")
+    )
     # a column that one side lacks is null there
     return keys.tagged_union({"original": o, "rewrite": li}).withColumn("lines", F.coalesce("lines", F.lit(-1)))
 
@@ -421,9 +524,14 @@ def _scores_of(text: Column) -> Column:
     return F.least(F.length(text) % 9, F.lit(6)).cast("int")
 
 
-@query("SELECT least(length(p_name) % 9, 6)::INTEGER AS complexity_score, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL")
+@query(
+    "SELECT least(length(p_name) % 9, 6)::INTEGER AS complexity_score, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL"
+)
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    analysis = F.when(F.col("p_partkey") % 3 != 0, F.struct(_scores_of(F.col("p_name")).alias("complexity_score"), F.lit(True).alias("is_quality")))
+    analysis = F.when(
+        F.col("p_partkey") % 3 != 0,
+        F.struct(_scores_of(F.col("p_name")).alias("complexity_score"), F.lit(True).alias("is_quality"))
+    )
     return reports.score_histogram(table(spark, sf_dir, "part").select(analysis.alias("quality_analysis")))
 
 

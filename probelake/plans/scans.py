@@ -20,9 +20,17 @@ _ORDER = "task_id string, price bigint, half string"
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as JSON lines, in order; every tenth line is malformed and every ninth blank."""
-    o = table(spark, sf_dir, "orders").withColumn("repo", (F.col("o_custkey") % 3).cast("string")).withColumn("half", F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed"))
-    good = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("task_id"), F.round("o_totalprice").cast("long").alias("price"), "half"))
-    line = F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.lit("{bad "), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 9 == 0, "").otherwise(good)
+    o = table(spark, sf_dir, "orders").withColumn("repo", (F.col("o_custkey") % 3).cast("string")).withColumn(
+        "half", F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed")
+    )
+    good = F.to_json(
+        F.struct(
+            F.col("o_orderkey").cast("string").alias("task_id"), F.round("o_totalprice").cast("long").alias("price"), "half"
+        )
+    )
+    line = F.when(
+        F.col("o_orderkey") % 10 == 0, F.concat(F.lit("{bad "), F.col("o_orderkey").cast("string"))
+    ).when(F.col("o_orderkey") % 9 == 0, "").otherwise(good)
     return o.select("half", "repo", "o_orderkey", line.alias("value"))
 
 
@@ -77,16 +85,27 @@ def records_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for each event type holds all its events as one array."""
     root = scratch.scratch_folder(spark, "arrays")
-    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.to_json(F.collect_list(F.struct("event_id", "event_type", F.col("user_id").cast("long").alias("user_id")))).alias("value"))
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.to_json(
+            F.collect_list(F.struct("event_id", "event_type", F.col("user_id").cast("long").alias("user_id")))
+        ).alias("value")
+    )
     e.repartition(8, "event_type").write.partitionBy("event_type").text(root)
-    return records.read_json_arrays(spark, f"{root}/*", "event_id bigint, event_type string, user_id bigint").select("event_id", "event_type", "user_id")
+    return records.read_json_arrays(
+        spark, f"{root}/*", "event_id bigint, event_type string, user_id bigint"
+    ).select("event_id", "event_type", "user_id")
 
 
-@query("SELECT c_mktsegment AS condition, CAST(c_nationkey AS VARCHAR) AS reponame, c_custkey, round(c_acctbal, 2) AS balance FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR), c_custkey, 0.0 FROM customer WHERE c_mktsegment = 'BUILDING'")
+@query(
+    "SELECT c_mktsegment AS condition, CAST(c_nationkey AS VARCHAR) AS reponame, c_custkey, round(c_acctbal, 2) AS balance FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR), c_custkey, 0.0 FROM customer WHERE c_mktsegment = 'BUILDING'"
+)
 def partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as a tree of conditions and repositories; one condition is then written again."""
     root = scratch.scratch_folder(spark, "tree")
-    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("condition"), F.col("c_nationkey").cast("string").alias("reponame"), "c_custkey", F.round("c_acctbal", 2).alias("balance"))
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("condition"), F.col("c_nationkey").cast("string").alias("reponame"), "c_custkey",
+        F.round("c_acctbal", 2).alias("balance")
+    )
     records.write_records(c, root, ("condition", "reponame"))
     again = c.where("condition = 'BUILDING'").withColumn("balance", F.lit(0.0)).drop("condition")
     records.write_records(again, f"{root}/condition=BUILDING", ("reponame",))
@@ -94,13 +113,19 @@ def partitioned_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(schema).json(root)
 
 
-@query("SELECT o_orderkey, o_orderkey % 5 AS sample_id, CASE WHEN o_orderstatus = 'F' THEN 'error' ELSE 'stop' END AS finish_reason, 1 AS round FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_orderkey % 5, 'stop', 2 FROM orders WHERE o_orderkey % 2 = 1 OR o_orderstatus = 'F'")
+@query(
+    "SELECT o_orderkey, o_orderkey % 5 AS sample_id, CASE WHEN o_orderstatus = 'F' THEN 'error' ELSE 'stop' END AS finish_reason, 1 AS round FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_orderkey % 5, 'stop', 2 FROM orders WHERE o_orderkey % 2 = 1 OR o_orderstatus = 'F'"
+)
 def resumable_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the work is there, some of it as errors; the second round adds what is missing or failed."""
     root = scratch.scratch_folder(spark, "appended")
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("sample_id"), "o_orderstatus")
     reason = F.when(F.col("o_orderstatus") == "F", "error").otherwise("stop")
-    records.append_missing(spark, o.where("o_orderkey % 2 = 0").select("o_orderkey", "sample_id", reason.alias("finish_reason"), F.lit(1).alias("round")), root, ("o_orderkey", "sample_id"))
+    records.append_missing(
+        spark,
+        o.where("o_orderkey % 2 = 0").select("o_orderkey", "sample_id", reason.alias("finish_reason"), F.lit(1).alias("round")),
+        root, ("o_orderkey", "sample_id")
+    )
     second = o.select("o_orderkey", "sample_id", F.lit("stop").alias("finish_reason"), F.lit(2).alias("round"))
     records.append_missing(spark, second, root, ("o_orderkey", "sample_id"), retry_errors=True)
     return spark.read.parquet(root)
@@ -115,10 +140,14 @@ def resumable_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality report as a JSON object that is written and read again."""
     root = scratch.scratch_folder(spark, "report")
-    analysis = F.struct(F.lit(1).alias("complexity_score"), (F.col("value") >= 20).alias("is_quality"), F.col("event_type").alias("reason"))
+    analysis = F.struct(
+        F.lit(1).alias("complexity_score"), (F.col("value") >= 20).alias("is_quality"), F.col("event_type").alias("reason")
+    )
     e = table(spark, sf_dir, "events").select(F.lit("r").alias("reponame"), analysis.alias("quality_analysis"))
     records.write_report(spark, reports.quality_report(e), root)
-    text = spark.read.text(root, wholetext=True).select(F.from_json("value", "total_assertions bigint, filter_reasons map<string, bigint>").alias("r"))
+    text = spark.read.text(root, wholetext=True).select(
+        F.from_json("value", "total_assertions bigint, filter_reasons map<string, bigint>").alias("r")
+    )
     return text.select(F.explode("r.filter_reasons").alias("reason", "n"), F.col("r.total_assertions").alias("total"))
 
 
@@ -143,15 +172,21 @@ def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as repositories, regions as categories; those with a rich supplier are present."""
-    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").collect()
+    rows = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    ).select("r_name", "n_name").collect()
     repos: dict[str, dict[str, str]] = {}
     for r in rows:
         repos.setdefault(r["r_name"], {})[r["n_name"]] = f"https://example.org/{r['n_name']}"
-    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").join(
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
     return records.repo_catalog(spark, repos, rich.select(F.col("n_name").alias("reponame")))[1]
 
 
-@query("SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS reponame FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query(
+    "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS reponame FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+)
 def repos_with_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("reponame", F.col("o_custkey").cast("string"))
     return records.repos_with_reports(o.where("o_orderstatus = 'P'"), o.where("o_orderpriority = '1-URGENT'"))
@@ -167,8 +202,13 @@ _PATHS = """
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     folder = F.when(k % 5 == 0, "Tests").when(k % 5 == 1, "src").when(k % 5 == 2, "docs").when(k % 5 == 3, ".hidden").otherwise("build")
-    name = F.when(k % 7 == 0, "__init__.py").when(k % 7 == 1, "test_a.py").when(k % 7 == 2, "conftest.py").when(k % 7 == 3, "test_b_agent_rewrite.py").otherwise(F.concat(F.lit("mod"), size, F.lit(".py")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", F.lit("r"), folder, name).alias("path"), F.when(k % 11 == 0, "  ").otherwise(F.col("p_name")).alias("content"))
+    name = F.when(k % 7 == 0, "__init__.py").when(k % 7 == 1, "test_a.py").when(k % 7 == 2, "conftest.py").when(k % 7 == 3, "test_b_agent_rewrite.py").otherwise(
+        F.concat(F.lit("mod"), size, F.lit(".py"))
+    )
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat_ws("/", F.lit("r"), folder, name).alias("path"),
+        F.when(k % 11 == 0, "  ").otherwise(F.col("p_name")).alias("content")
+    )
 
 
 @query(
@@ -182,7 +222,10 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which files a retrieval corpus, a candidate pool, a search for tests and one for rewrites take."""
     files = _paths(spark, sf_dir)
-    parts = {"corpus": records.corpus_sources(files), "pool": records.pool_sources(files), "test": records.test_sources(files), "rewrite": records.rewritten_sources(files).withColumn("path", F.col("original_path"))}
+    parts = {
+        "corpus": records.corpus_sources(files), "pool": records.pool_sources(files), "test": records.test_sources(files),
+        "rewrite": records.rewritten_sources(files).withColumn("path", F.col("original_path"))
+    }
     out = None
     for kind, df in parts.items():
         part = df.select("p_partkey", "path", F.lit(kind).alias("kind"))
@@ -190,7 +233,9 @@ def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("SELECT n_name || '/test_' || lower(n_name) || '.py' AS path, '# ' || n_name || chr(10) || 'x = ' || n_nationkey || chr(10) AS content FROM nation")
+@query(
+    "SELECT n_name || '/test_' || lower(n_name) || '.py' AS path, '# ' || n_name || chr(10) || 'x = ' || n_nationkey || chr(10) AS content FROM nation"
+)
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole source files below a folder; other files there are passed over."""
     root = scratch.scratch_folder(spark, "sources")
@@ -214,12 +259,20 @@ def instrumented_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assertion with the known truth gives way to a printer; other assertions stay."""
     fourth, truth = F.col("p_partkey") % 4, (F.col("p_size") + 1).cast("string")
     cls = F.when(fourth == 0, "TestP")
-    body = lambda pad: F.concat(F.lit(f"{pad}def test_a(self):\n{pad}    assert g(1) == 0\n{pad}    with x:\n{pad}        assert f(2) == "), truth, F.lit("\n"))
+    body = lambda pad: F.concat(
+        F.lit(f"{pad}def test_a(self):\n{pad}    assert g(1) == 0\n{pad}    with x:\n{pad}        assert f(2) == "), truth,
+        F.lit("\n")
+    )
     source = F.when(fourth == 0, F.concat(F.lit("class TestP:\n"), body("    "))).otherwise(body(""))
     wanted = F.when(fourth == 2, "'no such truth'").otherwise(truth)
     out = python_source.truth_printed(source, cls, F.lit("test_a"), wanted)
     marked = out.contains("---GT_START---") & out.contains("---GT_END---") & ~out.contains("assert f(2)")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("task_id"), F.coalesce(marked, F.lit(False)).alias("found"), (F.coalesce(out, F.lit("")).startswith("class")).alias("in_class"), F.regexp_extract(out, r"lambda: \d+\)", 0).alias("recorded"), F.regexp_extract(out, r"assert g\(1\) == 0", 0).alias("other")).withColumns({c: F.when(F.col("found"), F.col(c)) for c in ("recorded", "other")})
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("task_id"), F.coalesce(marked, F.lit(False)).alias("found"),
+        (F.coalesce(out, F.lit("")).startswith("class")).alias("in_class"),
+        F.regexp_extract(out, r"lambda: \d+\)", 0).alias("recorded"),
+        F.regexp_extract(out, r"assert g\(1\) == 0", 0).alias("other")
+    ).withColumns({c: F.when(F.col("found"), F.col(c)) for c in ("recorded", "other")})
 
 
 @query(
@@ -241,15 +294,27 @@ def instrumented_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def project_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probelake.operators import context
 
-    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("reponame"), F.concat(F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), F.col("p_size").cast("string"), F.lit(".py")).alias("path"))
-    more = part.select("reponame", F.explode(F.array(*[F.lit(x) for x in ("out/x.py", "a.tmp", "Zeta.py", "alpha.py")])).alias("path"))
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("reponame"),
+        F.concat(
+            F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("/"), F.col("p_size").cast("string"), F.lit(".py")
+        ).alias("path")
+    )
+    more = part.select(
+        "reponame", F.explode(F.array(*[F.lit(x) for x in ("out/x.py", "a.tmp", "Zeta.py", "alpha.py")])).alias("path")
+    )
     return context.project_trees(part.unionByName(more).distinct(), limit=1_000_000)
 
 
-@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS reponame FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query(
+    "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS reponame FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
+)
 def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     requested = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("reponame"))
-    return keys.missing_names(requested, table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("reponame")))
+    return keys.missing_names(
+        requested,
+        table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("reponame"))
+    )
 
 
 # texts that operators take apart: the SQL takes the same texts apart by its own expressions
@@ -293,9 +358,15 @@ def list_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     more = F.when(F.col("p_partkey") % 3 == 0, "```file:b.py\nx\n```\n```bash\npwd\n```").otherwise(F.col("p_name"))
-    text = F.concat(F.lit("do\n```file: a"), size, F.lit(".py \n"), "p_type", F.lit("\n```\n```bash\n# note\n  "), "p_brand", F.lit("\n\nls -l\n```\n"), more)
+    text = F.concat(
+        F.lit("do\n```file: a"), size, F.lit(".py \n"), "p_type", F.lit("\n```\n```bash\n# note\n  "), "p_brand",
+        F.lit("\n\nls -l\n```\n"), more
+    )
     first = T.first_file_block(text)
-    return table(spark, sf_dir, "part").select("p_partkey", first["filename"].alias("first_name"), first["content"].alias("first_content"), F.size(T.file_blocks(text)).cast("long").alias("n_files"), F.array_join(T.shell_commands(text), ",").alias("commands"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", first["filename"].alias("first_name"), first["content"].alias("first_content"),
+        F.size(T.file_blocks(text)).cast("long").alias("n_files"), F.array_join(T.shell_commands(text), ",").alias("commands")
+    )
 
 
 _LOGS = """
@@ -315,11 +386,18 @@ _LOGS = """
 )
 def status_and_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
-    text = F.when(k % 5 == 0, "a\n```status\n FAILED \n```\n```status\nsuccess\n```").when(k % 5 == 1, "```status\nSuccess\n```").otherwise(F.col("event_type"))
-    out = F.when(k % 7 == 0, "collected 3 items\nFAILED t.py ERROR").when(k % 7 == 1, "ERROR collecting t.py").when(k % 7 == 2, "== 3 passed in 1s").when(k % 7 == 3, "= no tests ran").otherwise(F.col("props"))
+    text = F.when(
+        k % 5 == 0, "a\n```status\n FAILED \n```\n```status\nsuccess\n```"
+    ).when(k % 5 == 1, "```status\nSuccess\n```").otherwise(F.col("event_type"))
+    out = F.when(
+        k % 7 == 0, "collected 3 items\nFAILED t.py ERROR"
+    ).when(k % 7 == 1, "ERROR collecting t.py").when(k % 7 == 2, "== 3 passed in 1s").when(k % 7 == 3, "= no tests ran").otherwise(F.col("props"))
     err = F.when(k % 4 == 0, "Timeout >60s").when(k % 4 == 1, "ImportError: x").otherwise("")
     command = F.when(F.col("user_id") % 5 == 0, "ls").otherwise("pytest -q")
-    return table(spark, sf_dir, "events").select("event_id", T.status_marker(text).alias("status"), T.failure_class((k % 3).cast("int"), out, err).alias("outcome"), T.setup_complete(command, out, err).alias("setup_done"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", T.status_marker(text).alias("status"), T.failure_class((k % 3).cast("int"), out, err).alias("outcome"),
+        T.setup_complete(command, out, err).alias("setup_done")
+    )
 
 
 @query(
@@ -332,9 +410,15 @@ def literal_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers, floats of them, sets in any order, texts in either quotes, lists against tuples, and booleans against numbers."""
     q, p, form = F.col("l_quantity").cast("long").cast("string"), (F.col("l_partkey") % 60).cast("string"), F.col("l_linenumber") % 6
     of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-    said = F.when(form == 0, of(q, ".0")).when(form == 1, of(" ", q)).when(form == 2, of("{'a', ", q, "}")).when(form == 3, of('"', q, '"')).when(form == 4, of("[", q, "]")).otherwise(F.when(F.col("l_quantity").cast("long") % 2 == 1, "True").otherwise("0"))
-    true = F.when(form < 2, p).when(form == 2, of("{", q, ', "a"}')).when(form == 3, of("'", p, "'")).when(form == 4, of("(", q, ",)")).otherwise((F.col("l_partkey") % 60 % 2).cast("string"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", python_values.matches_any(said, F.array(F.lit("'other'"), true)).alias("correct"))
+    said = F.when(form == 0, of(q, ".0")).when(form == 1, of(" ", q)).when(form == 2, of("{'a', ", q, "}")).when(form == 3, of('"', q, '"')).when(form == 4, of("[", q, "]")).otherwise(
+        F.when(F.col("l_quantity").cast("long") % 2 == 1, "True").otherwise("0")
+    )
+    true = F.when(form < 2, p).when(form == 2, of("{", q, ', "a"}')).when(form == 3, of("'", p, "'")).when(form == 4, of("(", q, ",)")).otherwise(
+        (F.col("l_partkey") % 60 % 2).cast("string")
+    )
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", python_values.matches_any(said, F.array(F.lit("'other'"), true)).alias("correct")
+    )
 
 
 @query(
@@ -347,11 +431,18 @@ def runtime_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole numbers, approximations, texts, nothing, tuples and lists, of successful and failed runs."""
     q, form = F.col("l_quantity").cast("long"), F.col("l_partkey") % 6
     text, more = q.cast("string"), (q + 1).cast("string")
-    kind = F.when(form == 0, "<class 'numpy.int64'>").when(form == 1, "<class '_pytest.python_api.ApproxScalar'>").when(form == 2, "<class 'str'>").when(form == 3, "<class 'NoneType'>").when(form == 4, "<class 'tuple'>").otherwise("<class 'list'>")
-    value = F.when(form == 2, F.concat(F.lit('"'), text, F.lit('"'))).when(form == 3, "null").when(form == 4, F.concat(F.lit("["), text, F.lit(", "), more, F.lit("]"))).when(form == 5, F.concat(F.lit("["), text, F.lit(', "a"]'))).otherwise(text)
+    kind = F.when(form == 0, "<class 'numpy.int64'>").when(
+        form == 1, "<class '_pytest.python_api.ApproxScalar'>"
+    ).when(form == 2, "<class 'str'>").when(form == 3, "<class 'NoneType'>").when(form == 4, "<class 'tuple'>").otherwise("<class 'list'>")
+    value = F.when(form == 2, F.concat(F.lit('"'), text, F.lit('"'))).when(form == 3, "null").when(
+        form == 4, F.concat(F.lit("["), text, F.lit(", "), more, F.lit("]"))
+    ).when(form == 5, F.concat(F.lit("["), text, F.lit(', "a"]'))).otherwise(text)
     status = F.when(F.col("l_returnflag") == "R", "failure").otherwise("success")
     original = F.concat(F.lit("pytest.approx("), text, F.lit(", rel=1)"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(python_values.truths_of_runtime(status, value, kind, original), "|").alias("truths"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.array_join(python_values.truths_of_runtime(status, value, kind, original), "|").alias("truths")
+    )
 
 
 #: Six assertions a source; which of them are tasks, and their scores, follow from the table of weights.
@@ -376,14 +467,23 @@ _ASSERTS = """
 )
 def extract_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of six assertions of different kinds."""
-    s, v, of = F.col("p_size").cast("string"), (F.col("p_size") + 10).cast("string"), lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    s, v, of = F.col("p_size").cast("string"), (F.col("p_size") + 10).cast("string"), lambda *parts: F.concat(
+        *[F.lit(x) if isinstance(x, str) else x for x in parts]
+    )
     third = F.when(F.col("p_size") % 2 == 0, "1").otherwise(of("[", s, ", 2]"))
     fifth = F.when(F.col("p_size") % 3 == 0, "'yes'").otherwise(of("{'a': ", s, "}"))
     pad = "\n    assert "
-    source = of("import os\nclass TestPart:\n  def test_", F.col("p_partkey").cast("string"), "(self):", pad, "size(", s, ") == ", v, pad, "x == '", v, "'", pad, "a.b[", s, "] == ", third, pad, "n + ", s, " == -1", pad, "d(k=", s, ") == ", fifth, pad, "y.z > 3\n")
+    source = of(
+        "import os\nclass TestPart:\n  def test_", F.col("p_partkey").cast("string"), "(self):", pad, "size(", s, ") == ", v,
+        pad, "x == '", v, "'", pad, "a.b[", s, "] == ", third, pad, "n + ", s, " == -1", pad, "d(k=", s, ") == ", fifth, pad,
+        "y.z > 3\n"
+    )
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("testpath"), source.alias("content"))
     tasks = python_source.extract_tasks(files, partitions=spark.sparkContext.defaultParallelism)
-    return tasks.select("testpath", "ordinal", "classname", "funcname", "ground_truth", "masked_code", F.col("quality_analysis.complexity_score").alias("complexity_score"))
+    return tasks.select(
+        "testpath", "ordinal", "classname", "funcname", "ground_truth", "masked_code",
+        F.col("quality_analysis.complexity_score").alias("complexity_score")
+    )
 
 
 @query(
@@ -396,13 +496,18 @@ def extract_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function at module level, one in a class, and one that is not there; a hook and another function."""
     size, third = F.col("p_size").cast("string"), F.col("p_partkey") % 3
-    plain, inside = F.concat(F.lit("x = "), size, F.lit("\ndef test_a():\n    pass\n")), F.concat(F.lit("class A:\n    def test_a(self):\n        pass\n    y = "), size)
+    plain, inside = F.concat(F.lit("x = "), size, F.lit("\ndef test_a():\n    pass\n")), F.concat(
+        F.lit("class A:\n    def test_a(self):\n        pass\n    y = "), size
+    )
     source = F.when(third == 1, inside).otherwise(plain)
     cls, name = F.when(third == 1, "A"), F.when(third == 2, "test_b").otherwise("test_a")
     new = F.concat(F.lit("def test_a():\n    return "), (F.col("p_size") + 1).cast("string"))
     hook = F.when(F.col("p_partkey") % 2 == 0, "pytest_sessionfinish").otherwise("other")
     hooks = F.concat(F.lit("def "), hook, F.lit("(s):\n    a()\n\n    b()\ny = "), size)
-    return table(spark, sf_dir, "part").select("p_partkey", python_source.function_replaced(source, cls, name, new).alias("replaced"), python_source.hooks_neutralized(hooks).alias("neutral"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", python_source.function_replaced(source, cls, name, new).alias("replaced"),
+        python_source.hooks_neutralized(hooks).alias("neutral")
+    )
 
 
 __all__ = ["rounded"]

@@ -57,11 +57,19 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """
 )
 def set_metrics_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    li = table(spark, sf_dir, "lineitem").join(
+        table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
+    ).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     part, half = (F.col("l_partkey") % 20).cast("string"), (F.col("o_orderstatus") == "O").cast("int")
-    sets = li.groupBy("c_custkey", "c_mktsegment").agg(F.collect_set(F.when(half == 0, part)).alias("t"), F.collect_set(F.when(half == 1, part)).alias("p"))
-    scored = sets.select(F.col("c_mktsegment").alias("ratio"), scores.set_metrics(F.col("p"), F.col("t")).alias("m")).select("ratio", "m.*")
-    out = scored.groupingSets([["ratio"], []], "ratio").agg(*[F.avg(m).alias(m) for m in evaluation.METRICS], F.count(F.lit(1)).alias("num_tasks"))
+    sets = li.groupBy("c_custkey", "c_mktsegment").agg(
+        F.collect_set(F.when(half == 0, part)).alias("t"), F.collect_set(F.when(half == 1, part)).alias("p")
+    )
+    scored = sets.select(
+        F.col("c_mktsegment").alias("ratio"), scores.set_metrics(F.col("p"), F.col("t")).alias("m")
+    ).select("ratio", "m.*")
+    out = scored.groupingSets([["ratio"], []], "ratio").agg(
+        *[F.avg(m).alias(m) for m in evaluation.METRICS], F.count(F.lit(1)).alias("num_tasks")
+    )
     return rounded(out)
 
 
@@ -77,8 +85,13 @@ def set_metrics_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def pass_at_k_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("c"))
-    judged = per.select(F.lit("m").alias("mode"), F.lit("c").alias("condition"), F.col("event_type").alias("difficulty"), evaluation.pass_map(F.col("n"), F.col("c")).alias("pass_at_k"))
+    per = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("c")
+    )
+    judged = per.select(
+        F.lit("m").alias("mode"), F.lit("c").alias("condition"), F.col("event_type").alias("difficulty"),
+        evaluation.pass_map(F.col("n"), F.col("c")).alias("pass_at_k")
+    )
     return rounded(evaluation.output_summary(judged).select("difficulty", "k", "pass_at_k", "problems"))
 
 
@@ -91,12 +104,16 @@ def pass_at_k_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def align_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("task_id"), F.col("o_orderkey").cast("string").alias("testpath"), F.lit("r").alias("reponame"), F.col("o_custkey").cast("string").alias("testname"),
-        F.lit(None).cast("string").alias("classname"), F.lit("f").alias("funcname"), "o_orderstatus", "o_orderdate", "o_orderkey", "o_totalprice",
-    )
+        F.col("o_orderkey").cast("string").alias("task_id"), F.col("o_orderkey").cast("string").alias("testpath"),
+        F.lit("r").alias("reponame"), F.col("o_custkey").cast("string").alias("testname"),
+        F.lit(None).cast("string").alias("classname"), F.lit("f").alias("funcname"), "o_orderstatus", "o_orderdate",
+        "o_orderkey", "o_totalprice",
+    )
     open_ = F.col("o_orderstatus") == "O"
     _, rewrite = keys.aligned(o.where(open_), o.where(~open_), ["o_orderdate", "o_orderkey"])
-    return rewrite.select("task_id", "testpath", "testname", F.col("o_orderkey").alias("own_key"), F.round("o_totalprice", 2).alias("price"))
+    return rewrite.select(
+        "task_id", "testpath", "testname", F.col("o_orderkey").alias("own_key"), F.round("o_totalprice", 2).alias("price")
+    )
 
 
 _DEDUP = "SELECT user_id, event_type, {f}(event_id) AS event_id, arg_{f}(value, event_id) AS value FROM events GROUP BY ALL"
@@ -114,7 +131,9 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.first_per_key(e, ["user_id", "event_type"], ["event_id"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+@query(
+    "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')"
+)
 def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return keys.remaining(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
@@ -137,8 +156,15 @@ def common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def difficulty_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'A'")
-    deps = li.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("file"), F.col("l_linenumber").alias("hops"))).alias("dependencies"))
-    levels = deps.select(F.lit("r").alias("reponame"), F.col("l_orderkey").alias("funcname"), scores.difficulty(F.col("dependencies")).alias("difficulty"))
+    deps = li.groupBy("l_orderkey").agg(
+        F.collect_list(
+            F.struct(F.col("l_partkey").cast("string").alias("file"), F.col("l_linenumber").alias("hops"))
+        ).alias("dependencies")
+    )
+    levels = deps.select(
+        F.lit("r").alias("reponame"), F.col("l_orderkey").alias("funcname"),
+        scores.difficulty(F.col("dependencies")).alias("difficulty")
+    )
     tasks = table(spark, sf_dir, "orders").select(F.lit("r").alias("reponame"), F.col("o_orderkey").alias("funcname"))
     return keys.with_difficulty(tasks, levels).select(F.col("funcname").alias("o_orderkey"), "difficulty")
 
@@ -150,7 +176,9 @@ def difficulty_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def min_hop_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").cast("string").alias("file"), F.col("l_linenumber").alias("hops"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.col("l_partkey").cast("string").alias("file"), F.col("l_linenumber").alias("hops")
+    )
     text = F.array_join(F.transform("dependencies", lambda d: F.concat_ws(":", d["hops"].cast("string"), d["file"])), ",")
     return keys.min_hop_rollup(li, ["l_suppkey"]).select("l_suppkey", text.alias("dependencies"))
 
@@ -175,10 +203,15 @@ _BM25 = f"""
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("reponame"), F.col("doc_id").cast("string").alias("path"), T.space_tokens(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("reponame"), F.col("doc_id").cast("string").alias("path"),
+        T.space_tokens(F.col("text")).alias("tokens")
+    )
     # languages are a handful of repositories
     repos = sorted(r["reponame"] for r in docs.select("reponame").distinct().collect() if r["reponame"] is not None)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), T.space_tokens(F.col("text")).alias("tokens"))
+    asked = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query"), T.space_tokens(F.col("text")).alias("tokens")
+    )
     return docs, asked.withColumn("reponame", F.explode(F.array(*[F.lit(r) for r in repos])))
 
 
@@ -201,11 +234,23 @@ def _supplier_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     from pyspark.sql import Window
 
     li = table(spark, sf_dir, "lineitem")
-    tasks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("task_id"), F.col("s_nationkey").cast("string").alias("reponame"), F.concat("s_name", F.lit("[p0]")).alias("funcname"))
+    tasks = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("task_id"), F.col("s_nationkey").cast("string").alias("reponame"),
+        F.concat("s_name", F.lit("[p0]")).alias("funcname")
+    )
     total = li.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
     w = Window.partitionBy("l_suppkey").orderBy(F.desc("q"), F.col("l_partkey").cast("string"))
-    ranks = total.select(F.col("l_suppkey").cast("string").alias("task_id"), F.col("l_partkey").cast("string").alias("path"), F.row_number().over(w).alias("rank"))
-    deps = keys.min_hop_rollup(li.select(F.col("l_suppkey").cast("string").alias("task_id"), F.col("l_partkey").cast("string").alias("file"), F.col("l_linenumber").alias("hops")), ["task_id"])
+    ranks = total.select(
+        F.col("l_suppkey").cast("string").alias("task_id"), F.col("l_partkey").cast("string").alias("path"),
+        F.row_number().over(w).alias("rank")
+    )
+    deps = keys.min_hop_rollup(
+        li.select(
+            F.col("l_suppkey").cast("string").alias("task_id"), F.col("l_partkey").cast("string").alias("file"),
+            F.col("l_linenumber").alias("hops")
+        ),
+        ["task_id"]
+    )
     report = deps.join(tasks, "task_id").select("reponame", T.bare_name(F.col("funcname")).alias("funcname"), "dependencies")
     return tasks, ranks, report
 
@@ -225,7 +270,9 @@ _SELECTED = """
     """
 )
 def selection_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.selection(*_supplier_ranks(spark, sf_dir), modes=("retrieval", "oracle")).select("mode", "task_id", "path", "position")
+    return retrieval.selection(
+        *_supplier_ranks(spark, sf_dir), modes=("retrieval", "oracle")
+    ).select("mode", "task_id", "path", "position")
 
 
 @query(f"{_SELECTED} SELECT task_id, path, CAST(k AS INTEGER) AS position FROM p WHERE i > 20 AND k <= 20")
@@ -233,17 +280,23 @@ def confusion_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.selection(*_supplier_ranks(spark, sf_dir), modes=("confusion",)).select("task_id", "path", "position")
 
 
-@query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 20")
+@query(
+    "SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 20"
+)
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.seeded_sample(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 20)
 
 
-@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) WHERE i <= 5")
+@query(
+    "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) WHERE i <= 5"
+)
 def cap_per_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.capped(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], 5)
 
 
-@query("SELECT o_custkey || '_' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) AS task_id, o_orderkey FROM orders")
+@query(
+    "SELECT o_custkey || '_' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) AS task_id, o_orderkey FROM orders"
+)
 def task_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("reponame"), "o_orderdate", "o_orderkey")
     return keys.task_ids(o, ["o_orderdate", "o_orderkey"]).select("task_id", "o_orderkey")
@@ -256,7 +309,9 @@ def task_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def base_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("reponame"), F.col("user_id").cast("string").alias("testpath"), "event_id")
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("reponame"), F.col("user_id").cast("string").alias("testpath"), "event_id"
+    )
     return keys.base_tasks(e, ["event_id"], 50)
 
 
@@ -271,7 +326,9 @@ def fence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
     third = F.col("turn") % 3
-    made = F.when(third == 0, F.concat(F.lit("x\n```output\n"), flat, F.lit("\n```\n```output\ny\n```"))).when(third == 1, "```output\n```").otherwise("no fence")
+    made = F.when(
+        third == 0, F.concat(F.lit("x\n```output\n"), flat, F.lit("\n```\n```output\ny\n```"))
+    ).when(third == 1, "```output\n```").otherwise("no fence")
     return c.select("conv_id", "turn", T.answer(made).alias("answer"))
 
 
@@ -286,13 +343,19 @@ def fence_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     n = table(spark, sf_dir, "part").select(
-        "p_partkey", F.concat(F.col("p_brand"), F.lit("::"), F.col("p_type"), F.lit("::test_"), size, F.lit("["), F.col("p_brand"), F.lit("::x]")).alias("a"), F.concat(F.lit("test_"), size, F.lit("[q]y")).alias("b")
-    )
+        "p_partkey",
+        F.concat(
+            F.col("p_brand"), F.lit("::"), F.col("p_type"), F.lit("::test_"), size, F.lit("["), F.col("p_brand"), F.lit("::x]")
+        ).alias("a"),
+        F.concat(F.lit("test_"), size, F.lit("[q]y")).alias("b")
+    )
     a, b = F.col("a"), F.col("b")
     return n.select(
-        "p_partkey", T.bare_name(a).alias("bare"), T.bare_name_before_bracket(a).alias("before"), T.bare_name(b).alias("bare_b"), T.bare_name_before_bracket(b).alias("before_b"),
-        T.node_id_parts(a)["test_file"].alias("test_file"), T.node_id_parts(a)["test_function"].alias("test_function"), T.slug(a).alias("slug"),
-    )
+        "p_partkey", T.bare_name(a).alias("bare"), T.bare_name_before_bracket(a).alias("before"),
+        T.bare_name(b).alias("bare_b"), T.bare_name_before_bracket(b).alias("before_b"),
+        T.node_id_parts(a)["test_file"].alias("test_file"), T.node_id_parts(a)["test_function"].alias("test_function"),
+        T.slug(a).alias("slug"),
+    )
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -310,8 +373,13 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("reponame")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    analysis = F.when(F.col("quality").isNotNull(), F.struct(F.lit(1).alias("complexity_score"), (F.col("quality") == 1).alias("is_quality"), F.lit("r").alias("reason")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("reponame")).join(
+        table(spark, sf_dir, "labels"), "doc_id", "left"
+    )
+    analysis = F.when(
+        F.col("quality").isNotNull(),
+        F.struct(F.lit(1).alias("complexity_score"), (F.col("quality") == 1).alias("is_quality"), F.lit("r").alias("reason"))
+    )
     return rounded(reports.quality_by_repo(docs.select("reponame", analysis.alias("quality_analysis"))))
 
 
@@ -322,11 +390,17 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
-    tasks = table(spark, sf_dir, "labels").select(F.struct(F.lit(1).alias("complexity_score"), (F.col("quality") == 1).alias("is_quality"), reason.alias("reason")).alias("quality_analysis"))
+    tasks = table(spark, sf_dir, "labels").select(
+        F.struct(
+            F.lit(1).alias("complexity_score"), (F.col("quality") == 1).alias("is_quality"), reason.alias("reason")
+        ).alias("quality_analysis")
+    )
     return reports.reason_histogram(tasks)
 
 
-@query("SELECT event_type AS type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6) AS percent FROM events GROUP BY ALL")
+@query(
+    "SELECT event_type AS type, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM events), 6) AS percent FROM events GROUP BY ALL"
+)
 def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.struct(F.col("event_type").alias("type")).alias("runtime_ground_truth"))
     return rounded(reports.type_histogram(e))
@@ -340,12 +414,19 @@ def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def membership_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(keys.kept_and_discarded(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"], ["source"]))
+    return rounded(
+        keys.kept_and_discarded(
+            table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"], ["source"]
+        )
+    )
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def membership_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.members(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").where("quality = 1"), ["doc_id"])
+    return keys.members(
+        table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels").where("quality = 1"),
+        ["doc_id"]
+    )
 
 
 @query(
@@ -356,7 +437,10 @@ def membership_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def truth_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_ = F.col("o_orderstatus") == "O"
-    a = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(F.when(open_, F.col("o_orderpriority"))).alias("x"), F.collect_set(F.when(~open_, F.col("o_orderpriority"))).alias("y"))
+    a = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.collect_set(F.when(open_, F.col("o_orderpriority"))).alias("x"),
+        F.collect_set(F.when(~open_, F.col("o_orderpriority"))).alias("y")
+    )
     return a.select("o_custkey", F.array_join(keys.merged_truths(F.col("x"), F.col("y")), ",").alias("truths"))
 
 
@@ -367,9 +451,14 @@ def truth_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def budget_pack_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("o"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("o")
+    )
     costs = F.transform("o", lambda x: x["o_totalprice"])
-    return o.select("o_custkey", F.array_join(F.transform(context.additive_fold(costs, F.lit(500000.0)), lambda i: i.cast("string")), ",").alias("taken"))
+    return o.select(
+        "o_custkey",
+        F.array_join(F.transform(context.additive_fold(costs, F.lit(500000.0)), lambda i: i.cast("string")), ",").alias("taken")
+    )
 
 
 @query(
@@ -399,8 +488,12 @@ def chat_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def remaining_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") - 1).alias("sample_id"))
-    return keys.remaining(keys.with_samples(table(spark, sf_dir, "orders").select("o_orderkey")), done, ["o_orderkey", "sample_id"])
+    done = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linenumber") - 1).alias("sample_id")
+    )
+    return keys.remaining(
+        keys.with_samples(table(spark, sf_dir, "orders").select("o_orderkey")), done, ["o_orderkey", "sample_id"]
+    )
 
 
 @query(
@@ -423,7 +516,9 @@ def phase_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def align_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").withColumn("reponame", F.col("c_nationkey").cast("string"))
-    return keys.align_totals(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment = 'MACHINERY'"), c.where("c_acctbal < 0"))
+    return keys.align_totals(
+        c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment = 'MACHINERY'"), c.where("c_acctbal < 0")
+    )
 
 
 @query(
@@ -436,11 +531,22 @@ def negative_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probelake.operators import prompts
 
     # a nation stands for a repository; every part belongs to one
-    tests = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("reponame"), F.col("s_suppkey").cast("string").alias("test_file"))
+    tests = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("reponame"), F.col("s_suppkey").cast("string").alias("test_file")
+    )
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    deps = li.groupBy("l_suppkey").agg(F.collect_list(F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("file"), F.lit(1).alias("hops"))).alias("dependencies"))
-    chains = deps.withColumn("test_file", F.col("l_suppkey").cast("string")).join(tests, "test_file").select("reponame", "test_file", "dependencies")
-    pool = table(spark, sf_dir, "part").select((F.col("p_partkey") % 25).cast("string").alias("reponame"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path"))
+    deps = li.groupBy("l_suppkey").agg(
+        F.collect_list(
+            F.struct(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("file"), F.lit(1).alias("hops"))
+        ).alias("dependencies")
+    )
+    chains = deps.withColumn(
+        "test_file", F.col("l_suppkey").cast("string")
+    ).join(tests, "test_file").select("reponame", "test_file", "dependencies")
+    pool = table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") % 25).cast("string").alias("reponame"),
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("path")
+    )
     _, negative = prompts.candidate_files(tests, chains, pool)
     return negative.groupBy("reponame", "test_file").agg(F.count(F.lit(1)).alias("negative"))
 
@@ -455,13 +561,16 @@ def negative_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
-    text = F.when(F.col("p_size") > 25, F.concat(F.col("p_brand"), F.lit(" "), size, F.lit("\n"), F.col("p_brand"))).otherwise(F.concat(F.col("p_brand"), F.lit(" "), size))
+    text = F.when(
+        F.col("p_size") > 25, F.concat(F.col("p_brand"), F.lit(" "), size, F.lit("\n"), F.col("p_brand"))
+    ).otherwise(F.concat(F.col("p_brand"), F.lit(" "), size))
     total = F.col("p_size") * 100
     parts = scores.split_budget(total, F.lit(0.25))
     budget = scores.context_budget(total, F.lit(40), F.lit(5), F.lit(6), F.lit(7))
     return table(spark, sf_dir, "part").select(
-        "p_partkey", python_values.token_truncate(text, 3).alias("text"), python_values.token_count(text).alias("tokens"), parts["positive"].alias("positive"), parts["negative"].alias("negative"), budget.alias("budget")
-    )
+        "p_partkey", python_values.token_truncate(text, 3).alias("text"), python_values.token_count(text).alias("tokens"),
+        parts["positive"].alias("positive"), parts["negative"].alias("negative"), budget.alias("budget")
+    )
 
 
 @query(
@@ -472,7 +581,9 @@ def token_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     back = F.replace(url, F.lit("/"), F.lit("\\"))
-    return table(spark, sf_dir, "pages").select("page_id", T.base_name(T.posix(back)).alias("name"), back.alias("back"), T.rewritten_name(url).alias("rewritten"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", T.base_name(T.posix(back)).alias("name"), back.alias("back"), T.rewritten_name(url).alias("rewritten")
+    )
 
 
 @query(
@@ -482,4 +593,9 @@ def path_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def difficulty_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return reports.difficulty_counts(o.select(F.col("o_custkey").alias("reponame"), F.col("o_orderstatus").alias("difficulty"), F.col("o_orderpriority").alias("testpath"), (F.col("o_orderkey") % 3).alias("funcname")))
+    return reports.difficulty_counts(
+        o.select(
+            F.col("o_custkey").alias("reponame"), F.col("o_orderstatus").alias("difficulty"),
+            F.col("o_orderpriority").alias("testpath"), (F.col("o_orderkey") % 3).alias("funcname")
+        )
+    )

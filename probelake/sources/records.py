@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from probelake.functions import text as T
 
 # Directories and names that a retrieval corpus leaves out (case ignored).
-CORPUS_DIRECTORIES = ["venv", "node_modules", "build", "dist", "site-packages", "tests", "test", "testing", ".venv", ".git", ".hg", "docs", "examples", "samples", "scripts"]
+CORPUS_DIRECTORIES = [
+    "venv", "node_modules", "build", "dist", "site-packages", "tests", "test", "testing", ".venv", ".git", ".hg", "docs",
+    "examples", "samples", "scripts"
+]
 CORPUS_FILES = ["__init__.py", "setup.py", "conftest.py"]
 # The same for a candidate pool (case kept; any hidden directory goes too).
 POOL_DIRECTORIES = [".venv", ".git", "docs", "examples", "__pycache__", "tests", "test"]
@@ -47,7 +50,9 @@ def _present(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-def read_records(spark: SparkSession, paths: str | list[str], schema: str, bad_lines: str = "skip", recursive: bool = False) -> DataFrame:
+def read_records(
+    spark: SparkSession, paths: str | list[str], schema: str, bad_lines: str = "skip", recursive: bool = False
+) -> DataFrame:
     """JSON lines under an explicit schema, with their ``path``.
 
     ``bad_lines``: ``skip`` drops malformed lines, ``keep`` leaves them as rows whose
@@ -65,7 +70,9 @@ def read_records(spark: SparkSession, paths: str | list[str], schema: str, bad_l
         reader = reader.option("pathGlobFilter", "*.jsonl")
     if bad_lines == "keep":  # a plain scan refuses to read nothing but the malformed lines
         options = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"}
-        lines = reader.text(there).where("trim(value) <> ''").select(F.from_json("value", full, options).alias("r"), path_of_row().alias("path"))
+        lines = reader.text(there).where("trim(value) <> ''").select(
+            F.from_json("value", full, options).alias("r"), path_of_row().alias("path")
+        )
         return lines.select("r.*", "path")
     return reader.schema(full).option("mode", mode).json(there).select("*", path_of_row().alias("path"))
 
@@ -80,8 +87,12 @@ def read_ordered_records(spark: SparkSession, paths: str | list[str], schema: st
     paths = _present(spark, [paths] if isinstance(paths, str) else paths)
     if not paths:
         return spark.createDataFrame([], schema + ", path string, line_no int")
-    lines = spark.read.text(paths, wholetext=True).select(path_of_row().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    parsed = lines.select("path", "line_no", F.from_json("line", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r")).where("r IS NOT NULL AND r._corrupt_record IS NULL")
+    lines = spark.read.text(paths, wholetext=True).select(
+        path_of_row().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")
+    )
+    parsed = lines.select(
+        "path", "line_no", F.from_json("line", schema + ", _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r")
+    ).where("r IS NOT NULL AND r._corrupt_record IS NULL")
     names = [f.name for f in spark.createDataFrame([], schema).schema]
     some = F.lit(False)
     for n in names:
@@ -102,7 +113,9 @@ def read_sources(spark: SparkSession, root: str, name_glob: str = "*.py") -> Dat
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name_glob).text(root, wholetext=True)
     full = F.regexp_replace(path_of_row(), r"^file:/+", "/")
-    return files.select(F.regexp_replace(full, "^.*?" + _regex_quote(root.rstrip("/")) + "/", "").alias("path"), F.col("value").alias("content"))
+    return files.select(
+        F.regexp_replace(full, "^.*?" + _regex_quote(root.rstrip("/")) + "/", "").alias("path"), F.col("value").alias("content")
+    )
 
 
 def _regex_quote(text: str) -> str:
@@ -115,7 +128,11 @@ def directory_of(path: Column) -> Column:
 
 def test_sources(files: DataFrame) -> DataFrame:
     """Files named ``test_*.py`` outside pruned directories."""
-    return files.where(F.regexp_like(T.base_name(F.col("path")), F.lit(r"^test_.*\.py$")) & ~T.excluded_path(directory_of(F.col("path")), TEST_PRUNED, lower=False))
+    return files.where(
+        F.regexp_like(T.base_name(F.col("path")), F.lit(r"^test_.*\.py$")) & ~T.excluded_path(
+            directory_of(F.col("path")), TEST_PRUNED, lower=False
+        )
+    )
 
 
 def rewritten_sources(files: DataFrame) -> DataFrame:
@@ -133,7 +150,9 @@ def pool_sources(files: DataFrame) -> DataFrame:
     """Candidate pool: case-sensitive directories, any hidden one, and package files excluded."""
     where = directory_of(F.col("path"))
     hidden = F.exists(F.split(where, "/"), lambda p: p.startswith("."))
-    return files.where(~T.excluded_path(where, POOL_DIRECTORIES, lower=False) & ~hidden & ~T.base_name(F.col("path")).isin(POOL_FILES))
+    return files.where(
+        ~T.excluded_path(where, POOL_DIRECTORIES, lower=False) & ~hidden & ~T.base_name(F.col("path")).isin(POOL_FILES)
+    )
 
 
 def repos_with_reports(reports: DataFrame, sources: DataFrame) -> DataFrame:
@@ -141,7 +160,9 @@ def repos_with_reports(reports: DataFrame, sources: DataFrame) -> DataFrame:
     return reports.select("reponame").distinct().join(sources.select("reponame").distinct(), "reponame", "left_semi")
 
 
-def write_records(df: DataFrame, path: str, by: tuple[str, ...] = ("reponame",), fmt: str = "json", mode: str = "overwrite") -> None:
+def write_records(
+    df: DataFrame, path: str, by: tuple[str, ...] = ("reponame",), fmt: str = "json", mode: str = "overwrite"
+) -> None:
     """One folder for each value of ``by``; rerunning overwrites."""
     df.write.mode(mode).partitionBy(*by).format(fmt).save(path)
 
@@ -168,10 +189,14 @@ def console_table(df: DataFrame, digits: int = 4, rows: int = 200) -> str:
     return shown._show_string(rows, False)
 
 
-def repo_catalog(spark: SparkSession, repos: dict[str, dict[str, str]], present: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def repo_catalog(
+    spark: SparkSession, repos: dict[str, dict[str, str]], present: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(catalog, counts): name, url and category; per category how many and how many are present."""
     rows = [(c, n, u) for c, of in repos.items() for n, u in of.items()]
     catalog = spark.createDataFrame(rows, "category string, reponame string, url string")
     here = present.select("reponame").distinct().withColumn("here", F.lit(True)) if present is not None else spark.createDataFrame([], "reponame string, here boolean")
-    counts = catalog.join(here, "reponame", "left").groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("here", F.lit(False))).alias("present"))
+    counts = catalog.join(here, "reponame", "left").groupBy("category").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("here", F.lit(False))).alias("present")
+    )
     return catalog, counts

@@ -30,7 +30,9 @@ def fold_stream(events: DataFrame, prefixes: tuple[str, ...] = ("",), balanced:
         yield pd.DataFrame(new, columns=["test_nodeid", "file", "hops"])
 
     grouped = events.select("test_nodeid", "seq", "kind", "filename").groupBy("test_nodeid")
-    return grouped.applyInPandasWithState(run, "test_nodeid string, file string, hops int", "stack string, hops string", "update", GroupStateTimeout.NoTimeout)
+    return grouped.applyInPandasWithState(
+        run, "test_nodeid string, file string, hops int", "stack string, hops string", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def append_new(spark: SparkSession, path: str, keys: tuple[str, ...]):

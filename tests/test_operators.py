@@ -13,8 +13,16 @@ from probelake.streaming import trace_stream
 
 def test_aligned(spark):
     schema = "task_id string, reponame string, testpath string, testname string, classname string, funcname string, line_no int"
-    o = spark.createDataFrame([("o1", "r", "p", "t", None, "f", 1), ("o2", "r", "p", "t", None, "f", 2), ("o3", "r", "p", "t", None, "f", 3), ("o4", "r", "p", "t", "C", "f", 4), ("o5", "r", "p", "t", "C", "", 5)], schema)
-    r = spark.createDataFrame([("r1", "r", "q", "t", None, "f", 1), ("r2", "r", "q", "t", None, "f", 2), ("r5", "r", "q", "t", "C", "", 5)], schema)
+    o = spark.createDataFrame(
+        [
+            ("o1", "r", "p", "t", None, "f", 1), ("o2", "r", "p", "t", None, "f", 2), ("o3", "r", "p", "t", None, "f", 3),
+            ("o4", "r", "p", "t", "C", "f", 4), ("o5", "r", "p", "t", "C", "", 5)
+        ],
+        schema
+    )
+    r = spark.createDataFrame(
+        [("r1", "r", "q", "t", None, "f", 1), ("r2", "r", "q", "t", None, "f", 2), ("r5", "r", "q", "t", "C", "", 5)], schema
+    )
     left, right = keys.aligned(o, r, ["line_no"])
     assert sorted(x.task_id for x in left.collect()) == ["o1", "o2"]
     assert sorted((x.task_id, x.testpath, x.line_no) for x in right.collect()) == [("o1", "p", 1), ("o2", "p", 2)]
@@ -27,7 +35,9 @@ def test_keyed(spark):
     assert {(r.k, r.v) for r in keys.last_per_key(df, ["k"], ["line_no"]).collect()} == {("a", None), ("b", "z")}
     assert {(r.k, r.v) for r in keys.first_per_key(df, ["k"], ["line_no"]).collect()} == {("a", "x"), ("b", "z")}
     assert keys.with_samples(df, 5).count() == 15
-    assert keys.missing_names(df.selectExpr("k as reponame"), spark.createDataFrame([("a",)], "reponame string")).collect()[0][0] == "b"
+    assert keys.missing_names(
+        df.selectExpr("k as reponame"), spark.createDataFrame([("a",)], "reponame string")
+    ).collect()[0][0] == "b"
     stats = keys.kept_and_discarded(df, spark.createDataFrame([("a",)], "k string"), ["k"], ["k"]).orderBy("k").collect()
     assert [(s.kept, s.discarded, s.kept_percent) for s in stats] == [(2, 0, 100.0), (0, 1, 0.0)]
 
@@ -48,7 +58,9 @@ def bm25(corpus, query):
     idf = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
     mean = sum(idf.values()) / len(idf)
     idf = {t: v if v >= 0 else 0.25 * mean for t, v in idf.items()}
-    score = lambda ts: sum(idf.get(q, 0) * ts.count(q) * 2.5 / (ts.count(q) + 1.5 * (0.25 + 0.75 * len(ts) / avg)) for q in query)
+    score = lambda ts: sum(
+        idf.get(q, 0) * ts.count(q) * 2.5 / (ts.count(q) + 1.5 * (0.25 + 0.75 * len(ts) / avg)) for q in query
+    )
     return sorted(corpus, key=lambda p: (-round(score(corpus[p]), 9), p))
 
 
@@ -80,7 +92,10 @@ def test_bm25_limit_looks_up_unscored_documents(spark):
 def test_selection(spark):
     tasks = spark.createDataFrame([("t", "r", "A::f[p]")], "task_id string, reponame string, funcname string")
     ranks = spark.createDataFrame([("t", f"f{i:02d}", i) for i in range(1, 50)], "task_id string, path string, rank int")
-    rep = spark.createDataFrame([("r", "f", [("b", 2), ("a", 1)])], "reponame string, funcname string, dependencies array<struct<file:string, hops:int>>")
+    rep = spark.createDataFrame(
+        [("r", "f", [("b", 2), ("a", 1)])],
+        "reponame string, funcname string, dependencies array<struct<file:string, hops:int>>"
+    )
     got = retrieval.selection(tasks, ranks, rep).collect()
     by = lambda m: [x.path for x in sorted(got, key=lambda x: x.position) if x["mode"] == m]
     assert sorted(by("retrieval")) == [f"f{i:02d}" for i in range(1, 21)] and by("retrieval") != sorted(by("retrieval"))
@@ -121,15 +136,26 @@ def test_recorded_chain_evaluations(spark):
         ("b", "50_percent_positive"): [one, one, one, two, two],
     }
     deps = [("pulp/tests/test_lpdot.py", 1), ("pulp/pulp.py", 2)]
-    known = spark.createDataFrame([("pulp", "pulp/tests/test_lpdot.py", deps)], "reponame string, test_file string, dependencies array<struct<file:string, hops:int>>")
+    known = spark.createDataFrame(
+        [("pulp", "pulp/tests/test_lpdot.py", deps)],
+        "reponame string, test_file string, dependencies array<struct<file:string, hops:int>>"
+    )
     golden = {"25_percent_positive": (0.9, 1.0, 0.9333, 0.8), "50_percent_positive": (0.8, 1.0, 0.8667, 0.6)}
     for model in "ab":
-        rows = [("pulp", ratio, "pulp_0", "pulp/tests/test_lpdot.py", i, f"```json\n{json.dumps(files)}\n```") for (m, ratio), samples in recorded.items() if m == model for i, files in enumerate(samples)]
-        said = spark.createDataFrame([*rows, ("pulp", "25_percent_positive", "x", "no/report.py", 0, "[]")], "reponame string, ratio string, task_id string, test_file string, sample_id int, response string")
+        rows = [
+            ("pulp", ratio, "pulp_0", "pulp/tests/test_lpdot.py", i, f"```json\n{json.dumps(files)}\n```") for (m, ratio),
+            samples in recorded.items() if m == model for i, files in enumerate(samples)
+        ]
+        said = spark.createDataFrame(
+            [*rows, ("pulp", "25_percent_positive", "x", "no/report.py", 0, "[]")],
+            "reponame string, ratio string, task_id string, test_file string, sample_id int, response string"
+        )
         evaluated = evaluation.evaluate_chains(said, known)
         for r in evaluated.collect():
             wrong = len(recorded[model, r.ratio][r.sample_id]) == 2
-            assert (r.precision, r.recall, r.exact_match) == ((0.5, 1.0, 0) if wrong else (1.0, 1.0, 1)) and r.f1 == pytest.approx(2 / 3 if wrong else 1)
+            assert (r.precision, r.recall, r.exact_match) == (
+                (0.5, 1.0, 0) if wrong else (1.0, 1.0, 1)
+            ) and r.f1 == pytest.approx(2 / 3 if wrong else 1)
             assert r.truth_files == one and r.predicted_files == sorted(recorded[model, r.ratio][r.sample_id])
         summary = {r.ratio: r for r in evaluation.chain_summary(evaluated).where("reponame IS NULL").collect()}
         for ratio, means in golden.items():
@@ -144,25 +170,43 @@ def test_chat_window(spark):
 
 
 def test_project_tree(spark):
-    paths = ["src/a/b/c/d.py", "src/Z.py", "src/a.py", "README", "build/x.py", "pkg.egg-info/y", "a.tmp", *[f"many/f{i}.py" for i in range(8)]]
+    paths = [
+        "src/a/b/c/d.py", "src/Z.py", "src/a.py", "README", "build/x.py", "pkg.egg-info/y", "a.tmp",
+        *[f"many/f{i}.py" for i in range(8)]
+    ]
     df = spark.createDataFrame([("r", p) for p in paths], "reponame string, path string")
     lines = context.project_trees(df).first().tree.split("\n")
-    assert lines[:9] == ["r/", "├── many/", "│   ├── f0.py", "│   ├── f1.py", "│   ├── f2.py", "│   ├── f3.py", "│   ├── f4.py", "│   ├── f5.py", "│   ├── f6.py"]
-    assert lines[9:] == ["│   └── f7.py", "│       └── ... (3 more files)", "├── src/", "│   ├── a/", "│   │   └── b/", "│   │       └── c/", "│   ├── a.py", "│   └── Z.py", "└── README"]
+    assert lines[:9] == [
+        "r/", "├── many/", "│   ├── f0.py", "│   ├── f1.py", "│   ├── f2.py", "│   ├── f3.py", "│   ├── f4.py", "│   ├── f5.py",
+        "│   ├── f6.py"
+    ]
+    assert lines[9:] == [
+        "│   └── f7.py", "│       └── ... (3 more files)", "├── src/", "│   ├── a/", "│   │   └── b/", "│   │       └── c/",
+        "│   ├── a.py", "│   └── Z.py", "└── README"
+    ]
     short = context.project_trees(df, limit=8).first().tree
     assert short.endswith("lines omitted)") and len(SpaceTokenizer().encode(short.rsplit("\n", 1)[0])) <= 8
 
 
-EVENTS = [("call", "A"), ("call", "A"), ("return", "A"), ("call", "B"), ("return", "B"), ("return", "A"), ("line", "C"), ("call", None)]
+EVENTS = [
+    ("call", "A"), ("call", "A"), ("return", "A"), ("call", "B"), ("return", "B"), ("return", "A"), ("line", "C"),
+    ("call", None)
+]
 
 
 def test_trace(spark):
     rows = [("t.py::f", i, k, n) for i, (k, n) in enumerate(EVENTS)] + [("t.py::g", 0, "call", "B"), ("u.py", 0, "call", "Z")]
     events = spark.createDataFrame(rows, schemas.TRACE_EVENT)
     folded = trace.fold_traces(events)
-    assert {(r.test_nodeid, r.file, r.hops) for r in folded.collect()} == {("t.py::f", "A", 1), ("t.py::f", "B", 1), ("t.py::g", "B", 1), ("u.py", "Z", 1)}
-    assert {(r.file, r.hops) for r in trace.fold_traces(events.where("test_nodeid = 't.py::f'"), balanced=True).collect()} == {("A", 1), ("B", 2)}
-    report = {(r.test_file, r.test_function): [tuple(d) for d in r.dependencies] for r in trace.function_report(folded).collect()}
+    assert {(r.test_nodeid, r.file, r.hops) for r in folded.collect()} == {
+        ("t.py::f", "A", 1), ("t.py::f", "B", 1), ("t.py::g", "B", 1), ("u.py", "Z", 1)
+    }
+    assert {
+        (r.file, r.hops) for r in trace.fold_traces(events.where("test_nodeid = 't.py::f'"), balanced=True).collect()
+    } == {("A", 1), ("B", 2)}
+    report = {
+        (r.test_file, r.test_function): [tuple(d) for d in r.dependencies] for r in trace.function_report(folded).collect()
+    }
     assert report == {("t.py", "f"): [("A", 1), ("B", 1)], ("t.py", "g"): [("B", 1)], ("u.py", "[module-level]"): [("Z", 1)]}
     assert {r.test_file: len(r.dependencies) for r in trace.file_report(folded).collect()} == {"t.py": 2, "u.py": 1}
 
@@ -173,29 +217,58 @@ def test_trace_stream(spark, tmp_path):
         spark.createDataFrame(part, schemas.TRACE_EVENT).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(schemas.TRACE_EVENT).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "in"))
     got = []
-    q = trace_stream.fold_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend(df.collect())).start()
+    q = trace_stream.fold_stream(stream).writeStream.outputMode("update").option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend(df.collect())).start()
     q.awaitTermination(120)
     out = spark.createDataFrame(got, "test_nodeid string, file string, hops int")
     assert {(r.file, r.hops) for r in trace_stream.least_hops(out).collect()} == {("A", 1), ("B", 1)}
 
 
 def test_chain_evaluation(spark):
-    reports_ = spark.createDataFrame([("r", "t.py", [("t.py", 1), ("p.py", 2)]), ("r", "own.py", [("own.py", 1)])], "reponame string, test_file string, dependencies array<struct<file:string, hops:int>>")
-    rows = [("r", "25", "r_0", "t.py", 0, '```json\n["p.py", "q.py"]\n```'), ("r", "25", "r_0", "t.py", 1, '["p.py"]'), ("r", "25", "r_1", "own.py", 0, "[]"), ("r", "25", "r_2", "missing.py", 0, "[]"), ("r", "25", "r_3", None, 0, "[]")]
-    preds = spark.createDataFrame(rows, "reponame string, ratio string, task_id string, test_file string, sample_id int, response string")
-    got = {(r.task_id, r.sample_id): (r.precision, r.recall, r.f1, r.exact_match) for r in evaluation.evaluate_chains(preds, reports_).collect()}
+    reports_ = spark.createDataFrame(
+        [("r", "t.py", [("t.py", 1), ("p.py", 2)]), ("r", "own.py", [("own.py", 1)])],
+        "reponame string, test_file string, dependencies array<struct<file:string, hops:int>>"
+    )
+    rows = [
+        ("r", "25", "r_0", "t.py", 0, '```json\n["p.py", "q.py"]\n```'), ("r", "25", "r_0", "t.py", 1, '["p.py"]'),
+        ("r", "25", "r_1", "own.py", 0, "[]"), ("r", "25", "r_2", "missing.py", 0, "[]"), ("r", "25", "r_3", None, 0, "[]")
+    ]
+    preds = spark.createDataFrame(
+        rows, "reponame string, ratio string, task_id string, test_file string, sample_id int, response string"
+    )
+    got = {
+        (r.task_id, r.sample_id): (
+            r.precision, r.recall, r.f1, r.exact_match
+        ) for r in evaluation.evaluate_chains(preds, reports_).collect()
+    }
     assert got == {("r_0", 0): (0.5, 1.0, pytest.approx(2 / 3), 0), ("r_0", 1): (1, 1, 1, 1), ("r_1", 0): (1, 1, 1, 1)}
-    summary = {r.reponame: (r.precision, r.num_tasks) for r in evaluation.chain_summary(evaluation.evaluate_chains(preds, reports_)).collect()}
+    summary = {
+        r.reponame: (r.precision, r.num_tasks) for r in evaluation.chain_summary(
+            evaluation.evaluate_chains(preds, reports_)
+        ).collect()
+    }
     assert summary == {None: (0.875, 2), "r": (0.875, 2)}
 
 
 def test_output_evaluation(spark):
-    preds = spark.createDataFrame([("oracle", c, "r", "r_0", i, f"```output\n{a}\n```") for c in ("original", "rewrite") for i, a in enumerate(["1", "1.0", "2"])] + [("oracle", "original", "r", "r_9", 0, None)], "mode string, condition string, reponame string, task_id string, sample_id int, response string")
-    truths = spark.createDataFrame([(c, "r_0", "f", ["1"]) for c in ("original", "rewrite")] + [("original", "r_9", "g", ["1"])], "condition string, task_id string, funcname string, ground_truth array<string>")
+    preds = spark.createDataFrame(
+        [
+            ("oracle", c, "r", "r_0", i, f"```output\n{a}\n```") for c in ("original", "rewrite") for i,
+            a in enumerate(["1", "1.0", "2"])
+        ] + [("oracle", "original", "r", "r_9", 0, None)],
+        "mode string, condition string, reponame string, task_id string, sample_id int, response string"
+    )
+    truths = spark.createDataFrame(
+        [(c, "r_0", "f", ["1"]) for c in ("original", "rewrite")] + [("original", "r_9", "g", ["1"])],
+        "condition string, task_id string, funcname string, ground_truth array<string>"
+    )
     diff = spark.createDataFrame([("r", "f", "hard")], "reponame string, funcname string, difficulty string")
     assert {r.task_id for r in evaluation.common_tasks(preds).collect()} == {"r_0"}
     ev = evaluation.evaluate_outputs(preds, truths, diff, n="actual")
-    got = {(r.condition, r.task_id): (r.num_correct, r.num_samples, r.difficulty, round(r.pass_at_k["1"], 4)) for r in ev.collect()}
+    got = {
+        (r.condition, r.task_id): (r.num_correct, r.num_samples, r.difficulty, round(r.pass_at_k["1"], 4)) for r in ev.collect()
+    }
     assert got[("original", "r_0")] == (2, 3, "hard", 0.6667) and got[("original", "r_9")] == (0, 1, "unknown", 0.0)
     rows = evaluation.output_summary(ev).where("k = '1' AND condition = 'original'").collect()
     assert [r.difficulty for r in rows] == ["hard", "unknown", "overall"]
@@ -204,11 +277,20 @@ def test_output_evaluation(spark):
 
 
 def test_execution(spark):
-    tasks = spark.createDataFrame([("original", "t", "p.py", None, "f", "x == '???'")], "condition string, task_id string, testpath string, classname string, funcname string, masked_code string")
-    preds = spark.createDataFrame([("original", "t", 0, "```output\n5\n```"), ("rewrite", "t", 0, "")], "condition string, task_id string, sample_id int, response string")
+    tasks = spark.createDataFrame(
+        [("original", "t", "p.py", None, "f", "x == '???'")],
+        "condition string, task_id string, testpath string, classname string, funcname string, masked_code string"
+    )
+    preds = spark.createDataFrame(
+        [("original", "t", 0, "```output\n5\n```"), ("rewrite", "t", 0, "")],
+        "condition string, task_id string, sample_id int, response string"
+    )
     plan = evaluation.execution_plan(preds, tasks).collect()
     assert [(p.injected_code, p.selector) for p in plan] == [("x == 5", "f")]
-    res = spark.createDataFrame([("original", "m", "r", "t", i, i == 1) for i in range(4)], "condition string, mode string, reponame string, task_id string, sample_id int, passed boolean")
+    res = spark.createDataFrame(
+        [("original", "m", "r", "t", i, i == 1) for i in range(4)],
+        "condition string, mode string, reponame string, task_id string, sample_id int, passed boolean"
+    )
     ev = evaluation.evaluate_executions(res)
     assert ev.first().execution_results == [False, True, False, False]
     assert {r.k: r.pass_at_k for r in evaluation.execution_summary(ev).collect()}["1"] == 0.25
@@ -216,15 +298,27 @@ def test_execution(spark):
 
 def test_quality_report(spark):
     q = "struct<complexity_score:int, is_quality:boolean, reason:string>"
-    tasks = spark.createDataFrame([("a", (3, True, "ok")), ("a", (4, False, "x")), ("b", None)], f"reponame string, quality_analysis {q}")
+    tasks = spark.createDataFrame(
+        [("a", (3, True, "ok")), ("a", (4, False, "x")), ("b", None)], f"reponame string, quality_analysis {q}"
+    )
     r = reports.quality_report(tasks)
-    assert (r["total_assertions"], r["quality_assertions"], r["filtered_assertions"], r["filter_reasons"]) == (3, 2, 1, {"x": 1})
+    assert (
+        r["total_assertions"], r["quality_assertions"], r["filtered_assertions"], r["filter_reasons"]
+    ) == (3, 2, 1, {"x": 1})
     assert r["repo_stats"]["b"]["quality_percent"] == 100.0
 
 
 def test_augment(spark):
-    tasks = spark.createDataFrame([("original", "t", "pytest.approx(1)"), ("original", "u", "z")], "condition string, task_id string, ground_truth string")
-    rt = spark.createDataFrame([("original", "t", 1, ("failure", None, None)), ("original", "t", 2, ("success", "1", "<class '_pytest.python_api.ApproxScalar'>"))], "condition string, task_id string, line_no int, runtime_ground_truth struct<status:string, value:string, type:string>")
+    tasks = spark.createDataFrame(
+        [("original", "t", "pytest.approx(1)"), ("original", "u", "z")], "condition string, task_id string, ground_truth string"
+    )
+    rt = spark.createDataFrame(
+        [
+            ("original", "t", 1, ("failure", None, None)),
+            ("original", "t", 2, ("success", "1", "<class '_pytest.python_api.ApproxScalar'>"))
+        ],
+        "condition string, task_id string, line_no int, runtime_ground_truth struct<status:string, value:string, type:string>"
+    )
     got = {r.task_id: r.ground_truth for r in reports.augment_truths(tasks, rt, ["line_no"]).collect()}
     assert got == {"t": ["1", "1.0", "pytest.approx(1)"], "u": ["z"]}
     types = reports.type_histogram(rt).collect()
@@ -234,7 +328,9 @@ def test_augment(spark):
 def test_scans(spark, tmp_path):
     folder = tmp_path / "preds" / "25_percent"
     folder.mkdir(parents=True)
-    (folder / "pulp.jsonl").write_text('{"test_file": "a", "dependencies": [{"file": "x", "hops": 1}]}\n\nnot json\n{"test_file": "b", "dependencies": null}\n')
+    (folder / "pulp.jsonl").write_text(
+        '{"test_file": "a", "dependencies": [{"file": "x", "hops": 1}]}\n\nnot json\n{"test_file": "b", "dependencies": null}\n'
+    )
     path = f"{tmp_path}/preds/*/*.jsonl"
     assert records.read_records(spark, path, schemas.FILE_REPORT).count() == 2
     kept = records.read_records(spark, path, schemas.FILE_REPORT, "keep").cache()
@@ -251,7 +347,10 @@ def test_scans(spark, tmp_path):
 
 
 def test_source_scans(spark, tmp_path):
-    tree = {"src/a.py": "x = 1", "src/__init__.py": "y", "Tests/test_b.py": "z", "src/test_c.py": "def test(): pass", "build/test_d.py": "q", "src/blank.py": " ", ".hid/e.py": "e", "src/t_agent_rewrite.py": "r"}
+    tree = {
+        "src/a.py": "x = 1", "src/__init__.py": "y", "Tests/test_b.py": "z", "src/test_c.py": "def test(): pass",
+        "build/test_d.py": "q", "src/blank.py": " ", ".hid/e.py": "e", "src/t_agent_rewrite.py": "r"
+    }
     for p, text in tree.items():
         f = tmp_path / p
         f.parent.mkdir(exist_ok=True)
@@ -277,19 +376,27 @@ def test_sinks(spark, tmp_path):
     assert "0.5000" in records.console_table(spark.createDataFrame([(0.5,)], "x double"))
     records.write_records(df.withColumnRenamed("task_id", "reponame"), str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
-    catalog, counts = records.repo_catalog(spark, {"c": {"a": "u", "b": "v"}}, spark.createDataFrame([("a",)], "reponame string"))
+    catalog, counts = records.repo_catalog(
+        spark, {"c": {"a": "u", "b": "v"}}, spark.createDataFrame([("a",)], "reponame string")
+    )
     assert catalog.count() == 2 and tuple(counts.first()) == ("c", 2, 1)
 
 
 def test_trees(spark):
     df = spark.createDataFrame([("r", p) for p in ["a/b.py", "a/c/d.py", "z.py", ".git/x"]], "reponame string, path string")
-    assert context.project_trees(df).first().tree.split("\n") == ["r/", "├── a/", "│   ├── c/", "│   │   └── d.py", "│   └── b.py", "└── z.py"]
+    assert context.project_trees(df).first().tree.split("\n") == [
+        "r/", "├── a/", "│   ├── c/", "│   │   └── d.py", "│   └── b.py", "└── z.py"
+    ]
 
 
 def test_tags_and_display_order(spark):
     a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2,)], "k int")
-    assert {tuple(r) for r in keys.tagged_union({"original": a, "rewrite": b}).collect()} == {(1, "x", "original"), (2, None, "rewrite")}
-    df = spark.createDataFrame([("t", "Z", "f"), ("t", None, "g"), ("t", "A", "h")], "testname string, classname string, funcname string")
+    assert {
+        tuple(r) for r in keys.tagged_union({"original": a, "rewrite": b}).collect()
+    } == {(1, "x", "original"), (2, None, "rewrite")}
+    df = spark.createDataFrame(
+        [("t", "Z", "f"), ("t", None, "g"), ("t", "A", "h")], "testname string, classname string, funcname string"
+    )
     assert [r.funcname for r in df.orderBy(*keys.align_order()).collect()] == ["h", "g", "f"]
 
 
@@ -299,6 +406,9 @@ def test_reports_with_sources(spark):
 
 
 def test_phases(spark):
-    rows = [(1, "pytest", "ERROR collecting", ""), (2, "pytest", "collected 2 items", ""), (3, "ls", "", ""), (4, "pytest", "=== 1 passed", "ImportError")]
+    rows = [
+        (1, "pytest", "ERROR collecting", ""), (2, "pytest", "collected 2 items", ""), (3, "ls", "", ""),
+        (4, "pytest", "=== 1 passed", "ImportError")
+    ]
     df = spark.createDataFrame(rows, "n int, command string, stdout string, stderr string").withColumn("r", F.lit("r"))
     assert [r.phase for r in trace.phases(df, ["r"], "n").orderBy("n").collect()] == ["SETUP", "SETUP", "TRACING", "TRACING"]
