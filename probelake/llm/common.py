@@ -128,27 +128,25 @@ class Memo(dict):
         self.limit, self.longest, self.entry = limit, longest, entry
         self.held = 0
 
-    def __missing__(self, key):
-        value = self.old[key]  # KeyError: unknown
-        self._put(key, value)
-        return value
-
-    def _put(self, key, value) -> None:
-        self.held += self.entry + len(key) + (len(value) if isinstance(value, bytes) else 0)
-        self[key] = value
-
     def reader(self, keys: set, make: Callable[[list], list]) -> Callable:
         """A lookup that knows all of ``keys``; ``make`` gives the values of those not remembered."""
         if self.held > self.limit:
             self.old = dict(self)
             self.clear()
             self.held = 0
-        new, once = list(keys.difference(self, self.old)), {}
+        old, once, held, entry = self.old, {}, 0, self.entry
+        todo = keys.difference(self)
+        new = list(todo.difference(old))
+        for k in todo.intersection(old) if new else todo:
+            self[k] = v = old[k]
+            held += entry + len(k) + (len(v) if isinstance(v, bytes) else 0)
         for k, v in zip(new, make(new) if new else (), strict=True):
             if len(k) <= self.longest:
-                self._put(k, v)
+                self[k] = v
+                held += entry + len(k) + (len(v) if isinstance(v, bytes) else 0)
             else:
                 once[k] = v
+        self.held += held
         return (lambda k: once[k] if k in once else self[k]) if once else self.__getitem__
 
 
