@@ -50,7 +50,7 @@ class ChunkTokenizer:
     end mark); the library gets the white-space-free chunks of other texts as they are.
     """
 
-    def __init__(self, spec: str, memo: int = 28_000_000):
+    def __init__(self, spec: str, memo: int = 36_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
