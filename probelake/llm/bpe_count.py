@@ -135,38 +135,43 @@ class ArrayBpe:
 
     def _merge_together(self, pieces: list[bytes]) -> np.ndarray:
         """Symbols left of many short pieces, merged round by round in one array."""
-        n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
-        if not n:
-            return lengths
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
-        seq = np.repeat(np.arange(n), lengths)
-        out = lengths.copy()
-        none = len(self.keys)
-        while len(ids) > 1:
-            rank = self._ranks(ids[:-1], ids[1:])
-            rank[seq[:-1] != seq[1:]] = none
+        return np.bincount(self.survivors(ids, np.repeat(np.arange(len(pieces)), lengths))[1], minlength=len(pieces))
+
+    def survivors(self, ids: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols left of sequences that are laid end to end, and the sequence of each."""
+        ids, none, done = ids.copy(), len(self.keys), []
+        rank = np.full(len(ids), none)
+        inside = np.flatnonzero(seq[1:] == seq[:-1])
+        rank[inside] = self._ranks(ids[inside], ids[inside + 1])
+        while len(ids):
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            lowest = np.minimum.reduceat(np.r_[rank, none], starts)
-            alive = lowest < none
-            if not alive.any():
-                break
-            per_symbol = np.repeat(lowest, np.diff(np.r_[starts, len(ids)]))
-            hit = np.r_[(rank == per_symbol[:-1]) & (rank < none), False]
+            lowest = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.r_[starts, len(ids)])
+            per_symbol = np.repeat(lowest, sizes)
+            going = per_symbol < none
+            done.append((ids[~going], seq[~going]))
+            hit = (rank == per_symbol) & going
             # of overlapping occurrences (as in "aaa") every second one stands, from the left
-            run_start = hit & ~np.r_[False, hit[:-1]]
-            place = np.arange(len(ids))
-            begun = np.maximum.accumulate(np.where(run_start, place, 0))
-            hit &= (place - begun) % 2 == 0
+            again = np.flatnonzero(hit[1:] & hit[:-1]) + 1
+            for i in again.tolist():
+                if hit[i - 1]:
+                    hit[i] = False
             ids[hit] = self.made[per_symbol[hit]]
-            keep = ~np.r_[False, hit[:-1]]
-            keep &= np.repeat(alive, np.diff(np.r_[starts, len(seq)]))
-            done = seq[starts[~alive]]
-            out[done] = np.diff(np.r_[starts, len(seq)])[~alive]
-            ids, seq = ids[keep], seq[keep]
-        if len(ids):
-            left, size = np.unique(seq, return_counts=True)
-            out[left] = size
-        return out
+            keep = going & ~np.r_[False, hit[:-1]]
+            ids, seq, rank, hit = ids[keep], seq[keep], rank[keep], hit[keep]
+            # only pairs beside a merged symbol are new
+            changed = np.flatnonzero(hit | np.r_[hit[1:], False])
+            rank[changed] = none
+            inside = changed[:-1] if len(changed) and changed[-1] == len(ids) - 1 else changed
+            inside = inside[seq[inside] == seq[inside + 1]]
+            rank[inside] = self._ranks(ids[inside], ids[inside + 1])
+        if not done:
+            return ids, seq
+        ids, seq = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(seq, kind="stable")
+        return ids[order], seq[order]
 
     def _count_units(self, units: list[str]) -> list[int]:
         split = [self.piece.findall(u) for u in units]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelake.llm.bpe_count import read_vocabulary
+from probelake.llm.bpe_count import LONG, ArrayBpe, byte_alphabet, read_vocabulary
 from probelake.llm.common import Memo, once_in_worker, store, text_runs
 
 CAPACITY = 2048
@@ -42,34 +42,39 @@ _PIECE = re.compile(r"""[a-zß-öø-ÿ]+|[0-9]|[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{
 
 
 class ChunkTokenizer:
-    """Ids of texts by the library, as little-endian bytes, each distinct part once.
+    """Ids of texts as the library gives them, as little-endian bytes, each distinct part once.
 
     The vocabulary lower-cases, drops white space and never looks across it or beyond one
-    word of its pre-tokenizer. Texts of plain characters are cut into these words, which
-    are encoded many to a call and parted by their ends (a word's last token carries the
-    end mark); the library gets the white-space-free chunks of other texts as they are.
+    word of its pre-tokenizer. Texts of plain characters are cut into these words, whose
+    bytes (the last one with the end mark) are merged many words at a time in one array;
+    the library itself gets long words and the white-space-free chunks of other texts.
     """
 
     def __init__(self, spec: str, memo: int = 36_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_str(spec)
+        self.library, self.bpe = Tokenizer.from_str(spec), ArrayBpe(spec)
         vocab = self.library.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.last = np.zeros(256, np.int64)
+        for char, b in byte_alphabet().items():
+            self.last[b] = vocab[f"{char}</w>"]
         self.pieces, self.chunks = Memo(memo), Memo(memo // 4)
 
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            bounds, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
-            if len(bounds) == len(part):
-                out += [raw[x:y] for x, y in zip([0, *bounds[:-1]], bounds, strict=True)]
-            else:  # not parted as foreseen
-                out += self._of_chunks(part)
+        raw = [p.encode() for p in pieces]
+        short = [r if len(r) <= LONG else b"" for r in raw]
+        lengths = np.fromiter(map(len, short), np.int64, len(short))
+        codes, ends = np.frombuffer(b"".join(short), np.uint8), np.cumsum(lengths)[lengths > 0] - 1
+        ids = self.bpe.first[codes]
+        ids[ends] = self.last[codes[ends]]
+        ids, seq = self.bpe.survivors(ids, np.repeat(np.arange(len(short)), lengths))
+        at = (4 * np.cumsum(np.bincount(seq, minlength=len(short)))).tolist()
+        all_ids = ids.astype("<u4").tobytes()
+        out = [all_ids[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
+        long = [i for i, r in enumerate(raw) if len(r) > LONG]
+        for i, found in zip(long, self._of_chunks([pieces[i] for i in long]), strict=True):
+            out[i] = found
         return out
 
     def _of_chunks(self, chunks: list[str]) -> list[bytes]:
