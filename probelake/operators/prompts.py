@@ -73,6 +73,28 @@ def candidate_files(tests: DataFrame, reports: DataFrame, pool: DataFrame) -> tu
     return positive, negative
 
 
+def negative_counts(tests: DataFrame, reports: DataFrame, pool: DataFrame) -> DataFrame:
+    """How many negative files ``candidate_files`` gives each test file: reponame, test_file, negative.
+
+    The repository's pool less the report's files in it: no pair of a test and a file is made, the
+    reports' files are shuffled once. Test files without a negative one have no row.
+    """
+    files = pool.select("reponame", "path").distinct()
+    sizes = files.groupBy("reponame").agg(F.count(F.lit(1)).alias("size"))
+    own = reports.select("reponame", "test_file", F.explode("dependencies").alias("d")).select(
+        "reponame", "test_file", F.col("d.file").alias("path")
+    )
+    # dealt by file: the pool grows with the corpus and is not broadcast; distinct rows need no exchange of their own
+    taken = own.join(files.hint("shuffle_hash"), ["reponame", "path"], "left_semi").distinct().groupBy(
+        "reponame", "test_file"
+    ).agg(F.count(F.lit(1)).alias("taken"))
+    counted = tests.select("reponame", "test_file").distinct().join(sizes, "reponame").join(
+        taken, ["reponame", "test_file"], "left"
+    )
+    left = F.col("size") - F.coalesce("taken", F.lit(0))
+    return counted.select("reponame", "test_file", left.alias("negative")).where("negative > 0")
+
+
 def chain_prompts(
     tests: DataFrame,
     reports: DataFrame,
