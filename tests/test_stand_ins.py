@@ -1,8 +1,12 @@
 """Queries over the driver's tables on inputs of their own."""
 
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from probelake.operators import prompts
+from probelake.operators import prompts, retrieval
 from probelake.plans import stand_ins
 
 
@@ -48,3 +52,33 @@ def test_negative_pool_shuffles_no_pairs(spark, tmp_path):
     assert len(got) == suppliers and {r.negative for r in got} == {parts // 25 - 1}
     # the files of the pool take under a megabyte, the pairs took 8.8 MB
     assert shuffled_bytes(spark) - before < 4 * suppliers * parts / 25
+
+
+def test_bm25_scores_do_not_depend_on_row_order(spark):
+    """Scores are the same to the last bit however rows are dealt, equal for copies, and those of exact sums."""
+    rng = random.Random(7)
+    docs = {f"d{i:02d}": ["the", *(f"w{int(rng.paretovariate(0.4))}" for _ in range(800))] for i in range(40)}
+    docs["copy"] = docs["d00"]
+    query = ["the", *docs["d00"][1:300], *docs["d07"][1:60]]
+    n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
+    frequency = Counter(t for tokens in docs.values() for t in set(tokens))
+    idf = {t: math.log(n - f + 0.5) - math.log(f + 0.5) for t, f in frequency.items()}
+    mean = math.fsum(idf.values()) / len(idf)
+    idf = {t: w if w >= 0 else 0.25 * mean for t, w in idf.items()}
+    asked = Counter(query)
+
+    def exact(tokens):
+        tf = Counter(tokens)
+        return math.fsum(q * idf[t] * 2.5 * tf[t] / (tf[t] + 1.5 * (0.25 + 0.75 * len(tokens) / avg)) for t, q in asked.items())
+
+    c = spark.createDataFrame([("r", p, t) for p, t in docs.items()], "reponame string, path string, tokens array<string>")
+    q = spark.createDataFrame([("r", "q", query)], "reponame string, query string, tokens array<string>")
+    runs, usual = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            runs.append({r.path: r.score for r in retrieval.bm25_ranks(c.repartition(parts), q).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert runs[0] == runs[1] == runs[2] and runs[0]["copy"] == runs[0]["d00"]
+    assert all(math.isclose(runs[0][p], exact(t), rel_tol=2e-15) for p, t in docs.items())
