@@ -21,33 +21,45 @@ whatever their names, are ignored.
 from __future__ import annotations
 
 import os
-import re
+import string
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelake.llm.bpe_count import LONG, ArrayBpe, byte_alphabet, read_vocabulary
-from probelake.llm.common import Memo, once_in_worker, store, text_runs
+from probelake.llm.common import Memo, once_in_worker, store, text_runs, text_slices
 
 CAPACITY = 2048
-
-
-#: In texts without any of these, every match of the second is one word of the pre-tokenizer.
-_ODD = re.compile(r"""[^a-zA-Zß-öø-ÿÀ-ÖØ-Þ0-9 \t\n\r!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]|<\|""")
-_PIECE = re.compile(r"""[a-zß-öø-ÿ]+|[0-9]|[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+""")
+#: Bytes of texts whose words are found together: the more, the fewer repeated look-ups.
+_RUN_BYTES = 4_000_000
+#: Words merged in one array; arrays of more leave the processor's caches.
+_TOGETHER = 8_000
+#: Kinds of bytes in plain texts, whose only other bytes than ASCII are those of Latin-1 letters; any else (0) makes a text odd.
+_SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
+_LETTERS = string.ascii_letters + "".join(filter(str.isalpha, map(chr, range(0xC0, 0x100))))
+_KIND, _LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+for _kind, _chars in (
+    (_SPACE, " \t\n\r"), (_LETTER, _LETTERS), (_DIGIT, string.digits), (_MARK, string.punctuation.replace("'", ""))
+):
+    _KIND[list(_chars.encode())] = _kind
+for _char in _LETTERS:
+    _LOWER[_char.encode()[-1]] = _char.lower().encode()[-1]
 
 
 class ChunkTokenizer:
     """Ids of texts as the library gives them, as little-endian bytes, each distinct part once.
 
     The vocabulary lower-cases, drops white space and never looks across it or beyond one
-    word of its pre-tokenizer. Texts of plain characters are cut into these words, whose
-    bytes (the last one with the end mark) are merged many words at a time in one array;
-    the library itself gets long words and the white-space-free chunks of other texts.
+    word of its pre-tokenizer. Texts of plain characters are cut into these words as byte
+    arrays, whose distinct words (the last byte with the end mark) are merged many at a
+    time in one array; the library itself gets long words and the white-space-free chunks
+    of other texts.
     """
 
     def __init__(self, spec: str, memo: int = 36_000_000):
@@ -61,9 +73,11 @@ class ChunkTokenizer:
             self.last[b] = vocab[f"{char}</w>"]
         self.pieces, self.chunks = Memo(memo), Memo(memo // 4)
 
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        raw = [p.encode() for p in pieces]
-        short = [r if len(r) <= LONG else b"" for r in raw]
+    def _of_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        return [ids for i in range(0, len(pieces), _TOGETHER) for ids in self._merged(pieces[i : i + _TOGETHER])]
+
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        short = [p if len(p) <= LONG else b"" for p in pieces]
         lengths = np.fromiter(map(len, short), np.int64, len(short))
         codes, ends = np.frombuffer(b"".join(short), np.uint8), np.cumsum(lengths)[lengths > 0] - 1
         ids = self.bpe.first[codes]
@@ -72,24 +86,55 @@ class ChunkTokenizer:
         at = (4 * np.cumsum(np.bincount(seq, minlength=len(short)))).tolist()
         all_ids = ids.astype("<u4").tobytes()
         out = [all_ids[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)]
-        long = [i for i, r in enumerate(raw) if len(r) > LONG]
-        for i, found in zip(long, self._of_chunks([pieces[i] for i in long]), strict=True):
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG]
+        for i, found in zip(long, self._of_chunks([pieces[i].decode() for i in long]), strict=True):
             out[i] = found
         return out
 
     def _of_chunks(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut, odd = [], []
-        for t in texts:
-            t = t or ""
-            odd.append(_ODD.search(t) is not None)
-            cut.append(t.replace("\n", " ").replace("\t", " ").split(" ") if odd[-1] else _PIECE.findall(t.lower()))
-        get = []
-        for memo, make, wanted in ((self.pieces, self._of_pieces, False), (self.chunks, self._of_chunks, True)):
-            get.append(memo.reader(set().union(*[c for c, o in zip(cut, odd, strict=True) if o is wanted]), make))
-        return [b"".join(map(get[o], c)) for c, o in zip(cut, odd, strict=True)]
+    def _of_odd(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        get = self.chunks.reader(set().union(*cut), self._of_chunks)
+        return [b"".join(map(get, c)) for c in cut]
+
+    def ids(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column, "").cast(pa.large_string())
+        column.validate(full=True)  # bytes are only cut right in well-formed texts
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        codes = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        if not len(codes):
+            return [b""] * len(column)
+        kind = np.take(_KIND, codes)
+        begins = np.r_[True, kind[1:] != kind[:-1]] | (kind == _DIGIT)
+        begins[at[at < len(codes)]] = True
+        special = np.r_[(codes[:-1] == ord("<")) & (codes[1:] == ord("|")), False]
+        odd = np.unique(np.searchsorted(at, np.flatnonzero(special | (kind == 0)), side="right") - 1).tolist()
+        inside = kind > _SPACE
+        for i in odd:
+            inside[at[i] : at[i + 1]] = False
+
+        raw = np.take(_LOWER, np.compress(inside, codes))
+        offsets = np.append(np.flatnonzero(np.compress(inside, begins)), len(raw))
+        words = pa.Array.from_buffers(
+            pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+        ).dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        get = self.pieces.reader(set(distinct), self._of_pieces)
+        found = pa.array(list(map(get, distinct)), pa.large_binary()).take(words.indices)
+        # where each text's words end, and so its ids
+        ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset :]
+        ends = ends[np.searchsorted(np.flatnonzero(begins & inside), at)].tolist()
+        every = memoryview(found.buffers()[2] or b"")
+        out = [bytes(every[a:b]) for a, b in pairwise(ends)]
+        rest = pa.record_batch([column.take(pa.array(odd, pa.int64()))], ["text"])
+        for a, run in text_runs(rest, 0):
+            for i, ids in zip(odd[a : a + len(run)], self._of_odd(run), strict=True):
+                out[i] = ids
+        return out
 
 
 def token_pieces(
@@ -103,7 +148,7 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = once_in_worker(name, lambda: ChunkTokenizer(spec.value))
         for batch in batches:
-            for a, texts in text_runs(batch, 1):
+            for a, texts in text_slices(batch, 1, _RUN_BYTES):
                 rows: list[list] = [[], [], [], [], []]
                 for i, ids in enumerate(tokenizer.ids(texts), a):
                     ids += end

@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers
@@ -40,6 +41,45 @@ def test_chunk_ids_equal_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_chunk_ids_of_a_frequent_word_are_looked_up_once():
+    """A text's cost is in its bytes and distinct words: no Python object is made or looked up for each word."""
+    from tokenizers import Tokenizer
+
+    path, looked_up = public_tokenizers.path("word_bpe_49k.json"), []
+
+    class Counting(packing.Memo):
+        def reader(self, keys, make):
+            get = super().reader(keys, make)
+            return lambda key: looked_up.append(key) or get(key)
+
+    tokenizer, library = packing.ChunkTokenizer(bpe_count.read_vocabulary(path).decode()), Tokenizer.from_file(path)
+    tokenizer.pieces = Counting()
+    texts = ["The cat, the HAT; 12 cats\n" * 500] * 10
+    want = library.encode(texts[0], add_special_tokens=False).ids
+    assert all(np.frombuffer(ids, "<u4").tolist() == want for ids in tokenizer.ids(texts))
+    assert len(looked_up) == 8  # the cat , hat ; 1 2 cats
+
+
+def test_chunk_ids_of_slices_and_borders():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, library = packing.ChunkTokenizer(bpe_count.read_vocabulary(path).decode()), Tokenizer.from_file(path)
+    letters = "".join(map(chr, range(0xA0, 0x100)))
+    texts = [
+        "skipped", None, "ab", "cd", "", "1", "23", "<", "|endoftext|>", "a<|endoftext|>b", "<|", *letters, letters, "x×y", "été ÉTÉ",
+        "a\u0301b", "a\x0bb\x1cc", "don't", "it", "'s", "", "x" * 500, "É" * 300 + " ok", " \n\t", "!" * 450, None, "Ü"
+    ]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(texts[:9]), pa.array([None, "", None, ""])):
+        part = column.slice(1)
+        for t, ids in zip(part.to_pylist(), tokenizer.ids(part), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+    assert tokenizer.ids([]) == []
+    broken = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, 2], np.int32)), pa.py_buffer(b"\xc3a")])
+    with pytest.raises(pa.ArrowInvalid):
+        tokenizer.ids(broken)
+
+
 def test_sketch_merges_and_estimates():
     rng = np.random.RandomState(0)
     m, errors = 192, []
